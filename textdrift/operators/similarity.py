@@ -82,16 +82,19 @@ def score_chains(chains: DataFrame, metrics=ALL_METRICS) -> DataFrame:
         return F.transform(grams, lambda g: F.struct(F.lit(i).alias("s"), g.alias("g")))
 
     group_keys = keys + [c for c in per_chain.columns if c.startswith(("_has", "_na", "_nc"))]
-    exploded = per_chain.select(*group_keys,
-                                F.explode_outer(F.concat(*[grams_of(i) for i in range(4)]))
-                                .alias("_x"))
-    counts = exploded.groupBy(*group_keys, F.col("_x.g").alias("_g")).agg(
-        *[F.count_if(F.col("_x.s") == i).alias(f"_c{i}") for i in range(4)])
-    kind = F.substring(F.col("_g"), 1, 1)
-    matches = counts.groupBy(*group_keys).agg(*[
-        F.sum(F.when(kind == k, F.least(F.col("_c0"), F.col(f"_c{i}"))).otherwise(0))
-        .cast("long").alias(f"_m{k}{i}")
-        for k in kinds for i in (1, 2, 3)])
+    if kinds:
+        exploded = per_chain.select(*group_keys,
+                                    F.explode_outer(F.concat(*[grams_of(i) for i in range(4)]))
+                                    .alias("_x"))
+        counts = exploded.groupBy(*group_keys, F.col("_x.g").alias("_g")).agg(
+            *[F.count_if(F.col("_x.s") == i).alias(f"_c{i}") for i in range(4)])
+        kind = F.substring(F.col("_g"), 1, 1)
+        matches = counts.groupBy(*group_keys).agg(*[
+            F.sum(F.when(kind == k, F.least(F.col("_c0"), F.col(f"_c{i}"))).otherwise(0))
+            .cast("long").alias(f"_m{k}{i}")
+            for k in kinds for i in (1, 2, 3)])
+    else:
+        matches = per_chain.select(*group_keys)
     if "rougeL" in metrics:
         # The Arrow UDF does not keep the document partitioning, so it runs in a branch of its
         # own that yields one small row per chain; only those rows are shuffled for the join.
