@@ -25,7 +25,7 @@ ROUGE_TOKEN_RE = "[a-z0-9]+"                                  # after lower()
 ALPHA_RE = r"\p{L}+"                                          # alphabetic tokens (type-token ratio)
 PUNCT_CLASS_RE = r"[!-/:-@\[-`{-~]"                           # the 32 ASCII punctuation characters
 SENTENCE_SPLIT_RE = rf"[.!?]+[{WS_CHARS}]+"                   # sentence boundary
-SENT_WORD_RE = rf"[^{WS_CHARS}]*[\p{{L}}\p{{N}}][^{WS_CHARS}]*"  # a word holds a letter or digit
+HAS_ALNUM_RE = r"[\p{L}\p{N}]"                               # a word holds a letter or digit
 
 
 def _c(col) -> Column:

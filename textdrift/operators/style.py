@@ -101,19 +101,32 @@ def annotate(texts: DataFrame, text_col: str = "text", id_cols=VERSION_KEYS,
 def sentence_lengths(text) -> Column:
     """Words per sentence (punctuation-only tokens excluded), sentences without words dropped."""
     sents = F.split(tx.guard_text(text), tx.SENTENCE_SPLIT_RE)
-    lens = F.transform(sents, lambda s: F.size(F.regexp_extract_all(s, F.lit(tx.SENT_WORD_RE), 0)))
+    # words: whitespace-free runs that hold a letter or digit (two linear regex passes; a single
+    # pattern with a leading [^ws]* would backtrack quadratically on long runs in Java)
+    lens = F.transform(sents, lambda s: F.size(F.filter(
+        F.regexp_extract_all(s, F.lit(tx.WORD_RE), 0), lambda w: w.rlike(tx.HAS_ALNUM_RE))))
     return F.filter(lens, lambda n: n > 0)
 
 
 def sentence_length(text) -> Column:
-    """struct(mean, population variance) of sentence lengths; no sentence -> 0, 0."""
-    lens = sentence_lengths(text)
-    n = F.size(lens)
-    total = F.aggregate(lens, F.lit(0.0), lambda acc, x: acc + x)
-    mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
-    ss = F.aggregate(lens, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    var = F.when(n > 0, ss / n).otherwise(F.lit(0.0))
-    return F.struct(mean.alias("sent_len_mean"), var.alias("sent_len_var"))
+    """struct(mean, population variance) of sentence lengths; no sentence -> 0, 0.
+
+    One pass over the lengths accumulates (n, sum, sum of squares); the variance
+    (n * sumsq - sum^2) / n^2 has an exact integer numerator, so it is correctly rounded.
+    """
+    acc0 = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"),
+                    F.lit(0).cast("long").alias("q"))
+    st = F.aggregate(sentence_lengths(text), acc0, lambda a, x: F.struct(
+        (a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+    return F.struct(st["n"].alias("n"), st["s"].alias("s"), st["q"].alias("q"))
+
+
+def sentence_moments(stats: Column) -> tuple[Column, Column]:
+    """(mean, population variance) from the (n, s, q) struct of ``sentence_length``."""
+    n, s_, q = stats["n"], stats["s"], stats["q"]
+    mean = F.when(n > 0, s_ / n).otherwise(F.lit(0.0))
+    var = F.when(n > 0, (n * q - s_ * s_) / (n * n)).otherwise(F.lit(0.0))
+    return mean, var
 
 
 def type_token_ratio(text) -> Column:
@@ -132,10 +145,13 @@ def punct_ratio(text) -> Column:
 
 
 def text_features(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    sl = sentence_length(text_col)
-    return texts.withColumns({
-        "sent_len_mean": sl["sent_len_mean"], "sent_len_var": sl["sent_len_var"],
-        "ttr": type_token_ratio(text_col), "punct_ratio": punct_ratio(text_col)})
+    """Y1-Y3 columns; the sentence statistics are computed once per text (one projection), and
+    the mean and variance are derived from them in the next."""
+    with_stats = texts.withColumns({"_sl": sentence_length(text_col),
+                                    "ttr": type_token_ratio(text_col),
+                                    "punct_ratio": punct_ratio(text_col)})
+    mean, var = sentence_moments(F.col("_sl"))
+    return with_stats.withColumns({"sent_len_mean": mean, "sent_len_var": var}).drop("_sl")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -151,31 +167,36 @@ def tag_distribution(annotations: DataFrame, tags=TRACKED_POS, id_cols=TID) -> D
                                      for t in tags])
 
 
-def tree_depth(annotations: DataFrame, id_cols=TID, checkpoint_every: int = 4) -> DataFrame:
+def tree_depth(annotations: DataFrame, id_cols=TID, max_rounds: int = 64) -> DataFrame:
     """Per text, mean and max distance of every token to its root (root: head = itself).
 
     Pointer doubling: each round joins the (node -> ancestor, distance) table with itself, so
-    after k rounds every pointer has jumped 2^k steps; ceil(log2(max nodes per text)) rounds
-    reach every root. Lineage is cut with ``checkpoint()`` into the session's checkpoint folder.
+    after k rounds every pointer has jumped 2^k steps; about log2(depth) rounds reach every root.
+    Each round is checkpointed (reliable, into the session's checkpoint folder), which both cuts
+    the lineage and makes the convergence count cheap.
     """
     spark = annotations.sparkSession
+    ensure_checkpoint_dir(spark)
     state = annotations.select(*id_cols, F.col("pos").alias("node"), F.col("head").alias("anc"),
                                F.when(F.col("pos") == F.col("head"), 0).otherwise(1)
-                               .cast("long").alias("dist"))
-    max_nodes = state.groupBy(*id_cols).count().agg(F.max("count")).first()[0] or 1
-    rounds = max(1, math.ceil(math.log2(max_nodes + 1)))
-    if rounds > checkpoint_every:
-        ensure_checkpoint_dir(spark)
-    for r in range(rounds):
-        nxt = state.select(*id_cols, F.col("node").alias("_n"), F.col("anc").alias("_a"),
-                           F.col("dist").alias("_d"))
-        cond = [state[c] == nxt[c] for c in id_cols] + [state["anc"] == nxt["_n"]]
+                               .cast("long").alias("dist"),
+                               (F.col("pos") == F.col("head")).alias("final"))
+    keys = [f"_k{i}" for i in range(len(id_cols))]
+    for _ in range(max_rounds):
+        nxt = state.select(*[F.col(c).alias(k) for c, k in zip(id_cols, keys)],
+                           F.col("node").alias("_n"), F.col("anc").alias("_a"),
+                           F.col("dist").alias("_d"), F.col("final").alias("_f"))
+        cond = [F.col(c) == F.col(k) for c, k in zip(id_cols, keys)] + \
+            [F.col("anc") == F.col("_n")]
         state = state.join(nxt, cond, "left").select(
-            *[state[c] for c in id_cols], state["node"],
-            F.coalesce(nxt["_a"], state["anc"]).alias("anc"),
-            (state["dist"] + F.coalesce(nxt["_d"], F.lit(0))).alias("dist"))
-        if (r + 1) % checkpoint_every == 0 and r + 1 < rounds:
-            state = state.checkpoint()
+            *id_cols, "node",
+            F.when(F.col("final"), F.col("anc")).otherwise(F.coalesce("_a", "anc")).alias("anc"),
+            F.when(F.col("final"), F.col("dist"))
+            .otherwise(F.col("dist") + F.coalesce(F.col("_d"), F.lit(0))).alias("dist"),
+            (F.col("final") | F.coalesce(F.col("_f"), F.lit(True))).alias("final"))
+        state = state.checkpoint()
+        if state.where(~F.col("final")).limit(1).count() == 0:
+            break
     return state.groupBy(*id_cols).agg(F.avg("dist").alias("dep_depth_mean"),
                                        F.max("dist").cast("double").alias("dep_depth_max"))
 
@@ -201,7 +222,8 @@ def style_features(versions: DataFrame, text_col: str = "text", id_cols=VERSION_
     shares = {f"pos_{t}": F.when(blank, F.lit(0.0)).otherwise(F.coalesce(F.col(f"pos_{t}"),
                                                                            F.lit(0.0)))
               for t in tags}
-    return out.select(*id_cols, *[e.alias(n) for n, e in {**scal, **shares}.items()])
+    return out.select(*id_cols, F.col(text_col).isNotNull().alias("present"),
+                      *[e.alias(n) for n, e in {**scal, **shares}.items()])
 
 
 def pos_vector(tags=TRACKED_POS, prefix: str = "pos_") -> Column:
@@ -212,12 +234,16 @@ def pos_vector(tags=TRACKED_POS, prefix: str = "pos_") -> Column:
 # Chains of features and their summaries
 # ---------------------------------------------------------------------------------------------
 
-def feature_chains(versions: DataFrame, features: DataFrame, tags=TRACKED_POS,
-                   paraphrasers=None) -> DataFrame:
-    """Chains whose stage values are feature structs: columns ``f_T0..f_T3`` (NULL if absent)."""
+def feature_chains(features: DataFrame, tags=TRACKED_POS, paraphrasers=None) -> DataFrame:
+    """Chains whose stage values are feature structs: ``f_T0..f_T3`` (NULL if the stage is absent).
+
+    ``features`` is the output of ``style_features`` (version keys + features + ``present``); the
+    chain aggregate runs over these small rows, so no text is shuffled again. ``T0..T3`` hold
+    an empty string where the stage text exists (presence only).
+    """
     cols = SCALAR_FEATURES + [f"pos_{t}" for t in tags]
-    fv = versions.join(features.select(*VERSION_KEYS,
-                                       F.struct(*cols).alias("f")), VERSION_KEYS, "left")
+    fv = features.select(*VERSION_KEYS, F.when(F.col("present"), F.lit("")).alias("text"),
+                         F.struct(*cols).alias("f"))
     ch = build_chains(fv, values=["f"], paraphrasers=paraphrasers)
     return ch.select(*CHAIN_KEYS, "family", "T0", "T1", "T2", "T3",
                      *[F.col(f"f_{s}") for s in STAGES])
@@ -344,11 +370,11 @@ def human_vs_llm_drift(fchains: DataFrame, key_paraphrasers=None) -> DataFrame:
     group = x.groupBy("grp").agg(F.avg("pos_cosine").alias("mean"),
                                  F.stddev_samp("pos_cosine").alias("std"),
                                  F.count(F.lit(1)).alias("n"))
-    mom = cell.groupBy("paraphraser", "grp").agg(F.avg("mean").alias("mean"))
+    mom = cell.groupBy("paraphraser", "grp").agg(F.avg("mean").alias("mean"),
+                                                 F.count(F.lit(1)).alias("n"))
     direct = x.where(F.col("paraphraser").isin(*keyp)).groupBy("paraphraser", "grp") \
         .agg(F.avg("pos_cosine").alias("mean"), F.count(F.lit(1)).alias("n"))
-    null_s, null_d, null_l = (F.lit(None).cast("string"), F.lit(None).cast("double"),
-                              F.lit(None).cast("long"))
+    null_s, null_d = F.lit(None).cast("string"), F.lit(None).cast("double")
     return (cell.select(F.lit("cell").alias("level"), "dataset", "grp", "paraphraser", "family",
                         "mean", "std", "n")
             .unionByName(group.select(F.lit("group").alias("level"), null_s.alias("dataset"),
@@ -356,8 +382,7 @@ def human_vs_llm_drift(fchains: DataFrame, key_paraphrasers=None) -> DataFrame:
                                       "mean", "std", "n"))
             .unionByName(mom.select(F.lit("para_mean_of_means").alias("level"),
                                     null_s.alias("dataset"), "grp", "paraphraser",
-                                    null_s.alias("family"), "mean", null_d.alias("std"),
-                                    null_l.alias("n")))
+                                    null_s.alias("family"), "mean", null_d.alias("std"), "n"))
             .unionByName(direct.select(F.lit("para_direct").alias("level"),
                                        null_s.alias("dataset"), "grp", "paraphraser",
                                        null_s.alias("family"), "mean", null_d.alias("std"),

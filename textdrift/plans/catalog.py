@@ -1,7 +1,7 @@
 """Registered queries: one per operator of the inventory, each with its DuckDB oracle SQL.
 
 Every query reads the driver tables (or fixtures Spark derives from them) in full and keeps
-whole texts. Doubles are rounded to 6 places on both sides (rounding only affects the check,
+whole texts. Doubles are rounded to 9 places on both sides (rounding only affects the check,
 not the operators). Queries whose SQL would be too slow on whole tables (LCS) or that train
 models have no SQL entry; they are checked by tests against brute force instead.
 """
@@ -37,8 +37,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+# doubles of the check are rounded to 9 places in both engines: far below any reported
+# precision, far above float noise, and (unlike 6 places) no mean of 4-place features lands on
+# an exact rounding boundary
+CHECK_PLACES = 9
+
+
+def rnd(c) -> F.Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, CHECK_PLACES)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -288,21 +294,21 @@ def _stats(spark, sf):
 
 
 @register("c2_word_count_distribution", _STATS_SQL + """
-SELECT dataset, stage, q[1] AS q1, q[2] AS median, q[3] AS q3, """ + S.r6("mean") + """ AS mean FROM (
+SELECT dataset, stage, q[1] AS q1, q[2] AS median, q[3] AS q3, """ + S.rnd("mean") + """ AS mean FROM (
   SELECT dataset, stage, quantile_cont(word_count, [0.25, 0.5, 0.75]) AS q, avg(word_count) AS mean
   FROM st GROUP BY dataset, stage)""")
 def c2_word_count_distribution(spark, sf):
-    return co.word_count_distribution(_stats(spark, sf)).withColumn("mean", r6("mean"))
+    return co.word_count_distribution(_stats(spark, sf)).withColumn("mean", rnd("mean"))
 
 
 @register("c3_vocabulary_by_stage", _STATS_SQL + """
-SELECT dataset, stage, """ + S.r6("avg(word_count)") + " AS mean_word_count, " + S.r6(
-    "avg(no_stop_word_count)") + " AS mean_no_stop_count, " + S.r6(
+SELECT dataset, stage, """ + S.rnd("avg(word_count)") + " AS mean_word_count, " + S.rnd(
+    "avg(no_stop_word_count)") + " AS mean_no_stop_count, " + S.rnd(
     "avg(word_count) - avg(no_stop_word_count)") + """ AS stopword_gap
 FROM st GROUP BY dataset, stage""")
 def c3_vocabulary_by_stage(spark, sf):
     v = co.vocabulary_by_stage(_stats(spark, sf))
-    return v.select("dataset", "stage", *[r6(c).alias(c) for c in
+    return v.select("dataset", "stage", *[rnd(c).alias(c) for c in
                                           ("mean_word_count", "mean_no_stop_count", "stopword_gap")])
 
 
@@ -336,16 +342,16 @@ def c5_corpus_stats(spark, sf):
 SELECT source, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS percent
 FROM chains GROUP BY source""")
 def c6_value_shares_source(spark, sf):
-    return co.value_shares(chains(spark, sf), "source").withColumn("percent", r6("percent"))
+    return co.value_shares(chains(spark, sf), "source").withColumn("percent", rnd("percent"))
 
 
 # ---------------------------------------------------------------------------------------------
 # M: lexical similarity
 # ---------------------------------------------------------------------------------------------
 
-def _overlap_sql(metrics=("bleu", "rouge1", "rouge2"), rnd: bool = True) -> str:
+def _overlap_sql(metrics=("bleu", "rouge1", "rouge2"), rounded: bool = True) -> str:
     """SQL for M1-M3/M5: n-gram bags per chain, clipped matches, BLEU-2 / ROUGE-N formulas."""
-    rd = S.r6 if rnd else (lambda x: x)
+    rd = S.rnd if rounded else (lambda x: x)
     stage_lists = []
     for i, s in enumerate(STAGES):
         parts = []
@@ -396,7 +402,7 @@ FROM tk LEFT JOIN m ON tk.dataset = m.dataset AND tk.key = m.key AND tk.source =
 
 def _scored(spark, sf, metrics):
     sc = sm.score_chains(chains(spark, sf), metrics)
-    return sc.select(*[r6(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
+    return sc.select(*[rnd(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
                        for c in sc.columns])
 
 
@@ -434,8 +440,8 @@ _M6_LABELS = "CASE metric WHEN 'bleu' THEN 'BLEU-2' WHEN 'rouge1' THEN 'ROUGE-1'
              "WHEN 'rouge2' THEN 'ROUGE-2' WHEN 'rougeL' THEN 'ROUGE-L' END"
 
 
-def _m_base_sql(rnd: bool = True):
-    full = _overlap_sql(rnd=rnd)
+def _m_base_sql(rounded: bool = True):
+    full = _overlap_sql(rounded=rounded)
     cut = full.rindex("SELECT tk.dataset")
     head = full[:cut].rstrip()
     body = full[cut:]
@@ -449,12 +455,12 @@ sl AS (SELECT dataset, key, source, paraphraser, family, split_part(col, '_', 2)
 
 
 @register("m6_mean_scores_by_stage", _m_base_sql() + f"""
-SELECT stage, {_M6_LABELS} AS metric, {S.r6('avg(score)')} AS score FROM sl GROUP BY stage, metric""")
+SELECT stage, {_M6_LABELS} AS metric, {S.rnd('avg(score)')} AS score FROM sl GROUP BY stage, metric""")
 def m6_mean_scores_by_stage(spark, sf):
     sc = sm.score_chains(chains(spark, sf), ["bleu", "rouge1", "rouge2"])
-    sc = sc.select(*[r6(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
+    sc = sc.select(*[rnd(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
                      for c in sc.columns])
-    return sm.mean_scores_by_stage(sc).withColumn("score", r6("score"))
+    return sm.mean_scores_by_stage(sc).withColumn("score", rnd("score"))
 
 
 @register("m11_metric_by_stage_dataset", _m_base_sql() + """
@@ -463,21 +469,21 @@ SELECT dataset, metric, """ + ", ".join(
 FROM sl GROUP BY dataset, metric""")
 def m11_metric_by_stage_dataset(spark, sf):
     sc = sm.score_chains(chains(spark, sf), ["bleu", "rouge1", "rouge2"])
-    sc = sc.select(*[r6(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
+    sc = sc.select(*[rnd(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
                      for c in sc.columns])
     return sm.metric_by_stage(sc, by=("dataset",), places=4)
 
 
 @register("m12_decay_curve_family", _m_base_sql() + """
 SELECT family, 1.0 AS T0, """ + ", ".join(
-    S.r6(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
+    S.rnd(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
 FROM sl WHERE metric = 'rouge1' GROUP BY family""")
 def m12_decay_curve_family(spark, sf):
     sc = sm.score_chains(chains(spark, sf), ["rouge1"])
-    sc = sc.select(*[r6(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
+    sc = sc.select(*[rnd(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
                      for c in sc.columns])
     d = sm.decay_curve(sc, "rouge1", "family")
-    return d.select("family", "T0", *[r6(s).alias(s) for s in LATER_STAGES])
+    return d.select("family", "T0", *[rnd(s).alias(s) for s in LATER_STAGES])
 
 
 @register("r10_nth_document", _m_base_sql() + f"""
@@ -491,7 +497,7 @@ def r10_nth_document(spark, sf):
                     "rouge2_T3")
 
 
-@register("p12_round4_rouge1", _m_base_sql(rnd=False) + """
+@register("p12_round4_rouge1", _m_base_sql(rounded=False) + """
 SELECT dataset, key, source, paraphraser, """ + ", ".join(
     S.r4e(f"rouge1_{s}") + f" AS rouge1_{s}" for s in LATER_STAGES) + " FROM scored")
 def p12_round4_rouge1(spark, sf):

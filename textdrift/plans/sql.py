@@ -26,9 +26,9 @@ def _dec(x: str) -> str:
     return f"CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18))"
 
 
-def r6(x: str) -> str:
-    """Spark ``round(x, 6)`` (HALF_UP on the decimal string)."""
-    return f"CAST(round({_dec(x)}, 6) AS DOUBLE)"
+def rnd(x: str) -> str:
+    """Spark ``round(x, 9)`` (HALF_UP on the decimal string)."""
+    return f"CAST(round({_dec(x)}, 9) AS DOUBLE)"
 
 
 def r4e(x: str) -> str:
@@ -211,10 +211,17 @@ def rule_tag(tok: str, lex: str) -> str:
 
 def sentence_lengths(col: str) -> str:
     return (f"list_filter(list_transform(regexp_split_to_array({guard(col)}, "
-            f"{q(tx.SENTENCE_SPLIT_RE)}), lambda s: len({tokens('s', tx.SENT_WORD_RE)})), "
+            f"{q(tx.SENTENCE_SPLIT_RE)}), lambda s: len(list_filter({tokens('s', tx.WORD_RE)}, "
+            f"lambda w: regexp_matches(w, {q(tx.HAS_ALNUM_RE)})))), "
             f"lambda n: n > 0)")
 
 
+# population variance from (n, sum, sum of squares): exact integer numerator
+SENT_VAR = ("CASE WHEN len({sl}) > 0 THEN CAST(len({sl}) * list_sum(list_transform({sl}, "
+            "lambda x: CAST(x AS BIGINT) * x)) - list_sum({sl}) * list_sum({sl}) AS DOUBLE) / "
+            "CAST(len({sl}) * len({sl}) AS DOUBLE) ELSE 0.0 END")
+
+
 def text_feature_exprs(col: str) -> dict:
     """Y1-Y3 over a text column (expects a lateral ``sl`` alias for the sentence lengths)."""
     alpha = tokens(f"lower({guard(col)})", tx.ALPHA_RE)

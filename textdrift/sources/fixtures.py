@@ -125,9 +125,16 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of token-vector texts: text l is the reference of text l+1 (stage by l % 3)."""
     ids = token_vectors(spark, sf_dir).select("text_id").distinct()
-    return ids.select(
+    pairs = ids.select(
         F.col("text_id").alias("ref_id"), (F.col("text_id") + 1).alias("hyp_id"),
         F.concat(F.lit("T"), (F.col("text_id") % 3 + 1).cast("string")).alias("stage"))
+    return pairs.join(ids.withColumnRenamed("text_id", "hyp_id"), "hyp_id", "left_semi")
+
+
+# F4 prediction table: the label flips when the first md5 hex digit of (row, stage) is below
+# the stage's digit, so the error rate grows with the stage
+F4_FLIP_BELOW = {"T0": "1", "T1": "4", "T2": "6", "T3": "8"}
+F4_FAMILY_FLIP_BELOW = "6"
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
