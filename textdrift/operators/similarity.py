@@ -28,6 +28,8 @@ from textdrift.functions.lcs import lcs_against_first
 from textdrift.operators.reshape import CHAIN_KEYS
 
 ALL_METRICS = ("bleu", "rouge1", "rouge2", "rougeL")
+# a piece starting a "piece piece" pair (pieces are separated by exactly one space)
+_BIGRAM_RE = r"(?<![^ ])(?=([^ ]+ [^ ]+))"
 _KIND = {"bleu1": "a", "bleu2": "b", "rouge1": "c", "rouge2": "d"}
 
 
@@ -40,74 +42,74 @@ def _f(p: Column, r: Column) -> Column:
 
 
 def score_chains(chains: DataFrame, metrics=ALL_METRICS) -> DataFrame:
-    """M5: chain columns + ``<metric>_<stage>`` for stages T1..T3 (NULL when T0 or Tn is absent)."""
+    """M5: chain columns + ``<metric>_<stage>`` for stages T1..T3 (NULL when T0 or Tn is absent).
+
+    The aggregates are keyed by the four chain-key strings only: token counts are sums of the
+    n-gram counts, and stage presence is a marker element ``#`` added for every present text.
+    """
     metrics = [m for m in ALL_METRICS if m in set(metrics)]
     need_bleu = "bleu" in metrics
     need_rouge = any(m.startswith("rouge") for m in metrics)
-    keys = [c for c in CHAIN_KEYS + ["family"] if c in chains.columns]
-
-    cols = {}
-    kinds = []
-    for i, st in enumerate(STAGES):
-        cols[f"_has{i}"] = F.col(st).isNotNull()
-        if need_bleu:
-            cols[f"_bt{i}"] = F.coalesce(tx.bleu_tokens(st), F.array().cast("array<string>"))
-        if need_rouge:
-            cols[f"_rt{i}"] = F.coalesce(tx.rouge_tokens(st), F.array().cast("array<string>"))
-    per_chain = chains.select(*keys, *[e.alias(n) for n, e in cols.items()])
-
-    lens = {}
-    for i in range(4):
-        if need_bleu:
-            lens[f"_na{i}"] = F.size(f"_bt{i}").cast("long")
-        if need_rouge:
-            lens[f"_nc{i}"] = F.size(f"_rt{i}").cast("long")
-    per_chain = per_chain.withColumns(lens)
+    kinds = (["a", "b"] if need_bleu else []) + (["c"] if "rouge1" in metrics else []) \
+        + (["d"] if "rouge2" in metrics else []) + (["r"] if "rougeL" in metrics else [])
+    empty = F.array().cast("array<string>")
+
+    # one row per present stage text (a Generate of 4 structs), then one row per n-gram; the
+    # n-grams come from regex functions only (no per-element lambdas): tokens are re-spaced into
+    # a single-space-separated string with a kind prefix, unigrams are its pieces and bigrams
+    # are zero-width lookahead matches of "piece piece".
+    stages = F.array(*[F.struct(F.lit(i).alias("s"), F.col(st).alias("t"))
+                       for i, st in enumerate(STAGES)])
+    per_stage = chains.select(*CHAIN_KEYS, F.inline(stages)).where(F.col("t").isNotNull())
+
+    def pieces(spaced):
+        return F.when(spaced == "", empty).otherwise(F.split(spaced, " "))
+
+    def pairs(spaced):
+        return F.regexp_extract_all(spaced, F.lit(_BIGRAM_RE), 1)
+
+    parts = [F.array(F.lit("#"))]
+    low = F.lower(F.col("t"))
     if need_bleu:
-        kinds += ["a", "b"]
-    if "rouge1" in metrics:
-        kinds += ["c"]
-    if "rouge2" in metrics:
-        kinds += ["d"]
-
-    def grams_of(i):
-        parts = []
-        if need_bleu:
-            parts += [_tagged(F.col(f"_bt{i}"), "a"), _tagged(tx.bigrams(F.col(f"_bt{i}")), "b")]
-        if "rouge1" in metrics:
-            parts.append(_tagged(F.col(f"_rt{i}"), "c"))
+        b = F.trim(F.regexp_replace(F.regexp_replace(low, tx.BLEU_TOKEN_RE, " a$0 "),
+                                    f"[{tx.WS_CHARS}]+", " "))
+        parts += [pieces(b), pairs(b)]
+    if need_rouge:
+        r = F.regexp_replace(F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")), "([a-z0-9]+)", "c$1")
+        parts.append(pieces(r))
         if "rouge2" in metrics:
-            parts.append(_tagged(tx.bigrams(F.col(f"_rt{i}")), "d"))
-        grams = F.concat(*parts)
-        return F.transform(grams, lambda g: F.struct(F.lit(i).alias("s"), g.alias("g")))
-
-    group_keys = keys + [c for c in per_chain.columns if c.startswith(("_has", "_na", "_nc"))]
-    if kinds:
-        exploded = per_chain.select(*group_keys,
-                                    F.explode_outer(F.concat(*[grams_of(i) for i in range(4)]))
-                                    .alias("_x"))
-        counts = exploded.groupBy(*group_keys, F.col("_x.g").alias("_g")).agg(
-            *[F.count_if(F.col("_x.s") == i).alias(f"_c{i}") for i in range(4)])
-        kind = F.substring(F.col("_g"), 1, 1)
-        matches = counts.groupBy(*group_keys).agg(*[
-            F.sum(F.when(kind == k, F.least(F.col("_c0"), F.col(f"_c{i}"))).otherwise(0))
-            .cast("long").alias(f"_m{k}{i}")
-            for k in kinds for i in (1, 2, 3)])
-    else:
-        matches = per_chain.select(*group_keys)
+            parts.append(pairs(r))
+    exploded = per_stage.select(*CHAIN_KEYS, F.col("s").alias("_s"),
+                                F.explode(F.concat(*parts)).alias("_g"))
+    counts = exploded.groupBy(*CHAIN_KEYS, "_g").agg(
+        *[F.count_if(F.col("_s") == i).alias(f"_c{i}") for i in range(4)])
+    # kind: a / b = BLEU uni- / bigram, c / d = ROUGE uni- / bigram (a bigram holds a space)
+    first = F.substring(F.col("_g"), 1, 1)
+    is_pair = F.instr(F.col("_g"), " ") > 0
+    kind = (F.when(first == "a", F.when(is_pair, "b").otherwise("a"))
+            .when(first == "c", F.when(is_pair, "d").otherwise("c")).otherwise(first))
+    aggs = [F.sum(F.when(F.col("_g") == "#", F.col(f"_c{i}")).otherwise(0)).alias(f"_has{i}")
+            for i in range(4)]
+    len_kinds = (["a"] if need_bleu else []) + (["c"] if need_rouge else [])
+    aggs += [F.sum(F.when(kind == k, F.col(f"_c{i}")).otherwise(0)).cast("long").alias(f"_n{k}{i}")
+             for k in len_kinds for i in range(4)]
+    aggs += [F.sum(F.when(kind == k, F.least(F.col("_c0"), F.col(f"_c{i}"))).otherwise(0))
+             .cast("long").alias(f"_m{k}{i}")
+             for k in kinds if k in ("a", "b", "c", "d") and (k != "c" or "rouge1" in metrics)
+             for i in (1, 2, 3)]
+    matches = counts.groupBy(*CHAIN_KEYS).agg(*aggs)
     if "rougeL" in metrics:
         # The Arrow UDF does not keep the document partitioning, so it runs in a branch of its
         # own that yields one small row per chain; only those rows are shuffled for the join.
         lcs = chains.select(*CHAIN_KEYS, lcs_against_first(
-            *[F.when(F.col(st).isNotNull(), F.coalesce(tx.rouge_tokens(st),
-                                                       F.array().cast("array<string>")))
+            *[F.when(F.col(st).isNotNull(), F.coalesce(tx.rouge_tokens(st), empty))
               for st in STAGES]).alias("_lcs"))
         cond = [matches[k].eqNullSafe(lcs[k]) for k in CHAIN_KEYS]
         matches = matches.join(lcs, cond, "left").select(matches["*"], lcs["_lcs"])
 
-    out = [*keys]
+    out = [*CHAIN_KEYS, tx.family_of("paraphraser").alias("family")]
     for i, st in zip((1, 2, 3), LATER_STAGES):
-        valid = F.col("_has0") & F.col(f"_has{i}")
+        valid = (F.col("_has0") > 0) & (F.col(f"_has{i}") > 0)
         if need_bleu:
             hyp, ref = F.col(f"_na{i}"), F.col("_na0")
             p1 = F.col(f"_ma{i}") / F.greatest(hyp, F.lit(1))
