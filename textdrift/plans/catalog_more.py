@@ -15,6 +15,7 @@ from textdrift.operators import reshape as rs
 from textdrift.operators import similarity as sm
 from textdrift.operators import style as sy
 from textdrift.plans import sql as S
+from textdrift.session import ensure_checkpoint_dir
 from textdrift.plans.catalog import (CH, CHS, F1_PARAS, VK, VKS, chains, long_versions,
                                      m1_bleu2, register, rnd)
 from textdrift.sources import fixtures as fx
@@ -715,7 +716,10 @@ def _fingerprint_data(spark, sf, tfidf_features: int = 500):
     bal = rs.balance_classes(t1, "family", CH, seed=42)
     split = rs.stratified_split(bal, "family", CH, 0.25, seed=42)
     texts = chains(spark, sf).select(F.concat_ws("|", *CH).alias("row_id"), F.col("T1").alias("text"))
-    base = split.join(texts, "row_id")
+    # several actions follow (vocabulary fit, sizes, training): cut the lineage once, into the
+    # session's checkpoint folder, instead of recomputing the feature pipeline for each
+    ensure_checkpoint_dir(spark)
+    base = split.join(texts, "row_id").checkpoint()
     vocab = le.fit_vocabulary(base.where(F.col("split") == "train"), "row_id", "text",
                               max_features=tfidf_features, min_df=1).cache()
     style = base.select("row_id", "family", "split", *SCALAR_FEATURES, *POS16)
@@ -758,8 +762,9 @@ def l11_feature_importance(spark, sf):
 
 def _pca_rows(spark, sf):
     ch = chains(spark, sf)
+    ensure_checkpoint_dir(spark)
     long = rs.melt_chains(ch, ids=CH + ["family"]).withColumn(
-        "row_id", F.concat_ws("|", *CH, "stage"))
+        "row_id", F.concat_ws("|", *CH, "stage")).checkpoint()
     vocab = le.fit_vocabulary(long, "row_id", "text", max_features=3000, min_df=1).cache()
     x = le.transform_tfidf(long.select("row_id", "stage", "text"), vocab, "row_id", "text")
     return le.pca_explained(x, k=50)
