@@ -112,3 +112,13 @@ def test_embedding_cosine_zero_vector_is_null(spark):
                                "ref_vec array<double>, hyp_vec array<double>")
     got = [r.cosine for r in sm.embedding_cosine(df).collect()]
     assert got[0] is None and got[1] == pytest.approx(1.0)
+
+
+def test_overlap_plan_has_no_exchange_after_chains(spark, sf_small):
+    """The exploded n-grams are aggregated inside the document partitioning: the only exchange
+    is the fixture's spread by document keys (R1 and both n-gram aggregates add none)."""
+    from textdrift.plans.catalog import chains
+    sc = sm.score_chains(chains(spark, sf_small), ["bleu", "rouge1", "rouge2"])
+    plan = sc._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
