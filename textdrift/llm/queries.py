@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import packing
+from textdrift.llm import decontamination, packing
 from textdrift.llm.tables import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, with the checksum of its ids."""
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_packing": op8_packing}
+    return {"op2_decontamination": op2_decontamination, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
