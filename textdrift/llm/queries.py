@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import decontamination, language, packing, quality
+from textdrift.llm import decontamination, language, packing, quality, rules, sql
 from textdrift.llm.tables import table
 
 
@@ -21,6 +21,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, with the checksum of its ids."""
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
@@ -33,8 +38,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination,
-            "op8_packing": op8_packing, "op9_language": op9_language}
+            "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": sql.rules_sql()}
