@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import decontamination, language, packing, quality, rules, sql
+from textdrift.llm import decontamination, language, near_duplicates, packing, quality, rules, sql
 from textdrift.llm.tables import table
 
 
@@ -36,9 +36,15 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination,
-            "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language}
+            "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language,
+            "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
