@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import decontamination, language, near_duplicates, packing, quality, rules, sql, substrings
+from textdrift.llm import decontamination, language, near_duplicates, packing, quality, rules, separators, sql, substrings
 from textdrift.llm.tables import table
 
 
@@ -26,6 +26,11 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files of the whole table."""
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return rules.judge(table(spark, sf_dir, "documents"))
@@ -48,7 +53,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination,
-            "op4_substrings": op4_substrings, "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language,
+            "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts,
+            "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language,
             "op10_minhash": op10_minhash}
 
 
