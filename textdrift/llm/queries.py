@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import decontamination, language, near_duplicates, packing, quality, rules, separators, sql, substrings
+from textdrift.llm import decontamination, language, licenses, near_duplicates, packing, quality, rules, separators, sql, substrings
 from textdrift.llm.tables import table
 
 
@@ -21,6 +21,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeated windows cover."""
     return substrings.repeated_words(table(spark, sf_dir, "documents"))
@@ -53,7 +58,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination,
-            "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts,
+            "op3_licenses": op3_licenses, "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts,
             "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language,
             "op10_minhash": op10_minhash}
 
