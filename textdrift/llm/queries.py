@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import decontamination, language, licenses, near_duplicates, packing, quality, rules, separators, sql, substrings
+from textdrift.llm import (decontamination, language, language_model, licenses, near_duplicates, packing, quality,
+                           rules, separators, sql, substrings)
 from textdrift.llm.tables import table
 
 
@@ -36,6 +37,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by a model of those that are not held out."""
+    return language_model.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return rules.judge(table(spark, sf_dir, "documents"))
@@ -59,7 +65,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination,
             "op3_licenses": op3_licenses, "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts,
-            "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language,
+            "op6_language_model": op6_language_model, "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language,
             "op10_minhash": op10_minhash}
 
 
