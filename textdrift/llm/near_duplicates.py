@@ -11,10 +11,12 @@ short sketches disagree too much (five standard deviations below the threshold)
 
 Links are confirmed on the full sets. First each node's smallest and most similar candidates are
 confirmed and joined into components; then every other candidate pair between two components.
+What neighbours alone may miss is made up at the end: in every region larger than the
+neighbourhood, the nodes outside the region's commonest component are compared with all nodes of
+other components there, so that no pair of a region is left out unless it is connected already.
 
 Two sets at the threshold share a tree's region with probability 0.8^3 = 0.51, so that all 21
-trees miss them with probability 3e-7. A large region keeps only neighbours, but its members have
-many partners, in 21 different orders.
+trees miss them with probability 3e-7.
 
 Orders are dealt by range over (minima, id), which splits a region of any size; windows that
 cross the ends of ranges are made up afterwards. Nothing per document reaches the driver.
@@ -40,6 +42,7 @@ from textdrift.llm.components import components
 from textdrift.llm.tables import written
 
 HASHES, TREES, DEPTH, NEIGHBOURS = 64, 21, 3, 8
+REGION_PARTS = 16
 THRESHOLD = (80, 100)
 _FACTORS = np.random.default_rng(10).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _SAME = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
@@ -107,15 +110,20 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
         task, "doc_id long, text_hash long, n_shingles long, fingerprint binary, signature binary")
 
 
-def _trees(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: the region's key, the order in it, and the sketch."""
+def _trees(nodes: DataFrame, schema: str) -> DataFrame:
+    """A row for each node and tree: the region's key, the order in it, and the sketch (as bytes,
+    or as four longs ``s0``..``s3``), as far as ``schema`` names them."""
+    names = [field.split()[0] for field in schema.split(", ")]
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
             nibbles = (minima & 15).astype(np.uint8)
-            sketch = _binary(nibbles[:, 0::2] | nibbles[:, 1::2] << 4)
+            packed = np.ascontiguousarray(nibbles[:, 0::2] | nibbles[:, 1::2] << 4)
+            sketch = {"sketch": _binary(packed)} | {f"s{i}": pa.array(x) for i, x in
+                                                    enumerate(np.ascontiguousarray(packed.view(np.int64).T))}
             wide = minima.astype(np.uint64)
             for tree in range(TREES):
                 at = tree * DEPTH
@@ -129,12 +137,11 @@ def _trees(nodes: DataFrame) -> DataFrame:
                         packed = packed << np.uint64(16) | (wide[:, (at + DEPTH + 4 * half + j) % HASHES]
                                                             & np.uint64(0xFFFF))
                     order.append(packed)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)) for x in (key, *order)] + [batch.column(0), sketch],
-                    names=["key", "first", "second", "id", "sketch"])
+                own = dict(zip(("key", "first", "second"), [pa.array(x.view(np.int64)) for x in (key, *order)]))
+                own |= {"id": batch.column(0)} | sketch
+                yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names)
 
-    return nodes.select("id", "signature").mapInArrow(
-        task, "key long, first long, second long, id long, sketch binary")
+    return nodes.select("id", "signature").mapInArrow(task, schema)
 
 
 def _close(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, least: int, done: int = 0):
@@ -205,8 +212,8 @@ def candidates(nodes: DataFrame, least: int) -> DataFrame:
         a, b, agree = _close(frame["key"].to_numpy(), frame["a"].to_numpy(), sketch, least)
         return pd.DataFrame({"a": a, "b": b, "agree": agree.astype(np.int32)})
 
-    ordered = _trees(nodes).repartitionByRange("key", "first", "second", "id").sortWithinPartitions(
-        "key", "first", "second", "id")
+    ordered = _trees(nodes, "key long, first long, second long, id long, sketch binary").repartitionByRange(
+        "key", "first", "second", "id").sortWithinPartitions("key", "first", "second", "id")
     found = written(ordered.select("key", "id", "sketch").mapInArrow(
         windows, "a long, b long, agree int, place long, key long, sketch binary"), "forest")
     # the ends of the ranges: 2 * NEIGHBOURS rows for each task of the order, in one task
@@ -245,42 +252,74 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return both.where(whole * common >= part * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], sure: int) -> DataFrame:
-    """(id, root) of every node that is linked with another."""
-    pairs = written(pairs, "candidates")
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    return (pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
+            .join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
+            .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+
+
+def _first_links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], sure: int) -> DataFrame:
+    """Confirmed candidate pairs that connect all that candidate pairs can connect."""
     one = pairs.groupBy("b").agg(F.min(F.when(F.col("agree") >= sure, F.col("a"))).alias("smallest"),
                                  F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("best"))
     first = one.select(F.explode(F.array_distinct(F.array("smallest", -F.col("best.a")))).alias("a"), "b").where(
         "a IS NOT NULL")
     linked = written(_confirmed(first, sets, threshold), "links")
-    roots = components(linked)
-    apart = (pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
-             .join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
-             .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    more = written(_confirmed(apart, sets, threshold), "more-links")
-    return components(linked.union(more)) if more.limit(1).count() else roots
+    more = _between(pairs, components(linked))
+    return linked.union(written(_confirmed(more, sets, threshold), "more-links"))
+
+
+def _crowded_pairs(nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """Candidate pairs between components in the regions larger than the neighbourhood."""
+    trees = _trees(nodes, "key long, id long, " + ", ".join(f"s{i} long" for i in range(4)))
+    sizes = trees.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("key")
+    rows = written(trees.join(sizes, "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")),
+                   "crowded")
+    common = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("common"))
+    rows = rows.join(common, "key").withColumn("part", F.pmod("id", F.lit(REGION_PARTS)))
+    few = rows.where("root != common").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(REGION_PARTS - 1))
+                                                                    .cast("array<long>"))).alias("x")
+    rows = rows.alias("y")
+    different = F.lit(0)
+    for i in range(4):                                   # sketch values of four bits that differ
+        bits = F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        different = different + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+    met = few.join(rows, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+                   & (F.col("x.root") != F.col("y.root"))
+                   & ((F.col("y.root") == F.col("y.common")) | (F.col("x.id") < F.col("y.id")))
+                   & (different <= HASHES - least))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def classes(documents: DataFrame, size: int = 4, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, component_id."""
+    """One row per document: doc_id, text_hash, n_shingles, component_id and class (one id for
+    each component; null without words)."""
     rows = written(signatures(documents, size), "signatures")
     nodes = written(rows.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(
         F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")).select(
         F.monotonically_increasing_id().alias("id"), "fingerprint", "doc_id", "signature"), "nodes")
     least = least_agreement(*threshold)
     pairs = written(candidates(nodes, least), "pairs")
-    nodes = nodes.drop("signature")
     paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = written(_sets(documents, nodes.join(paired, "id", "left_semi"), size), "sets")
-    sure = int(HASHES * (threshold[0] / threshold[1] + 0.04))
-    roots = _links(pairs, sets, threshold, sure)
+    linked = _first_links(pairs, sets, threshold, int(HASHES * (threshold[0] / threshold[1] + 0.04)))
+    roots = components(linked)
+    rest = written(_confirmed(_crowded_pairs(nodes, roots, least), sets, threshold), "last-links")
+    if rest.limit(1).count():
+        roots = components(linked.union(rest))
+    nodes = nodes.drop("signature")
     named = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "root").select("fingerprint", "component_id")
+    named = named.join(smallest, "root").select("fingerprint", "component_id", F.col("root").alias("class"))
     some = rows.where("fingerprint IS NOT NULL").drop("signature").join(named, "fingerprint").select(
-        "doc_id", "text_hash", "n_shingles", "component_id")
+        "doc_id", "text_hash", "n_shingles", "component_id", "class")
     none = rows.where("fingerprint IS NULL").select("doc_id", "text_hash", "n_shingles",
-                                                    F.col("doc_id").alias("component_id"))
+                                                    F.col("doc_id").alias("component_id"),
+                                                    F.lit(None).cast("long").alias("class"))
     return some.union(none)
 
 
@@ -297,12 +336,13 @@ def without_near_duplicates(documents: DataFrame, size: int = 5,
                             threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of ``documents``, one for each group of near duplicates (that of the smallest
     doc_id); documents without words all stay, repeated rows of one text once."""
+    blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0
+    kept = classes(documents, size, threshold).where(_kept() & F.col("class").isNotNull())
+    kept = kept.groupBy("class", F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(
+        F.count("*").alias("kept_rows"))
+    kept = kept.groupBy("class").agg(F.min(F.struct("kept_hash", "kept_rows", "kept_id")).alias("k")).select("k.*")
     names = documents.columns
-    flags = classes(documents, size, threshold).where(_kept()).select(
-        F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "n_shingles").groupBy(
-        "kept_id", "kept_hash").agg(F.max("n_shingles").alias("kept_shingles"), F.count("*").alias("kept_rows"))
-    joined = documents.join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-                            & (F.xxhash64("text") == F.col("kept_hash")))
-    single = joined.where("kept_rows = 1 OR kept_shingles = 0").select(names)
-    repeated = joined.where("kept_rows > 1 AND kept_shingles > 0").dropDuplicates(["kept_id", "kept_hash"])
-    return single.union(repeated.select(names))
+    joined = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+                            & (F.xxhash64("text") == F.col("kept_hash"))).where(~blank)
+    repeated = joined.where("kept_rows > 1").dropDuplicates(["kept_id", "kept_hash"])
+    return documents.where(blank).union(joined.where("kept_rows = 1").select(names)).union(repeated.select(names))
