@@ -70,4 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": sql.rules_sql()}
+    return {"op2_decontamination": sql.decontamination_sql(), "op3_licenses": sql.licenses_sql(),
+            "op4_substrings": sql.substrings_sql(), "op7_quality_rules": sql.rules_sql(),
+            "op10_minhash": sql.near_duplicates_sql()}

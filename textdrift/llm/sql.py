@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textdrift.llm import rules
+from textdrift.llm import decontamination, licenses, near_duplicates, rules, substrings
 
 
 def rules_sql() -> str:
@@ -38,3 +38,95 @@ judged AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {ru
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND passed AS kept FROM judged"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def decontamination_sql() -> str:
+    """SQL of op2: every window of the items is looked up at every word of the documents."""
+    size = decontamination.WINDOW
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return f"""
+WITH items AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all({_LOWER}, {word}) AS w
+               FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(len(w), {size}) AS m, array_to_string(w[i:i + {size - 1}], ' ') AS k
+         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS i FROM items
+               WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {word}) AS w FROM documents),
+words AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+lists AS (SELECT r, i, array_agg(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)
+                 AS l FROM words),
+found AS (SELECT DISTINCT r, i, m, item_id FROM
+          (SELECT r, i, m, array_to_string(l[1:m], ' ') AS k FROM lists, (SELECT DISTINCT m FROM wins)
+           WHERE len(l) >= m) JOIN wins USING (m, k)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM found) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN names USING (r)"""
+
+
+def substrings_sql() -> str:
+    """SQL of op4: windows as strings, counted over the corpus."""
+    size = substrings.WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+wins AS (SELECT r, i, string_agg(w, ' ') OVER p AS k, count(*) OVER p AS n FROM words
+         WINDOW p AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)),
+starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM wins WHERE n = {size})
+           WHERE c > 1),
+cut AS (SELECT r, i, max(s) OVER (PARTITION BY r ORDER BY i) AS last_start
+        FROM (SELECT words.r, words.i, starts.i AS s FROM words LEFT JOIN starts
+              ON words.r = starts.r AND words.i = starts.i)),
+kept AS (SELECT r, count(*) AS n_kept, string_agg(w, ' ' ORDER BY i) AS t FROM words JOIN cut USING (r, i)
+         WHERE last_start IS NULL OR i >= last_start + {size} GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
+def near_duplicates_sql(size: int = 4) -> str:
+    """SQL of op10: all pairs that share a shingle, and their transitive closure."""
+    part, whole = near_duplicates.THRESHOLD
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+                            regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+grams AS (SELECT DISTINCT r, k FROM (
+          SELECT r, i, count(*) OVER p AS n, string_agg(w, ' ') OVER p AS k FROM words
+          WINDOW p AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING))
+          WHERE n = {size} OR i = 1),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+links AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM grams x JOIN grams y USING (k)
+                            WHERE x.r <> y.r GROUP BY 1, 2)
+          JOIN sizes s ON a = s.r JOIN sizes t ON b = t.r WHERE {whole} * c >= {part} * (s.n + t.n - c)),
+reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.o = links.a),
+least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+       doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN least USING (r) LEFT JOIN sizes USING (r)"""
+
+
+def licenses_sql() -> str:
+    """SQL of op3: exact containment in every window, without MinHash."""
+    rows = ", ".join(
+        f"('{name}', {licenses.window_shape(text)[0]}, {licenses.window_shape(text)[1]}, "
+        f"{licenses.template_shingles(text)!r})" for name, text in licenses.TEMPLATES.items())
+    n = licenses.SHINGLE
+    return f"""
+WITH templates(name, size, stride, known) AS (VALUES {rows}),
+words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w
+          FROM documents),
+d AS (SELECT r, doc_id, list_transform(range(1, len(w) - {n - 2}), i -> array_to_string(w[i:i + {n - 1}], ' ')) AS g
+      FROM words),
+found AS (SELECT r, name FROM
+          (SELECT r, name, size, known, g, unnest(range(0, len(g), stride)) AS i
+           FROM d JOIN templates ON list_has_any(g, known))
+          WHERE 100 * len(list_intersect(g[i + 1:i + size - {n - 1}], known)) >= {licenses.CONTAINMENT} * len(known)),
+sums AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT name) AS n_licenses,
+                count(*) AS n_matches FROM found GROUP BY r)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_licenses, 0)::BIGINT AS n_licenses,
+       coalesce(n_matches, 0)::BIGINT AS n_matches FROM d LEFT JOIN sums USING (r)"""
