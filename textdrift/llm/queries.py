@@ -63,10 +63,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination,
-            "op3_licenses": op3_licenses, "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts,
-            "op6_language_model": op6_language_model, "op7_quality_rules": op7_quality_rules, "op8_packing": op8_packing, "op9_language": op9_language,
-            "op10_minhash": op10_minhash}
+    return {f.__name__: f for f in (
+        op1_quality, op2_decontamination, op3_licenses, op4_substrings, op5_token_counts, op6_language_model,
+        op7_quality_rules, op8_packing, op9_language, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

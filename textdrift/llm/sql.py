@@ -120,7 +120,7 @@ def licenses_sql() -> str:
 WITH templates(name, size, stride, known) AS (VALUES {rows}),
 words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w
           FROM documents),
-d AS (SELECT r, doc_id, list_transform(range(1, len(w) - {n - 2}), i -> array_to_string(w[i:i + {n - 1}], ' ')) AS g
+d AS (SELECT r, doc_id, list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) AS g
       FROM words),
 found AS (SELECT r, name FROM
           (SELECT r, name, size, known, g, unnest(range(0, len(g), stride)) AS i
