@@ -114,11 +114,20 @@ def test_embedding_cosine_zero_vector_is_null(spark):
     assert got[0] is None and got[1] == pytest.approx(1.0)
 
 
-def test_overlap_plan_has_no_exchange_after_chains(spark, sf_small):
-    """The exploded n-grams are aggregated inside the document partitioning: the only exchange
-    is the fixture's spread by document keys (R1 and both n-gram aggregates add none)."""
+def test_overlap_plans_no_exchange_from_a_stored_table(spark, sf_small, tmp_path, capsys):
     from textdrift.plans.catalog import chains
-    sc = sm.score_chains(chains(spark, sf_small), ["bleu", "rouge1", "rouge2"])
-    plan = sc._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    path = str(tmp_path / "chains")
+    chains(spark, sf_small).write.parquet(path)
+    sm.score_chains(spark.read.parquet(path)).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_lcs_of_codes_against_dynamic_program():
+    import numpy as np
+    from textdrift.functions.lcs import lcs_of_codes
+    rng = np.random.default_rng(0)
+    for n in range(300):
+        a = rng.integers(0, 6, rng.integers(0, 30))
+        b = rng.integers(0, 8, rng.integers(0, 30)) if n % 3 else a[rng.random(len(a)) < 0.7]
+        assert lcs_of_codes(a, b) == lcs_dp(a.tolist(), b.tolist())

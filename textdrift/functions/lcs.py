@@ -1,16 +1,14 @@
-"""Longest common subsequence length of token arrays: the one Arrow (pandas) UDF.
+"""Longest common subsequence length of token sequences.
 
-LCS is a dynamic program with no built-in expression. The UDF uses the bit-parallel
-formulation (Allison-Dix / Hyyro): one machine-word-parallel step per token of the second
-sequence, so a pair costs O(|a| * |b| / 64) word operations instead of O(|a| * |b|) cells.
-Batches arrive through Arrow; the texts stay partitioned by Spark.
+LCS is a dynamic program with no built-in expression; ``overlap`` calls this on Arrow batches.
+The bit-parallel formulation (Allison-Dix / Hyyro) takes one machine-word-parallel step per token
+of the second sequence, so a pair costs O(|a| * |b| / 64) word operations instead of O(|a| * |b|)
+cells.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import numpy as np
 
 
 def _masks(a):
@@ -43,22 +41,25 @@ def lcs_length(a, b) -> int:
     return _lcs_with_masks(len(a), _masks(a), b)
 
 
-_LCS3 = T.StructType([T.StructField(f"lcs_{s}", T.LongType()) for s in ("T1", "T2", "T3")])
+def lcs_of_codes(a: np.ndarray, b: np.ndarray) -> int:
+    """LCS length of two arrays of token codes.
 
-
-@F.pandas_udf(_LCS3)
-def lcs_against_first(ref: pd.Series, h1: pd.Series, h2: pd.Series, h3: pd.Series) -> pd.DataFrame:
-    """LCS of the reference tokens against three later versions; the reference masks are built
-    once per row and reused. A missing side gives NULL."""
-    out = {"lcs_T1": [], "lcs_T2": [], "lcs_T3": []}
-    for a, b1, b2, b3 in zip(ref, h1, h2, h3):
-        a = None if a is None else list(a)
-        masks = _masks(a) if a else None
-        for name, b in (("lcs_T1", b1), ("lcs_T2", b2), ("lcs_T3", b3)):
-            if a is None or b is None:
-                out[name].append(None)
-            elif not a or len(b) == 0:
-                out[name].append(0)
-            else:
-                out[name].append(_lcs_with_masks(len(a), masks, b))
-    return pd.DataFrame({k: pd.array(v, dtype="Int64") for k, v in out.items()})
+    Exact short cuts first: equal prefixes and suffixes, tokens that the other side lacks, and a
+    side that is a subsequence of the other; the rest is bit-parallel.
+    """
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - n:][::-1] != b[len(b) - n:][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    a, b = a[np.isin(a, b)], b[np.isin(b, a)]
+    if not len(a) or not len(b):
+        return head + tail
+    x, y = (a.tolist(), b.tolist()) if len(a) >= len(b) else (b.tolist(), a.tolist())
+    rest = iter(x)
+    if all(token in rest for token in y):
+        return head + tail + len(y)
+    return head + tail + _lcs_with_masks(len(x), _masks(x), y)

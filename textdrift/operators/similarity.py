@@ -1,16 +1,9 @@
 """Pair similarity of every later version against its original.
 
-Overlap metrics (BLEU-2, ROUGE-1/2/L) are computed for a whole chain at once:
-
-1. one projection per chain row: token arrays of T0..T3, their lengths, and the LCS of T0
-   against T1..T3 (the one Arrow UDF);
-2. ``explode`` of stage-tagged n-grams (BLEU unigrams ``a``, bigrams ``b``; ROUGE unigrams
-   ``c``, bigrams ``d``), counted per (chain, n-gram) and stage;
-3. ``sum(least(c_T0, c_Tn))`` per chain = clipped matches.
-
-Both aggregates are keyed by the chain, whose rows are already hash-partitioned by document,
-so the exploded n-grams never cross the network. T0 is tokenised once per chain, not once per
-(chain, stage) pair.
+Overlap metrics (BLEU-2, ROUGE-1/2/L) are counted inside one Arrow task over chain rows
+(``functions/overlap.py``): the texts of a slice of chains are tokenised by numpy (a shared T0
+once), n-grams are hashed and counted by sorting, and only the counts come back. The metric
+formulas are Spark expressions on these counts. Nothing is shuffled.
 
 Formulas: BLEU-2 with smoothing method 1 (Papineni 2002; Chen & Cherry 2014),
 ROUGE-N / ROUGE-L F-measure (Lin 2004).
@@ -18,122 +11,72 @@ ROUGE-N / ROUGE-L F-measure (Lin 2004).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.constants import LATER_STAGES, METRIC_LABELS, STAGES
+from textdrift.functions import overlap
 from textdrift.functions import text as tx
 from textdrift.functions import vectors as vx
-from textdrift.functions.lcs import lcs_against_first
 from textdrift.operators.reshape import CHAIN_KEYS
 
 ALL_METRICS = ("bleu", "rouge1", "rouge2", "rougeL")
-# a piece starting a "piece piece" pair (pieces are separated by exactly one space)
-_BIGRAM_RE = r"(?<![^ ])(?=([^ ]+ [^ ]+))"
-_KIND = {"bleu1": "a", "bleu2": "b", "rouge1": "c", "rouge2": "d"}
-
-
-def _tagged(arr: Column, prefix: str) -> Column:
-    return F.transform(arr, lambda g: F.concat(F.lit(prefix), g))
 
 
 def _f(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def overlap_counts(chains: DataFrame, with_lcs: bool) -> DataFrame:
+    """Chain keys and the counts of ``overlap.count_columns`` for every chain."""
+    names = overlap.count_columns(with_lcs)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, counts in overlap.chain_counts(batch, with_lcs):
+                keys = [batch.column(i)[a:b] for i in range(len(CHAIN_KEYS))]
+                yield pa.RecordBatch.from_arrays(keys + [pa.array(counts[n], pa.int64()) for n in names],
+                                                 names=CHAIN_KEYS + names)
+
+    schema = ", ".join([f"{k} string" for k in CHAIN_KEYS] + [f"{n} long" for n in names])
+    return chains.select(*[F.col(k).cast("string") for k in CHAIN_KEYS], *STAGES).mapInArrow(task, schema)
+
+
 def score_chains(chains: DataFrame, metrics=ALL_METRICS) -> DataFrame:
     """M5: chain columns + ``<metric>_<stage>`` for stages T1..T3 (NULL when T0 or Tn is absent).
 
-    The aggregates are keyed by the four chain-key strings only: token counts are sums of the
-    n-gram counts, and stage presence is a marker element ``#`` added for every present text.
+    The counts of a chain come from its own row, so the operator plans no exchange, whether the
+    chains come from R1 or from a stored table.
     """
     metrics = [m for m in ALL_METRICS if m in set(metrics)]
-    need_bleu = "bleu" in metrics
-    need_rouge = any(m.startswith("rouge") for m in metrics)
-    kinds = (["a", "b"] if need_bleu else []) + (["c"] if "rouge1" in metrics else []) \
-        + (["d"] if "rouge2" in metrics else []) + (["r"] if "rougeL" in metrics else [])
-    empty = F.array().cast("array<string>")
-
-    # one row per present stage text (a Generate of 4 structs), then one row per n-gram; the
-    # n-grams come from regex functions only (no per-element lambdas): tokens are re-spaced into
-    # a single-space-separated string with a kind prefix, unigrams are its pieces and bigrams
-    # are zero-width lookahead matches of "piece piece".
-    stages = F.array(*[F.struct(F.lit(i).alias("s"), F.col(st).alias("t"))
-                       for i, st in enumerate(STAGES)])
-    per_stage = chains.select(*CHAIN_KEYS, F.inline(stages)).where(F.col("t").isNotNull())
-
-    def pieces(spaced):
-        return F.when(spaced == "", empty).otherwise(F.split(spaced, " "))
-
-    def pairs(spaced):
-        return F.regexp_extract_all(spaced, F.lit(_BIGRAM_RE), 1)
-
-    parts = [F.array(F.lit("#"))]
-    low = F.lower(F.col("t"))
-    if need_bleu:
-        b = F.trim(F.regexp_replace(F.regexp_replace(low, tx.BLEU_TOKEN_RE, " a$0 "),
-                                    f"[{tx.WS_CHARS}]+", " "))
-        parts += [pieces(b), pairs(b)]
-    if need_rouge:
-        r = F.regexp_replace(F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")), "([a-z0-9]+)", "c$1")
-        parts.append(pieces(r))
-        if "rouge2" in metrics:
-            parts.append(pairs(r))
-    exploded = per_stage.select(*CHAIN_KEYS, F.col("s").alias("_s"),
-                                F.explode(F.concat(*parts)).alias("_g"))
-    counts = exploded.groupBy(*CHAIN_KEYS, "_g").agg(
-        *[F.count_if(F.col("_s") == i).alias(f"_c{i}") for i in range(4)])
-    # kind: a / b = BLEU uni- / bigram, c / d = ROUGE uni- / bigram (a bigram holds a space)
-    first = F.substring(F.col("_g"), 1, 1)
-    is_pair = F.instr(F.col("_g"), " ") > 0
-    kind = (F.when(first == "a", F.when(is_pair, "b").otherwise("a"))
-            .when(first == "c", F.when(is_pair, "d").otherwise("c")).otherwise(first))
-    aggs = [F.sum(F.when(F.col("_g") == "#", F.col(f"_c{i}")).otherwise(0)).alias(f"_has{i}")
-            for i in range(4)]
-    len_kinds = (["a"] if need_bleu else []) + (["c"] if need_rouge else [])
-    aggs += [F.sum(F.when(kind == k, F.col(f"_c{i}")).otherwise(0)).cast("long").alias(f"_n{k}{i}")
-             for k in len_kinds for i in range(4)]
-    aggs += [F.sum(F.when(kind == k, F.least(F.col("_c0"), F.col(f"_c{i}"))).otherwise(0))
-             .cast("long").alias(f"_m{k}{i}")
-             for k in kinds if k in ("a", "b", "c", "d") and (k != "c" or "rouge1" in metrics)
-             for i in (1, 2, 3)]
-    matches = counts.groupBy(*CHAIN_KEYS).agg(*aggs)
-    if "rougeL" in metrics:
-        # The Arrow UDF does not keep the document partitioning, so it runs in a branch of its
-        # own that yields one small row per chain; only those rows are shuffled for the join.
-        lcs = chains.select(*CHAIN_KEYS, lcs_against_first(
-            *[F.when(F.col(st).isNotNull(), F.coalesce(tx.rouge_tokens(st), empty))
-              for st in STAGES]).alias("_lcs"))
-        cond = [matches[k].eqNullSafe(lcs[k]) for k in CHAIN_KEYS]
-        matches = matches.join(lcs, cond, "left").select(matches["*"], lcs["_lcs"])
-
     out = [*CHAIN_KEYS, tx.family_of("paraphraser").alias("family")]
     for i, st in zip((1, 2, 3), LATER_STAGES):
-        valid = (F.col("_has0") > 0) & (F.col(f"_has{i}") > 0)
-        if need_bleu:
-            hyp, ref = F.col(f"_na{i}"), F.col("_na0")
-            p1 = F.col(f"_ma{i}") / F.greatest(hyp, F.lit(1))
+        valid = (F.col("has0") > 0) & (F.col(f"has{i}") > 0)
+        if "bleu" in metrics:
+            hyp, ref = F.col(f"n_bleu{i}"), F.col("n_bleu0")
+            p1 = F.col(f"m_bleu1{i}") / F.greatest(hyp, F.lit(1))
             hyp2 = F.greatest(hyp - 1, F.lit(0))
-            p2 = F.when(F.col(f"_mb{i}") > 0, F.col(f"_mb{i}") / F.greatest(hyp2, F.lit(1))) \
+            p2 = F.when(F.col(f"m_bleu2{i}") > 0, F.col(f"m_bleu2{i}") / F.greatest(hyp2, F.lit(1))) \
                 .otherwise(F.lit(0.1) / F.greatest(hyp2, F.lit(1)))
             bp = F.when(hyp > ref, F.lit(1.0)).otherwise(F.exp(1 - ref / hyp))
-            bleu = F.when(F.col(f"_ma{i}") == 0, F.lit(0.0)).otherwise(bp * F.sqrt(p1 * p2))
+            bleu = F.when(F.col(f"m_bleu1{i}") == 0, F.lit(0.0)).otherwise(bp * F.sqrt(p1 * p2))
             out.append(F.when(valid, bleu).alias(f"bleu_{st}"))
-        for m, k, off in (("rouge1", "c", 0), ("rouge2", "d", 1)):
+        for m, off in (("rouge1", 0), ("rouge2", 1)):
             if m in metrics:
-                hyp = F.greatest(F.col(f"_nc{i}") - off, F.lit(0))
-                ref = F.greatest(F.col("_nc0") - off, F.lit(0))
-                match = F.col(f"_m{k}{i}")
-                p = match / F.greatest(hyp, F.lit(1))
-                r = match / F.greatest(ref, F.lit(1))
-                out.append(F.when(valid, _f(p, r)).alias(f"{m}_{st}"))
+                hyp = F.greatest(F.col(f"n_rouge{i}") - off, F.lit(0))
+                ref = F.greatest(F.col("n_rouge0") - off, F.lit(0))
+                match = F.col(f"m_{m}{i}")
+                out.append(F.when(valid, _f(match / F.greatest(hyp, F.lit(1)), match / F.greatest(ref, F.lit(1))))
+                           .alias(f"{m}_{st}"))
         if "rougeL" in metrics:
-            lcs = F.col(f"_lcs.lcs_{st}")
-            hyp, ref = F.col(f"_nc{i}"), F.col("_nc0")
+            lcs, hyp, ref = F.col(f"lcs{i}"), F.col(f"n_rouge{i}"), F.col("n_rouge0")
             p = F.when(hyp > 0, lcs / hyp).otherwise(F.lit(0.0))
             r = F.when(ref > 0, lcs / ref).otherwise(F.lit(0.0))
             out.append(F.when(valid, _f(p, r)).alias(f"rougeL_{st}"))
-    return matches.select(*out)
+    return overlap_counts(chains, "rougeL" in metrics).select(*out)
 
 
 def bleu2(chains: DataFrame) -> DataFrame:
