@@ -60,3 +60,18 @@ def test_lookup_chain_not_found(spark):
     assert not got["T1"].found and got["T1"].word_count == 0
     miss = rs.lookup_chain(ch, "d", "nope", "s", "p").collect()
     assert all(not r.found for r in miss) and len(miss) == 4
+
+
+def test_null_labels_are_a_class_of_their_own(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "A") for i in range(40)], "id long, label string")
+    split = rs.stratified_split(df, "label", ["id"], 0.25)
+    assert split.count() == 40 and split.where("split = 'test'").groupBy("label").count().count() == 2
+    assert rs.balance_classes(df.where("id < 30 OR label IS NULL"), "label", ["id"]).groupBy("label").count() \
+        .select("count").distinct().count() == 1
+
+
+def test_seeded_order_is_repeatable(spark):
+    df = labelled(spark, 200)
+    first = [r.id for r in rs.seeded_order(df, ["id"], 3).collect()]
+    assert first == [r.id for r in rs.seeded_order(df.repartition(4), ["id"], 3).collect()]
+    assert sorted(first) == list(range(200)) and first != list(range(200))

@@ -42,13 +42,13 @@ def tokens(col, pattern: str) -> Column:
 # ---------------------------------------------------------------------------------------------
 
 def stage_of(version_name="version_name") -> Column:
-    """Original -> T0; no underscore -> T1; one -> T2; two or more -> T3."""
+    """Original -> T0; no underscore -> T1; one -> T2; two or more -> T3; NULL -> NULL."""
     v = _c(version_name)
     underscores = F.length(v) - F.length(F.replace(v, F.lit("_"), F.lit("")))
     return (F.when(v == ORIGINAL, "T0")
             .when(underscores == 0, "T1")
             .when(underscores == 1, "T2")
-            .otherwise("T3"))
+            .when(underscores > 1, "T3"))
 
 
 def paraphraser_of(version_name="version_name") -> Column:
@@ -102,13 +102,19 @@ def unique_word_count(cleaned) -> Column:
     return F.size(F.array_distinct(tokens(cleaned, ROUGE_TOKEN_RE))).cast("long")
 
 
+def is_blank(text="text") -> Column:
+    """NULL, or nothing but white space (every character of ``WS_CHARS``)."""
+    t = _c(text)
+    return t.isNull() | ~t.rlike(WORD_RE)
+
+
 def guard_text(text="text", max_chars: int | None = None) -> Column:
     """Null or blank -> empty string; optional cut to ``max_chars`` characters.
 
     ``max_chars=None`` keeps the whole text (the default of every registered query).
     """
     t = _c(text)
-    guarded = F.when(t.isNull() | (F.trim(t) == ""), F.lit("")).otherwise(t)
+    guarded = F.when(is_blank(t), F.lit("")).otherwise(t)
     if max_chars is not None:
         guarded = F.substring(guarded, 1, int(max_chars))
     return guarded

@@ -50,8 +50,20 @@ def entity_set_typed(text, max_chars: int | None = None) -> Column:
 
 
 def entity_sets(versions: DataFrame, text_col: str = "text", out: str = "ents",
-                max_chars: int | None = None) -> DataFrame:
-    return versions.withColumn(out, entity_set(text_col, max_chars))
+                max_chars: int | None = None, mentions: DataFrame | None = None,
+                id_cols=("dataset", "key", "source", "version_name", "seq")) -> DataFrame:
+    """``versions`` with the entity set of each row.
+
+    ``mentions`` (``id_cols``, mention) is any tagger's table; its mentions, lower-cased and
+    trimmed, then take the place of the patterns. Rows without mentions have an empty set.
+    """
+    if mentions is None:
+        return versions.withColumn(out, entity_set(text_col, max_chars))
+    found = mentions.groupBy(*[F.col(c).alias(f"_own_{c}") for c in id_cols]).agg(
+        F.collect_set(F.lower(F.trim("mention"))).alias(out))
+    same = [versions[c].eqNullSafe(F.col(f"_own_{c}")) for c in id_cols]
+    return versions.join(found, same, "left").select(
+        versions["*"], F.coalesce(out, F.array().cast("array<string>")).alias(out))
 
 
 def retention(ref: Column, hyp: Column) -> Column:
@@ -74,10 +86,9 @@ def retention(ref: Column, hyp: Column) -> Column:
 
 
 def entities_for_chains(versions: DataFrame, max_chars: int | None = None,
-                        paraphrasers=None) -> DataFrame:
+                        mentions: DataFrame | None = None) -> DataFrame:
     """Chains with ``ner_T0..ner_T3`` (missing stage -> empty set, like an empty text)."""
-    ch = build_chains(entity_sets(versions, max_chars=max_chars), values=["ents"],
-                      paraphrasers=paraphrasers)
+    ch = build_chains(entity_sets(versions, max_chars=max_chars, mentions=mentions), values=["ents"])
     empty = F.array().cast("array<string>")
     return ch.select(*CHAIN_KEYS, "family", "T0", "T1", "T2", "T3",
                      *[F.coalesce(F.col(f"ents_{s}"), empty).alias(f"ner_{s}") for s in STAGES])

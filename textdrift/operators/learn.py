@@ -101,7 +101,7 @@ def train_attribution(chains: DataFrame, seed: int = 42, max_features: int = 500
     rows = chains.withColumn("label", binary_label())
     if balanced:
         rows = balance_classes(rows, "label", CHAIN_KEYS, seed=seed)
-    rows = rows.withColumn("doc_id", F.concat_ws("|", *CHAIN_KEYS))
+    rows = rows.withColumn("doc_id", F.to_json(F.struct(*CHAIN_KEYS)))     # distinct also for NULL keys
     train = rows.where(F.col("T0").isNotNull())
     vocab = fit_vocabulary(train, "doc_id", "T0", max_features, min_df).cache()
     x = transform_tfidf(train.select("doc_id", "T0", "label"), vocab, "doc_id", "T0")

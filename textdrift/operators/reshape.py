@@ -16,66 +16,36 @@ CHAIN_KEYS = DOC_KEYS + ["paraphraser"]
 
 # the md5 order is cut into 16^4 = 65,536 buckets by its first four hex digits
 _BUCKET_DIGITS = 4
-# a threshold table larger than this is joined by shuffle instead of broadcast
-_BROADCAST_ROWS = 2_000_000
 
 
-def discover_paraphrasers(versions: DataFrame) -> list[str]:
-    """Distinct rewriter names (bounded by the version-name vocabulary, not by the data)."""
-    lv = versions if "paraphraser" in versions.columns else with_version_columns(versions)
-    rows = (lv.select("paraphraser").where(F.col("paraphraser").isNotNull()
-                                           & (F.col("paraphraser") != ORIGINAL))
-            .distinct().collect())
-    return sorted(r[0] for r in rows)
-
-
-def build_chains(versions: DataFrame, values=(), order_col: str = "seq",
-                 paraphrasers=None) -> DataFrame:
+def build_chains(versions: DataFrame, values=(), order_col: str = "seq") -> DataFrame:
     """Long version table -> one row per (dataset, key, source, paraphraser).
 
     Columns: dataset, key, source, paraphraser, family, T0, T1, T2, T3 (+ ``<value>_<stage>`` for
     each extra column in ``values``). Per stage the first row wins (lowest ``order_col``, then
-    lowest text). A document without any rewrite gives no chain; missing stages stay NULL.
+    lowest text). A document without any rewrite gives no chain; missing stages stay NULL; rows
+    without a version name belong to no chain; NULL keys group together.
 
-    Plan: ONE aggregate keyed by (dataset, key, source) holding one conditional ``min(struct)``
-    slot per (rewriter, stage). Its partial half runs before the exchange, so duplicate rows of a
-    hot key are collapsed map-side and only one row per document crosses the network. Chains are
-    then generated from that row: no join, no second exchange.
+    Plan: the first aggregate, keyed by document and rewriter, holds one ``min(struct)`` slot per
+    stage, so that duplicate versions collapse before any exchange; the second gathers a
+    document's rewriters (one row each) and hands the original to all of them. Any rewriter name
+    is taken as it comes. On input that is partitioned by document neither plans an exchange.
     """
     lv = versions if "stage" in versions.columns else with_version_columns(versions)
     values = list(values)
-    paras = list(paraphrasers) if paraphrasers is not None else discover_paraphrasers(lv)
     order = F.col(order_col) if order_col in lv.columns else F.col("version_name")
-    slot = F.struct(order.alias("_o"), F.col("text").alias("text"),
-                    *[F.col(v).alias(v) for v in values])
-    is_t0 = F.col("stage") == "T0"
-    aggs = [F.min(F.when(is_t0, slot)).alias("_s_T0")]
-    for i, p in enumerate(paras):
-        for st in LATER_STAGES:
-            cond = (F.col("paraphraser") == p) & (F.col("stage") == st)
-            aggs.append(F.min(F.when(cond, slot)).alias(f"_s{i}_{st}"))
-    relevant = lv.where(is_t0 | F.col("paraphraser").isin(*paras)) if paras else lv.where(is_t0)
-    per_doc = relevant.groupBy(*DOC_KEYS).agg(*aggs)
-
-    if not paras:
-        per_doc = per_doc.where(F.lit(False))
-        chain_arr = F.array(F.struct(F.lit(None).cast("string").alias("paraphraser"),
-                                     *[F.col("_s_T0").alias(st) for st in LATER_STAGES]))
-    else:
-        chain_arr = F.array(*[
-            F.struct(F.lit(p).alias("paraphraser"),
-                     *[F.col(f"_s{i}_{st}").alias(st) for st in LATER_STAGES])
-            for i, p in enumerate(paras)])
-    present = F.filter(chain_arr, lambda c: c["T1"].isNotNull() | c["T2"].isNotNull()
-                       | c["T3"].isNotNull())
-    rows = per_doc.select(*DOC_KEYS, "_s_T0", F.explode(present).alias("_c"))
-    out = [*DOC_KEYS, F.col("_c.paraphraser").alias("paraphraser"),
-           tx.family_of(F.col("_c.paraphraser")).alias("family"),
-           F.col("_s_T0.text").alias("T0")]
-    out += [F.col(f"_c.{st}.text").alias(st) for st in LATER_STAGES]
-    for v in values:
-        out.append(F.col(f"_s_T0.{v}").alias(f"{v}_T0"))
-        out += [F.col(f"_c.{st}.{v}").alias(f"{v}_{st}") for st in LATER_STAGES]
+    slot = F.struct(order.alias("_o"), F.col("text").alias("text"), *[F.col(v).alias(v) for v in values])
+    original = F.col("paraphraser") == ORIGINAL
+    relevant = lv.where(F.col("stage").isNotNull() & (original == (F.col("stage") == "T0")))
+    slots = relevant.groupBy(*DOC_KEYS, "paraphraser").agg(
+        *[F.min(F.when(F.col("stage") == st, slot)).alias(f"_{st}") for st in STAGES])
+    per_doc = slots.groupBy(*DOC_KEYS).agg(
+        F.max(F.when(original, F.col("_T0"))).alias("_T0"),
+        F.collect_list(F.when(~original, F.struct("paraphraser", *[f"_{st}" for st in LATER_STAGES]))).alias("_c"))
+    rows = per_doc.select(*DOC_KEYS, "_T0", F.inline("_c"))
+    out = [*DOC_KEYS, "paraphraser", tx.family_of("paraphraser").alias("family")]
+    out += [F.col(f"_{st}.text").alias(st) for st in STAGES]
+    out += [F.col(f"_{st}.{v}").alias(f"{v}_{st}") for v in values for st in STAGES]
     return rows.select(*out)
 
 
@@ -107,14 +77,14 @@ def melt_chains(chains: DataFrame, ids=None, stages=STAGES, value_name: str = "t
     long = chains.unpivot(ids, list(stages), "stage", value_name)
     cond = F.col(value_name).isNotNull()
     if not keep_blank:
-        cond = cond & (F.trim(F.col(value_name)) != "")
+        cond = cond & ~tx.is_blank(value_name)
     return long.where(cond)
 
 
 def rank_key(seed, id_cols) -> Column:
     """Repeatable pseudo-random order: md5 of ``seed:id...`` (equal in Spark and DuckDB)."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)),
-                             *[F.col(c).cast("string") for c in id_cols]))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[
+        F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in id_cols]))
 
 
 def sample_n(df: DataFrame, n: int, id_cols, by=None, seed: int = 42) -> DataFrame:
@@ -138,6 +108,8 @@ def flag_head_per_group(df: DataFrame, group_cols, order_col: str, id_cols, k_of
     the smallest group size. Exact and skew-proof: rows are counted per (group, 4-hex-digit
     bucket) (at most groups x 65,536 rows), buckets wholly inside the cut are flagged in bulk,
     and only the one crossing bucket per group (about size/65,536 rows) is ranked by a window.
+    NULL groups are groups like any other. Spark picks the join with the small count table from
+    its size at run time.
     """
     group_cols = list(group_cols)
     b = F.substring(F.col(order_col), 1, _BUCKET_DIGITS)
@@ -151,9 +123,9 @@ def flag_head_per_group(df: DataFrame, group_cols, order_col: str, id_cols, k_of
     cum = cum.withColumn("_k", k_of(F.col("_total"), F.col("_mintotal")).cast("long"))
     cuts = cum.select(*group_cols, "_b", (F.col("_after") - F.col("_n")).alias("_before"),
                       "_after", "_k")
-    if cuts.count() <= _BROADCAST_ROWS:
-        cuts = F.broadcast(cuts)
-    joined = tagged.join(cuts, [*group_cols, "_b"], "left")
+    cuts = cuts.withColumnsRenamed({c: f"_cut_{c}" for c in [*group_cols, "_b"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in [*group_cols, "_b"]]
+    joined = tagged.join(cuts, same).drop(*[f"_cut_{c}" for c in [*group_cols, "_b"]])
     partial = (F.col("_before") < F.col("_k")) & (F.col("_after") > F.col("_k"))
     whole = joined.where(~partial).withColumn("_head", F.col("_after") <= F.col("_k"))
     w = Window.partitionBy(*group_cols, "_b").orderBy(order_col, *id_cols)

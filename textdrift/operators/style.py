@@ -3,7 +3,7 @@
 Text-only features (sentence length, type-token ratio, punctuation) are native expressions on
 the text row. Tag shares and tree depth read an annotation table
 ``(id..., pos, token, tag, head)``; ``annotate`` builds one with a closed word list (broadcast
-join) and regex rules, and any external tagger's table can replace it.
+join) and regex rules, and any external tagger's table can replace it (``annotations=``).
 
 Features are computed once per row of the LONG version table (each original once) and carried
 into chains by R1; chain-level summaries then weight every chain row like the reference does.
@@ -21,7 +21,6 @@ from textdrift.constants import (LATER_STAGES, MAIN_POS, SCALAR_FEATURES, STAGES
 from textdrift.functions import text as tx
 from textdrift.functions import vectors as vx
 from textdrift.operators.reshape import CHAIN_KEYS, build_chains
-from textdrift.session import ensure_checkpoint_dir
 
 VERSION_KEYS = ["dataset", "key", "source", "version_name", "seq"]
 
@@ -69,8 +68,10 @@ def _rule_tag(tok: Column, lex: Column) -> Column:
 
 
 def text_id(cols=VERSION_KEYS) -> list[Column]:
-    """Compact 96-bit text id (xxhash64 + murmur3) used as join key of annotation tables."""
-    return [F.xxhash64(*cols).alias("tid_a"), F.hash(*cols).alias("tid_b")]
+    """Compact 96-bit text id (xxhash64 + murmur3) used as join key of annotation tables; which
+    columns are NULL is part of it."""
+    marked = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*marked).alias("tid_a"), F.hash(*marked).alias("tid_b")]
 
 
 TID = ["tid_a", "tid_b"]
@@ -158,72 +159,98 @@ def text_features(texts: DataFrame, text_col: str = "text") -> DataFrame:
 # Annotation-based features
 # ---------------------------------------------------------------------------------------------
 
+def _depth_of(nodes: Column) -> Column:
+    """struct(dep_depth_mean, dep_depth_max) of one tree, an array of struct(pos, head).
+
+    Pointer doubling inside the row: after ceil(log2 n) steps every pointer has passed n - 1
+    edges, so a pointer that is not at a root by then is in a cycle, which raises an error. A head
+    that is NULL or no position of the text makes its token a root.
+    """
+    def let(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def parents(x: Column) -> Column:
+        n = F.size(x)
+        dense = (F.element_at(x, 1)["pos"] == 1) & (F.element_at(x, -1)["pos"] == n)
+        places = F.transform(x, lambda v: v["pos"])
+
+        def parent(v: Column, i: Column) -> Column:
+            direct = F.when((v["head"] >= 1) & (v["head"] <= n), v["head"])
+            at = F.when(dense, direct).otherwise(F.nullif(F.array_position(places, v["head"]), F.lit(0)))
+            return F.coalesce(at, i + 1).cast("int")
+        return F.transform(x, parent)
+
+    def walk(parent: Column) -> Column:
+        start = F.struct(parent.alias("to"), F.transform(parent, lambda p, i: F.when(p == i + 1, 0).otherwise(1)
+                                                         .cast("long")).alias("far"))
+
+        def double(state: Column, _: Column) -> Column:
+            return F.struct(
+                F.transform(state["to"], lambda p: F.get(state["to"], p - 1)).alias("to"),
+                F.zip_with(state["far"], state["to"], lambda d, p: d + F.get(state["far"], p - 1)).alias("far"))
+        rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(parent).cast("double"))), F.lit(1)).cast("int"))
+        return let(F.aggregate(rounds, start, double), lambda end: F.struct(
+            F.when(F.exists(end["to"], lambda p: F.get(parent, p - 1) != p),
+                   F.raise_error(F.lit("the heads of a text form a cycle")).cast("double"))
+            .otherwise(F.aggregate(end["far"], F.lit(0).cast("long"), lambda t, d: t + d) / F.size(end["far"]))
+            .alias("dep_depth_mean"), F.array_max(end["far"]).cast("double").alias("dep_depth_max")))
+
+    return let(let(nodes, parents), walk)
+
+
+def annotation_features(annotations: DataFrame, tags=TRACKED_POS, id_cols=TID,
+                        with_depth: bool = True) -> DataFrame:
+    """Y4 and Y5 in one aggregate, one row per text: ``pos_<TAG>`` shares and tree depths.
+
+    A text's tokens meet in one row (a tree is bounded by its text), so the one exchange of the
+    aggregate is all that is shuffled, and nothing is written.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(F.col("tag") == t).alias(f"_c_{t}") for t in tags]
+    if with_depth:
+        aggs.append(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"),
+                                                         F.col("head").cast("long").alias("head")))).alias("_nodes"))
+    per_text = annotations.groupBy(*id_cols).agg(*aggs)
+    out = [*id_cols, *[(F.col(f"_c_{t}") / F.col("_n")).alias(f"pos_{t}") for t in tags]]
+    if not with_depth:
+        return per_text.select(*out)
+    return per_text.select(*out, _depth_of(F.col("_nodes")).alias("_d")).select(
+        *id_cols, *[f"pos_{t}" for t in tags], "_d.*")
+
+
 def tag_distribution(annotations: DataFrame, tags=TRACKED_POS, id_cols=TID) -> DataFrame:
     """Share of each tag among ALL tokens of a text (``pos_<TAG>`` columns)."""
-    counts = annotations.groupBy(*id_cols).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.col("tag") == t).alias(f"_c_{t}") for t in tags])
-    return counts.select(*id_cols, *[(F.col(f"_c_{t}") / F.col("_n")).alias(f"pos_{t}")
-                                     for t in tags])
-
+    return annotation_features(annotations, tags, id_cols, with_depth=False)
 
-def tree_depth(annotations: DataFrame, id_cols=TID, max_rounds: int = 64) -> DataFrame:
-    """Per text, mean and max distance of every token to its root (root: head = itself).
 
-    Pointer doubling: each round joins the (node -> ancestor, distance) table with itself, so
-    after k rounds every pointer has jumped 2^k steps; about log2(depth) rounds reach every root.
-    Each round is checkpointed (reliable, into the session's checkpoint folder), which both cuts
-    the lineage and makes the convergence count cheap.
-    """
-    spark = annotations.sparkSession
-    ensure_checkpoint_dir(spark)
-    state = annotations.select(*id_cols, F.col("pos").alias("node"), F.col("head").alias("anc"),
-                               F.when(F.col("pos") == F.col("head"), 0).otherwise(1)
-                               .cast("long").alias("dist"),
-                               (F.col("pos") == F.col("head")).alias("final"))
-    keys = [f"_k{i}" for i in range(len(id_cols))]
-    for _ in range(max_rounds):
-        nxt = state.select(*[F.col(c).alias(k) for c, k in zip(id_cols, keys)],
-                           F.col("node").alias("_n"), F.col("anc").alias("_a"),
-                           F.col("dist").alias("_d"), F.col("final").alias("_f"))
-        cond = [F.col(c) == F.col(k) for c, k in zip(id_cols, keys)] + \
-            [F.col("anc") == F.col("_n")]
-        state = state.join(nxt, cond, "left").select(
-            *id_cols, "node",
-            F.when(F.col("final"), F.col("anc")).otherwise(F.coalesce("_a", "anc")).alias("anc"),
-            F.when(F.col("final"), F.col("dist"))
-            .otherwise(F.col("dist") + F.coalesce(F.col("_d"), F.lit(0))).alias("dist"),
-            (F.col("final") | F.coalesce(F.col("_f"), F.lit(True))).alias("final"))
-        state = state.checkpoint()
-        if state.where(~F.col("final")).limit(1).count() == 0:
-            break
-    return state.groupBy(*id_cols).agg(F.avg("dist").alias("dep_depth_mean"),
-                                       F.max("dist").cast("double").alias("dep_depth_max"))
+def tree_depth(annotations: DataFrame, id_cols=TID) -> DataFrame:
+    """Per text, mean and max distance of every token to its root (root: head = itself)."""
+    return annotation_features(annotations, [], id_cols)
 
 
 def style_features(versions: DataFrame, text_col: str = "text", id_cols=VERSION_KEYS,
-                   tags=TRACKED_POS, with_depth: bool = True) -> DataFrame:
+                   tags=TRACKED_POS, with_depth: bool = True, annotations: DataFrame | None = None) -> DataFrame:
     """One feature row per text: 6 scalars (rounded to 4) + ``pos_<TAG>`` shares.
 
-    Blank texts get zeros everywhere. Text-only features are computed on the text row; tag
-    shares and depths are aggregated from the annotation table and joined back by text id.
+    Blank texts get zeros everywhere. Text-only features are computed on the text row, which is
+    dropped then; the tag shares and depths of ``annotations`` (``id_cols``, pos, tag, head; any
+    tagger's table, by default the rule tagger's) are joined to these small rows by text id.
     """
-    base = text_features(versions.select(*id_cols, text_col, *text_id(id_cols)), text_col)
-    ann = annotate(versions.select(*id_cols, text_col), text_col, id_cols)
-    dist = tag_distribution(ann, tags)
-    out = base.join(dist, TID, "left")
-    if with_depth:
-        out = out.join(tree_depth(ann), TID, "left")
+    blank = tx.is_blank(text_col)
+    base = text_features(versions.select(*id_cols, text_col, *text_id(id_cols)), text_col).select(
+        *id_cols, *TID, F.col(text_col).isNotNull().alias("present"), blank.alias("_blank"),
+        "sent_len_mean", "sent_len_var", "ttr", "punct_ratio")
+    if annotations is None:
+        annotations = annotate(versions.select(*id_cols, text_col), text_col, id_cols)
     else:
+        annotations = annotations.select(*text_id(id_cols), "pos", "tag", "head")
+    out = base.join(annotation_features(annotations, tags, with_depth=with_depth), TID, "left")
+    if not with_depth:
         out = out.withColumns({"dep_depth_mean": F.lit(0.0), "dep_depth_max": F.lit(0.0)})
-    blank = F.trim(F.coalesce(F.col(text_col), F.lit(""))) == ""
-    scal = {f: F.when(blank, F.lit(0.0)).otherwise(F.bround(F.coalesce(F.col(f), F.lit(0.0)), 4))
-            for f in SCALAR_FEATURES}
-    shares = {f"pos_{t}": F.when(blank, F.lit(0.0)).otherwise(F.coalesce(F.col(f"pos_{t}"),
-                                                                           F.lit(0.0)))
-              for t in tags}
-    return out.select(*id_cols, F.col(text_col).isNotNull().alias("present"),
-                      *[e.alias(n) for n, e in {**scal, **shares}.items()])
+    value = {f: F.when(F.col("_blank"), F.lit(0.0)).otherwise(F.coalesce(F.col(f), F.lit(0.0)))
+             for f in [*SCALAR_FEATURES, *[f"pos_{t}" for t in tags]]}
+    scal = {f: F.bround(value[f], 4) for f in SCALAR_FEATURES}
+    return out.select(*id_cols, "present", *[e.alias(n) for n, e in {**value, **scal}.items()])
 
 
 def pos_vector(tags=TRACKED_POS, prefix: str = "pos_") -> Column:
@@ -234,7 +261,7 @@ def pos_vector(tags=TRACKED_POS, prefix: str = "pos_") -> Column:
 # Chains of features and their summaries
 # ---------------------------------------------------------------------------------------------
 
-def feature_chains(features: DataFrame, tags=TRACKED_POS, paraphrasers=None) -> DataFrame:
+def feature_chains(features: DataFrame, tags=TRACKED_POS) -> DataFrame:
     """Chains whose stage values are feature structs: ``f_T0..f_T3`` (NULL if the stage is absent).
 
     ``features`` is the output of ``style_features`` (version keys + features + ``present``); the
@@ -244,7 +271,7 @@ def feature_chains(features: DataFrame, tags=TRACKED_POS, paraphrasers=None) ->
     cols = SCALAR_FEATURES + [f"pos_{t}" for t in tags]
     fv = features.select(*VERSION_KEYS, F.when(F.col("present"), F.lit("")).alias("text"),
                          F.struct(*cols).alias("f"))
-    ch = build_chains(fv, values=["f"], paraphrasers=paraphrasers)
+    ch = build_chains(fv, values=["f"])
     return ch.select(*CHAIN_KEYS, "family", "T0", "T1", "T2", "T3",
                      *[F.col(f"f_{s}") for s in STAGES])
 

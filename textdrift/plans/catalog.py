@@ -25,8 +25,6 @@ from textdrift.sources import fixtures as fx
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-F1_PARAS = sorted(p for p, _ in fx.F1_REWRITERS)
-
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
@@ -56,7 +54,7 @@ def long_versions(spark, sf) -> DataFrame:
 
 
 def chains(spark, sf) -> DataFrame:
-    return rs.build_chains(long_versions(spark, sf), paraphrasers=F1_PARAS)
+    return rs.build_chains(long_versions(spark, sf))
 
 
 def turn_chains(spark, sf) -> DataFrame:
@@ -199,7 +197,7 @@ def r3_union_tagged(spark, sf):
 @register("r4_melt_chains", S.F1_CHAINS + f"""
 SELECT {CHS}, family, stage, CAST(length(text) AS BIGINT) AS n_chars FROM (
   UNPIVOT chains ON T0, T1, T2, T3 INTO NAME stage VALUE text)
-WHERE text IS NOT NULL AND trim(text) <> ''""")
+WHERE NOT """ + S.blank('text'))
 def r4_melt_chains(spark, sf):
     m = rs.melt_chains(chains(spark, sf), ids=CH + ["family"])
     return m.select(*CH, "family", "stage", F.length("text").cast("long").alias("n_chars"))
@@ -335,7 +333,7 @@ SELECT coalesce(c.dataset, v.dataset) AS dataset, n_chains, n_paraphrasers, n_do
                                                                         "chains),\nc AS"))
 def c5_corpus_stats(spark, sf):
     lv = long_versions(spark, sf)
-    return co.corpus_stats(rs.build_chains(lv, paraphrasers=F1_PARAS), lv)
+    return co.corpus_stats(rs.build_chains(lv), lv)
 
 
 @register("c6_value_shares_source", S.F1_CHAINS + """

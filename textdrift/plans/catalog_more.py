@@ -16,7 +16,7 @@ from textdrift.operators import similarity as sm
 from textdrift.operators import style as sy
 from textdrift.plans import sql as S
 from textdrift.session import ensure_checkpoint_dir
-from textdrift.plans.catalog import (CH, CHS, F1_PARAS, VK, VKS, chains, long_versions,
+from textdrift.plans.catalog import (CH, CHS, VK, VKS, chains, long_versions,
                                      m1_bleu2, register, rnd)
 from textdrift.sources import fixtures as fx
 
@@ -52,7 +52,7 @@ _RET = _ret_long_sql()
 
 
 def _ner_chains(spark, sf):
-    return en.entities_for_chains(long_versions(spark, sf), paraphrasers=F1_PARAS)
+    return en.entities_for_chains(long_versions(spark, sf))
 
 
 def _ret(spark, sf):
@@ -200,7 +200,7 @@ def _features_sql(tags=TRACKED_POS) -> str:
     """Per-version feature table ``feat`` (same columns as style.style_features)."""
     sl = S.sentence_lengths("v.text")
     tf = S.text_feature_exprs("v.text")
-    blank = "(trim(coalesce(v.text, '')) = '')"
+    blank = S.blank("v.text")
 
     def scal(e):
         return f"CASE WHEN {blank} THEN 0.0 ELSE {S.r4e(f'coalesce({e}, 0.0)')} END"
@@ -265,6 +265,25 @@ def y5_tree_depth(spark, sf):
     return _features(spark, sf).select(*VK, "dep_depth_mean", "dep_depth_max")
 
 
+@register("y5_tree_depth_heads", f"""
+WITH RECURSIVE d AS (SELECT doc_id, {S.tokens(S.guard('text'), sy.TOKEN_RE)} AS t FROM documents),
+tok AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM d),
+heads AS (SELECT doc_id, pos, greatest(1, pos // (2 + length(token) % 3)) AS head FROM tok),
+walk(doc_id, pos, node, n) AS (SELECT doc_id, pos, pos, 0 FROM heads UNION ALL
+  SELECT w.doc_id, w.pos, h.head, w.n + 1 FROM walk w JOIN heads h ON h.doc_id = w.doc_id AND h.pos = w.node
+  WHERE h.head <> h.pos),
+far AS (SELECT doc_id, pos, max(n) AS n FROM walk GROUP BY doc_id, pos)
+SELECT doc_id, {S.rnd('avg(n)')} AS dep_depth_mean, CAST(max(n) AS DOUBLE) AS dep_depth_max FROM far GROUP BY doc_id""")
+def y5_tree_depth_heads(spark, sf):
+    """Y5 on a head table that depends on the tokens: head = pos div (2 + token length mod 3)."""
+    docs = fx.read_table(spark, sf, "documents")
+    tok = docs.select("doc_id", F.posexplode(tx.tokens(tx.guard_text("text"), sy.TOKEN_RE)).alias("i", "token"))
+    pos = F.col("i") + 1
+    head = F.greatest(F.lit(1), F.floor(pos / (2 + F.length("token") % 3)))
+    ann = tok.select("doc_id", pos.alias("pos"), head.alias("head"))
+    return sy.tree_depth(ann, ["doc_id"]).withColumn("dep_depth_mean", rnd("dep_depth_mean"))
+
+
 @register("y6_style_features", S.with_(S.versions_cte(), _features_sql()) +
           f"SELECT {VKS}, present, " + ", ".join(SCALAR_FEATURES) + ", " +
           ", ".join(S.rnd(c) + f" AS {c}" for c in POS16) + " FROM feat")
@@ -293,15 +312,15 @@ fs AS (SELECT cs.*, {', '.join(f'fl.f.{c} AS {c}' for c in cols)}
 """
 
 
-def _fchains(spark, sf, tags=TRACKED_POS):
-    return sy.feature_chains(_features(spark, sf, tags), tags, paraphrasers=F1_PARAS)
+def _fchains(spark, sf, tags=TRACKED_POS, with_depth=False):
+    return sy.feature_chains(_features(spark, sf, tags, with_depth), tags)
 
 
 @register("y7_features_by_stage", _fchains_sql() + "SELECT dataset, stage, " + ", ".join(
     S.rnd(f"avg({c})") + f" AS {c}" for c in SCALAR_FEATURES + POS16) +
     " FROM fs GROUP BY dataset, stage")
 def y7_features_by_stage(spark, sf):
-    return _rnd_all(sy.features_by_stage(_fchains(spark, sf)), SCALAR_FEATURES + POS16)
+    return _rnd_all(sy.features_by_stage(_fchains(spark, sf, with_depth=True)), SCALAR_FEATURES + POS16)
 
 
 def _vec(stage_alias: str, tags) -> str:
@@ -369,7 +388,7 @@ _Y11 = "SELECT stage, " + ", ".join(f"avg({c}) AS {c}" for c in SCALAR_FEATURES)
 @register("y11_feature_summary_by_stage", _fchains_sql() + "SELECT stage, " + ", ".join(
     S.rnd(f"avg({c})") + f" AS {c}" for c in SCALAR_FEATURES) + " FROM fs GROUP BY stage")
 def y11_feature_summary_by_stage(spark, sf):
-    return _rnd_all(sy.feature_summary_by_stage(_fchains(spark, sf)), SCALAR_FEATURES)
+    return _rnd_all(sy.feature_summary_by_stage(_fchains(spark, sf, with_depth=True)), SCALAR_FEATURES)
 
 
 @register("y12_normalise_to_t0", _fchains_sql().rstrip() + f",\nsm AS ({_Y11})\nSELECT sm.stage, " +
@@ -377,7 +396,7 @@ def y11_feature_summary_by_stage(spark, sf):
                     for c in SCALAR_FEATURES) +
           " FROM sm, (SELECT * FROM sm WHERE stage = 'T0') t0")
 def y12_normalise_to_t0(spark, sf):
-    return _rnd_all(sy.normalise_to_t0(sy.feature_summary_by_stage(_fchains(spark, sf))),
+    return _rnd_all(sy.normalise_to_t0(sy.feature_summary_by_stage(_fchains(spark, sf, with_depth=True))),
                    SCALAR_FEATURES)
 
 
@@ -438,7 +457,7 @@ SELECT fs.stage, """ + ", ".join([
     + " AS whisker_high", S.rnd("avg(dep_depth_mean)") + " AS mean", "count(*) AS n"]) +
     " FROM fs JOIN q ON fs.stage = q.stage GROUP BY fs.stage")
 def y16_distribution_by_stage(spark, sf):
-    long = sy.features_by_stage_long(_fchains(spark, sf))
+    long = sy.features_by_stage_long(_fchains(spark, sf, with_depth=True))
     d = sy.distribution_by_stage(long, "dep_depth_mean")
     return _rnd_all(d, ["q1", "median", "q3", "whisker_low", "whisker_high", "mean"])
 
@@ -709,7 +728,7 @@ def l3_evaluate_model_by_stage(spark, sf):
 
 def _fingerprint_data(spark, sf, tfidf_features: int = 500):
     feats = _features(spark, sf)
-    fc = sy.feature_chains(feats, paraphrasers=F1_PARAS)
+    fc = sy.feature_chains(feats)
     t1 = fc.where(F.col("f_T1").isNotNull() & F.col("family").isin(*_FAMS))
     t1 = t1.select(F.concat_ws("|", *CH).alias("row_id"), *CH, "family",
                    *[F.col(f"f_T1.{c}").alias(c) for c in SCALAR_FEATURES + POS16])

@@ -51,7 +51,7 @@ def family_of(p: str) -> str:
 def stage_of(v: str) -> str:
     us = f"(length({v}) - length(replace({v}, '_', '')))"
     return (f"CASE WHEN {v} = 'original' THEN 'T0' WHEN {us} = 0 THEN 'T1' "
-            f"WHEN {us} = 1 THEN 'T2' ELSE 'T3' END")
+            f"WHEN {us} = 1 THEN 'T2' WHEN {us} > 1 THEN 'T3' END")
 
 
 def tokens(col: str, pattern: str) -> str:
@@ -85,8 +85,12 @@ def remove_stopwords(col: str) -> str:
             f"lambda x: NOT list_contains([{words}], x)), ' ')")
 
 
+def blank(col: str) -> str:
+    return f"({col} IS NULL OR NOT regexp_matches({col}, {q(tx.WORD_RE)}))"
+
+
 def guard(col: str) -> str:
-    return f"CASE WHEN {col} IS NULL OR trim({col}) = '' THEN '' ELSE {col} END"
+    return f"CASE WHEN {blank(col)} THEN '' ELSE {col} END"
 
 
 # ---------------------------------------------------------------------------------------------
