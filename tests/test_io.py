@@ -51,3 +51,32 @@ def test_read_or_empty(spark):
     write(os.path.join(d, "b.csv"), "stage,score\nT1,0.5\n")
     r = io.read_or_empty(spark, os.path.join(d, "b.csv"), schema).first()
     assert r.score == 0.5
+
+
+def test_columns_by_header_name_and_no_names(spark, tmp_path):
+    write(str(tmp_path / "wp_paraphrased.csv"), "text,source,key,version_name\nthe text,Human,wp-1,original\n")
+    row = io.read_versions(spark, str(tmp_path), ["wp"], schema=io.VERSION_SCHEMA).first()
+    assert (row.text, row.source, row.key, row.version_name, row.dataset) == ("the text", "Human", "wp-1", "original", "wp")
+    assert io.read_versions(spark, str(tmp_path), []).count() == 0
+
+
+def test_reader_feeds_chains_features_entities_and_scores(spark, tmp_path):
+    from textdrift.operators import entities as en, reshape as rs, similarity as sm, style as sy
+    write(str(tmp_path / "wp_paraphrased.csv"),
+          "source,key,text,version_name\nHuman,wp-1,Ann met 2 dogs. She ran.,original\n"
+          "Human,wp-1,Ann met dogs.,chatgpt\nHuman,wp-1,later row,chatgpt\nHuman,wp-1,Ann ran,chatgpt_chatgpt\n")
+    v = io.read_versions(spark, str(tmp_path), ["wp"])
+    chain = rs.build_chains(v).first()
+    assert (chain.T1, chain.T2, chain.T3) == ("Ann met dogs.", "Ann ran", None)
+    assert sy.feature_chains(sy.style_features(v)).first().f_T0.sent_len_mean == 3.0
+    assert sorted(en.entities_for_chains(v).first().ner_T0) == ["2", "ann", "she"]
+    score = sm.score_chains(rs.build_chains(v)).first()
+    assert 0 < score.rougeL_T2 < 1 and score.bleu_T3 is None
+
+
+def test_own_mentions(spark):
+    from textdrift.operators import entities as en
+    ids = "dataset string, key string, source string, version_name string, seq long"
+    v = spark.createDataFrame([("d", None, "s", "original", 0, "x"), ("d", "k", "s", "original", 0, "y")], ids + ", text string")
+    m = spark.createDataFrame([("d", None, "s", "original", 0, " Paris "), ("d", None, "s", "original", 0, "paris")], ids + ", mention string")
+    assert {r.key: r.ents for r in en.entity_sets(v, mentions=m).collect()} == {None: ["paris"], "k": []}

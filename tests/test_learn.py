@@ -67,3 +67,12 @@ def test_logistic_regression_separates(spark):
     x = le.transform_tfidf(docs, vocab, "id", "text")
     model = le.train_logistic(x, max_iter=100)
     assert model.summary.accuracy == 1.0
+
+
+def test_macro_f1_of_one_class_and_family_size_by_chains(spark):
+    from textdrift.operators import learn as le
+    rows = [(i, "gpt", st, "Human", "Human", st == "T0" or i < 9) for i in range(12) for st in ("T0", "T2")]
+    rows += [(i, "palm", "T0", "AI", "AI", True) for i in range(3)]
+    pred = spark.createDataFrame(rows, "row_id long, family string, stage string, label string, prediction string, present boolean")
+    got = {(r.family, r.stage): (r.n, r.f1_macro) for r in le.metrics_by_family(pred).collect()}
+    assert got == {("gpt", "T0"): (12, 1.0), ("gpt", "T2"): (9, 1.0)}

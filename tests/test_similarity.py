@@ -131,3 +131,19 @@ def test_lcs_of_codes_against_dynamic_program():
         a = rng.integers(0, 6, rng.integers(0, 30))
         b = rng.integers(0, 8, rng.integers(0, 30)) if n % 3 else a[rng.random(len(a)) < 0.7]
         assert lcs_of_codes(a, b) == lcs_dp(a.tolist(), b.tolist())
+
+
+def test_greedy_match_in_blocks_and_without_a_side(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    vec = {t: rng.normal(size=(n, 4)) for t, n in ((1, 13), (2, 9))}
+    tv = spark.createDataFrame([(t, i, row.tolist()) for t, m in vec.items() for i, row in enumerate(m)],
+                               "text_id long, pos long, vec array<double>")
+    pairs = spark.createDataFrame([(1, 2, "T1"), (2, 7, "T2")], "ref_id long, hyp_id long, stage string")
+    unit = {t: m / np.linalg.norm(m, axis=1, keepdims=True) for t, m in vec.items()}
+    sim = unit[1] @ unit[2].T
+    for block in (2, 512):
+        got = {r.stage: r for r in sm.greedy_match_f1(tv, pairs, block).collect()}
+        assert got["T1"].recall == pytest.approx(sim.max(axis=1).mean())
+        assert got["T1"].precision == pytest.approx(sim.max(axis=0).mean())
+        assert (got["T2"].precision, got["T2"].f1) == (None, None)

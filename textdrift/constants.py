@@ -13,18 +13,6 @@ WORKING_DATASETS = ["sci_gen", "wp", "xsum"]
 
 REQUIRED_COLUMNS = ["source", "key", "text", "version_name"]
 
-SOURCES = ["Eleuther-AI", "LLAMA", "Tsinghua", "BigScience", "Human", "PaLM", "OpenAI"]
-
-PARAPHRASERS = [
-    "pegasus(full)",
-    "pegasus(slight)",
-    "dipper(high)",
-    "palm",
-    "dipper",
-    "dipper(low)",
-    "chatgpt",
-]
-
 STAGES = ["T0", "T1", "T2", "T3"]
 LATER_STAGES = ["T1", "T2", "T3"]
 
@@ -36,7 +24,6 @@ FAMILIES = {
 }
 
 ORIGINAL = "original"
-HUMAN = "Human"
 
 # tag set of the style features: 16 tags, no AUX and no PROPN, legacy CONJ kept
 TRACKED_POS = [
@@ -74,7 +61,6 @@ INTENSITY_VARIANTS = [
 NO_RETURN_THRESHOLD = 0.55
 
 # ASCII punctuation (the 32 characters of Python's string.punctuation)
-ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # English stopwords (the common 179-word list)
 STOPWORDS_EN = [
@@ -96,8 +82,3 @@ STOPWORDS_EN = [
     "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't", "wouldn",
     "wouldn't",
 ]
-
-
-def family_rows():
-    """(paraphraser, family) pairs of the family map."""
-    return [(member, fam) for fam, members in FAMILIES.items() for member in members]

@@ -134,7 +134,8 @@ def _safe_div(a, b):
 
 
 def binary_metrics(pred: DataFrame, by=("stage",), pos: str = "Human", neg: str = "AI") -> DataFrame:
-    """L3/L4: accuracy, macro and weighted F1, precision and recall of both classes by ``by``.
+    """L3/L4: accuracy, macro and weighted F1, precision and recall of both classes by ``by``. The
+    macro mean is over the classes that occur as label or prediction.
 
     Zero division gives 0 (like the reference's zero_division=0). Rows with ``present`` false
     are left out when that column exists.
@@ -152,16 +153,20 @@ def binary_metrics(pred: DataFrame, by=("stage",), pos: str = "Human", neg: str
     hf = _safe_div(2 * hp * hr, hp + hr)
     af = _safe_div(2 * ap * ar, ap + ar)
     return conf.select(
-        *by, "n", _safe_div(tp + tn, n).alias("accuracy"), ((hf + af) / 2).alias("f1_macro"),
+        *by, "n", _safe_div(tp + tn, n).alias("accuracy"), 
+        _safe_div(hf + af, (tp + fn + fp > 0).cast("int") + (tn + fp + fn > 0).cast("int")).alias("f1_macro"),
         _safe_div(hf * (tp + fn) + af * (tn + fp), n).alias("f1_weighted"),
         hp.alias("human_precision"), hr.alias("human_recall"),
         ap.alias("ai_precision"), ar.alias("ai_recall"))
 
 
 def metrics_by_family(pred: DataFrame, min_n: int = 10) -> DataFrame:
-    """L4: L3 per family x stage, skipping family ``none`` and groups with n < min_n."""
+    """L4: L3 per family x stage, skipping family ``none`` and families with fewer than ``min_n``
+    chains (a chain has one prediction row per stage, present or not)."""
+    large = (pred.groupBy("family", "stage").agg(F.count(F.lit(1)).alias("_rows")).groupBy("family")
+             .agg(F.max("_rows").alias("_chains")).where(F.col("_chains") >= min_n).select("family"))
     m = binary_metrics(pred.where(F.col("family") != "none"), by=("family", "stage"))
-    return m.where(F.col("n") >= min_n)
+    return m.join(large, "family", "left_semi")
 
 
 def error_direction_by_stage(pred: DataFrame) -> DataFrame:
@@ -281,7 +286,3 @@ def silhouette_by_stage(vectors: DataFrame, features: str = "pca", label: str =
     ev = ClusteringEvaluator(featuresCol=features, predictionCol="_cluster",
                              metricName="silhouette", distanceMeasure="squaredEuclidean")
     return float(ev.evaluate(idx))
-
-
-def log2_rounds(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(n, 2))))

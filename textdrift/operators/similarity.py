@@ -156,45 +156,64 @@ def mean_embedding_cosine_by_stage(pairs: DataFrame, missing: str = "skip") -> D
     return piv.select("dataset", F.lit(1.0).alias("T0"), *LATER_STAGES)
 
 
-def greedy_match_f1(token_vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+MATCH_BLOCK = 512
+
+
+def greedy_match_f1(token_vectors: DataFrame, pairs: DataFrame, block: int = MATCH_BLOCK) -> DataFrame:
     """M9: BERTScore-style greedy matching of token vectors, per text pair.
 
     ``token_vectors``: (text_id, pos, vec); ``pairs``: (ref_id, hyp_id, ...). Each token is
     matched to its most similar token on the other side (cosine); precision = mean over
-    hypothesis tokens, recall = mean over reference tokens, F1 = 2PR/(P+R).
+    hypothesis tokens, recall = mean over reference tokens, F1 = 2PR/(P+R). A pair of which one
+    side has no vectors gets NULL.
 
-    The similarity matrix of a pair is formed inside one pandas task (numpy matmul over the
-    pair's vectors), never as rows; pairs are grouped by id, so a group holds the tokens of one
-    text pair (bounded by the encoder's window).
+    Both sides are dealt into blocks of about ``block`` tokens. A task forms the similarity
+    matrix of one block pair (numpy) and returns each token's best value there; the maxima over
+    blocks and the means are Spark aggregates, so no task holds a whole long text.
     """
     import numpy as np
     import pandas as pd
 
-    tv = token_vectors.select("text_id", "pos", "vec")
-    pair_cols = [c for c in pairs.columns]
-    ref = pairs.join(tv.withColumnRenamed("text_id", "ref_id"), "ref_id") \
-        .select(*pair_cols, F.lit(0).alias("side"), "pos", "vec")
-    hyp = pairs.join(tv.withColumnRenamed("text_id", "hyp_id"), "hyp_id") \
-        .select(*pair_cols, F.lit(1).alias("side"), "pos", "vec")
-    both = ref.unionByName(hyp)
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "pos"])
-        r = np.vstack(pdf.loc[pdf.side == 0, "vec"].to_numpy()).astype("float64")
-        h = np.vstack(pdf.loc[pdf.side == 1, "vec"].to_numpy()).astype("float64")
-        rn = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)
-        hn = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-300)
-        sim = rn @ hn.T
-        recall = float(sim.max(axis=1).mean())
-        precision = float(sim.max(axis=0).mean())
-        f1 = 2 * precision * recall / (precision + recall) if precision + recall != 0 else 0.0
-        row = {c: pdf[c].iloc[0] for c in pair_cols}
-        row.update(precision=precision, recall=recall, f1=f1)
-        return pd.DataFrame([row])
-
-    schema = pairs.select(*pair_cols).schema.simpleString()[len("struct<"):-1]
-    return both.groupBy(*pair_cols).applyInPandas(
-        match, f"{schema},precision double,recall double,f1 double")
+    sizes = token_vectors.groupBy("text_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    tokens = token_vectors.join(sizes, "text_id").select(
+        "text_id", "pos", "vec", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int").alias("own"))
+    keyed = pairs.select("ref_id", "hyp_id").distinct()
+    both = (keyed.join(sizes.select(F.col("text_id").alias("ref_id"), F.col("blocks").alias("ref_blocks")), "ref_id")
+            .join(sizes.select(F.col("text_id").alias("hyp_id"), F.col("blocks").alias("hyp_blocks")), "hyp_id"))
+
+    def side(name: str, other: str) -> DataFrame:
+        rows = both.join(tokens.withColumnRenamed("text_id", f"{name}_id"), f"{name}_id")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+        own, far = ("own", "other") if name == "ref" else ("other", "own")
+        # the two sides are cogrouped by columns of different names, as both stem from ``pairs``
+        return rows.select(F.col("ref_id").alias(f"{name}_r"), F.col("hyp_id").alias(f"{name}_h"),
+                           F.col(own).alias(f"{name}_rb"), F.col(far).alias(f"{name}_hb"), "pos", "vec")
+
+    def match(ref: pd.DataFrame, hyp: pd.DataFrame) -> pd.DataFrame:
+        if not len(ref) or not len(hyp):
+            return pd.DataFrame({"ref_id": [], "hyp_id": [], "side": [], "pos": [], "best": []})
+        r, h = (np.vstack(x["vec"].to_numpy()).astype("float64") for x in (ref, hyp))
+        r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)
+        h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-300)
+        sim = r @ h.T
+        parts = [pd.DataFrame({"ref_id": x[f"{name}_r"], "hyp_id": x[f"{name}_h"], "side": axis, "pos": x["pos"],
+                               "best": sim.max(axis=axis)}) for name, x, axis in (("ref", ref, 1), ("hyp", hyp, 0))]
+        return pd.concat(parts)
+
+    def grouped(name: str, other: str):
+        return side(name, other).groupBy(*[f"{name}_{k}" for k in ("r", "h", "rb", "hb")])
+
+    kinds = dict(token_vectors.dtypes)
+    best = grouped("ref", "hyp").cogroup(grouped("hyp", "ref")).applyInPandas(
+        match, f"ref_id {kinds['text_id']}, hyp_id {kinds['text_id']}, side int, pos {kinds['pos']}, best double")
+    best = best.groupBy("ref_id", "hyp_id", "side", "pos").agg(F.max("best").alias("best"))
+    means = best.groupBy("ref_id", "hyp_id").agg(
+        F.avg(F.when(F.col("side") == 0, F.col("best"))).alias("precision"),
+        F.avg(F.when(F.col("side") == 1, F.col("best"))).alias("recall"))
+    total = F.col("precision") + F.col("recall")
+    f1 = F.when(total != 0, 2 * F.col("precision") * F.col("recall") / total).when(total == 0, F.lit(0.0))
+    return pairs.join(means.withColumn("f1", f1), ["ref_id", "hyp_id"], "left").select(
+        *pairs.columns, "precision", "recall", "f1")
 
 
 def mean_match_by_stage(matched: DataFrame) -> DataFrame:

@@ -419,7 +419,19 @@ def m3_rouge2(spark, sf):
     return _scored(spark, sf, ["rouge2"])
 
 
-@register("m4_rouge_l")
+def _rouge_l_sql() -> str:
+    """On F1 every rewrite drops whole words, so its tokens are a subsequence of T0's, and the LCS
+    is the rewrite's token count."""
+    toks = ", ".join(f"{S.rouge_tokens(s)} AS r{i}" for i, s in enumerate(STAGES))
+    outs = []
+    for i, s in zip((1, 2, 3), LATER_STAGES):
+        p, r = f"(CASE WHEN len(r{i}) > 0 THEN 1.0 ELSE 0.0 END)", f"(CASE WHEN len(r0) > 0 THEN len(r{i}) / len(r0) ELSE 0.0 END)"
+        f1 = f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+        outs.append(S.rnd(f"CASE WHEN T0 IS NOT NULL AND {s} IS NOT NULL THEN {f1} END") + f" AS rougeL_{s}")
+    return S.F1_CHAINS + f"SELECT {CHS}, family, {', '.join(outs)} FROM (SELECT *, {toks} FROM chains)"
+
+
+@register("m4_rouge_l", _rouge_l_sql())
 def m4_rouge_l(spark, sf):
     return _scored(spark, sf, ["rougeL"])
 
@@ -429,7 +441,8 @@ def m5_score_chains(spark, sf):
     return _scored(spark, sf, ["bleu", "rouge1", "rouge2"])
 
 
-@register("m5_score_chains_all")
+@register("m5_score_chains_all", f"SELECT a.*, {', '.join(f'b.rougeL_{s}' for s in LATER_STAGES)} FROM "
+          f"({_overlap_sql()}) a JOIN ({_rouge_l_sql()}) b USING ({CHS})")
 def m5_score_chains_all(spark, sf):
     return _scored(spark, sf, ["bleu", "rouge1", "rouge2", "rougeL"])
 
@@ -484,15 +497,40 @@ def m12_decay_curve_family(spark, sf):
     return d.select("family", "T0", *[rnd(s).alias(s) for s in LATER_STAGES])
 
 
+@register("m11_metric_by_stage_dataset_paraphraser", _m_base_sql() + """
+SELECT dataset, paraphraser, metric, """ + ", ".join(
+    S.r4e(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
+FROM sl GROUP BY dataset, paraphraser, metric""")
+def m11_metric_by_stage_dataset_paraphraser(spark, sf):
+    return sm.metric_by_stage(_scored(spark, sf, ["bleu", "rouge1", "rouge2"]), by=("dataset", "paraphraser"), places=4)
+
+
+@register("m11_metric_by_stage_family", _m_base_sql() + """
+SELECT family, metric, """ + ", ".join(
+    S.r4e(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
+FROM sl GROUP BY family, metric""")
+def m11_metric_by_stage_family(spark, sf):
+    return sm.metric_by_stage(_scored(spark, sf, ["bleu", "rouge1", "rouge2"]), by=("family",), places=4)
+
+
+@register("m12_decay_curve_dataset", _m_base_sql() + """
+SELECT dataset, 1.0 AS T0, """ + ", ".join(
+    S.rnd(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
+FROM sl WHERE metric = 'bleu' GROUP BY dataset""")
+def m12_decay_curve_dataset(spark, sf):
+    d = sm.decay_curve(_scored(spark, sf, ["bleu"]), "bleu", "dataset")
+    return d.select("dataset", "T0", *[rnd(s).alias(s) for s in LATER_STAGES])
+
+
 @register("r10_nth_document", _m_base_sql() + f"""
 SELECT dataset, family, key, source, paraphraser, bleu_T3, rouge1_T3, rouge2_T3 FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, family ORDER BY key, source, paraphraser) AS rn
   FROM scored) WHERE rn = 3""")
 def r10_nth_document(spark, sf):
-    sc = _scored(spark, sf, ["bleu", "rouge1", "rouge2"])
-    n = rs.nth_document(sc, 3, order_cols=("key", "source", "paraphraser"))
-    return n.select("dataset", "family", "key", "source", "paraphraser", "bleu_T3", "rouge1_T3",
-                    "rouge2_T3")
+    picked = rs.nth_document(chains(spark, sf), 3, order_cols=("key", "source", "paraphraser"))
+    sc = sm.score_chains(picked, ["bleu", "rouge1", "rouge2"])
+    return sc.select("dataset", "family", "key", "source", "paraphraser",
+                     *[rnd(c).alias(c) for c in ("bleu_T3", "rouge1_T3", "rouge2_T3")])
 
 
 @register("p12_round4_rouge1", _m_base_sql(rounded=False) + """

@@ -496,7 +496,7 @@ def m8_mean_embedding_cosine(spark, sf):
     return _rnd_all(m, LATER_STAGES)
 
 
-_TOK = """WITH tv AS (SELECT CAST(label AS BIGINT) AS text_id, vec_id AS pos,
+_TOK = """WITH tv AS (SELECT CAST(vec_id // 16 AS BIGINT) AS text_id, vec_id AS pos,
                   CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ids AS (SELECT DISTINCT text_id FROM tv),
 pairs AS (SELECT text_id AS ref_id, text_id + 1 AS hyp_id,
@@ -590,7 +590,7 @@ def _bin_sql(src: str, by: str, where: str = "present") -> str:
     hp, hr = sd("tp", "tp + fp"), sd("tp", "tp + fn")
     ap, ar = sd("tn", "tn + fn"), sd("tn", "tn + fp")
     hf, af = sd(f"2 * {hp} * {hr}", f"{hp} + {hr}"), sd(f"2 * {ap} * {ar}", f"{ap} + {ar}")
-    exprs = {"accuracy": sd("tp + tn", "n"), "f1_macro": f"(({hf}) + ({af})) / 2",
+    exprs = {"accuracy": sd("tp + tn", "n"), "f1_macro": f"(({hf}) + ({af})) / ((tp + fn + fp > 0)::INT + (tn + fp + fn > 0)::INT)",
              "f1_weighted": sd(f"({hf}) * (tp + fn) + ({af}) * (tn + fp)", "n"),
              "human_precision": hp, "human_recall": hr, "ai_precision": ap, "ai_recall": ar}
     return f"""conf AS (SELECT {by}, count(*) AS n,
@@ -612,7 +612,7 @@ def l3_evaluate_by_stage(spark, sf):
 @register("l4_metrics_by_family", _F4_SQL.rstrip() + ",\n" +
           _bin_sql("f4", "family, stage", "present AND family <> 'none'") +
           "SELECT family, stage, n, " + ", ".join(S.rnd(c) + f" AS {c}" for c in _BIN_COLS) +
-          " FROM bm WHERE n >= 10")
+          " FROM bm WHERE family IN (SELECT family FROM chains GROUP BY family HAVING count(*) >= 10)")
 def l4_metrics_by_family(spark, sf):
     return _rnd_all(le.metrics_by_family(_f4(spark, sf)), _BIN_COLS)
 

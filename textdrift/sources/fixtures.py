@@ -116,9 +116,10 @@ def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-embedding table: label = text id, each vector one token. Columns: text_id, pos, vec."""
+    """Token-embedding table: 16 consecutive vectors are the tokens of one text, so that the number
+    of texts grows with the table. Columns: text_id, pos, vec."""
     emb = read_table(spark, sf_dir, "embeddings")
-    return emb.select(F.col("label").cast("long").alias("text_id"),
+    return emb.select(F.floor(F.col("vec_id") / 16).cast("long").alias("text_id"),
                       F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
 
 
