@@ -17,9 +17,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "r1_build_chains",          # corpus -> chains (one aggregate, one exchange)
     "m5_score_chains",          # BLEU-2, ROUGE-1, ROUGE-2 for every chain and stage
-    "m4_rouge_l",               # ROUGE-L (bit-parallel LCS, Arrow UDF)
+    "m4_rouge_l",               # ROUGE-L (LCS in the same Arrow task)
+    "m9_greedy_match_f1",       # greedy token matching in blocks
     "e5_retention_for_chains",  # entity sets and retention for every chain and stage
     "y4_tag_distribution",      # rule tagger + tag shares per version
+    "y6_style_features",        # all style features with tree depth per version
     "c3_vocabulary_by_stage",   # cleaning, stopwords, word counts per dataset x stage
     "l3_evaluate_by_stage",     # classification metrics per stage
 ]

@@ -98,8 +98,16 @@ def word_count(col) -> Column:
     return F.size(tokens(col, WORD_RE)).cast("long")
 
 
+def spaced_word_count(cleaned) -> Column:
+    """Words of a text that has exactly one space between words."""
+    c = _c(cleaned)
+    spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    return F.when(c == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+
+
 def unique_word_count(cleaned) -> Column:
-    return F.size(F.array_distinct(tokens(cleaned, ROUGE_TOKEN_RE))).cast("long")
+    c = _c(cleaned)
+    return F.when(c == "", F.lit(0)).otherwise(F.size(F.array_distinct(F.split(c, " ")))).cast("long")
 
 
 def is_blank(text="text") -> Column:

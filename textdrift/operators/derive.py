@@ -19,23 +19,21 @@ def with_version_columns(versions: DataFrame) -> DataFrame:
 
 def preprocess(versions: DataFrame, stopwords=None, text_col: str = "text") -> DataFrame:
     """Add ``cleaned_text`` and ``no_stop_text``."""
-    cleaned = tx.clean_text(text_col)
-    return versions.withColumns({
-        "cleaned_text": cleaned,
-        "no_stop_text": tx.remove_stopwords(cleaned, stopwords),
-    })
+    cleaned = versions.withColumn("cleaned_text", tx.clean_text(text_col))      # cleaned once
+    return cleaned.withColumn("no_stop_text", tx.remove_stopwords("cleaned_text", stopwords))
 
 
 def text_stats(pre: DataFrame, keep=()) -> DataFrame:
     """Word counts of the raw, cleaned and stopword-free text, distinct cleaned words.
 
     ``keep`` lists key columns carried along (the reference relies on row position instead).
+    The cleaned texts hold single spaces between words, so their words are counted by the spaces.
     """
     return pre.select(
         *keep,
         tx.word_count("text").alias("word_count"),
-        tx.word_count("cleaned_text").alias("cleaned_word_count"),
-        tx.word_count("no_stop_text").alias("no_stop_word_count"),
+        tx.spaced_word_count("cleaned_text").alias("cleaned_word_count"),
+        tx.spaced_word_count("no_stop_text").alias("no_stop_word_count"),
         tx.unique_word_count("cleaned_text").alias("unique_words"),
     )
 
