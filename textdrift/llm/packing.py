@@ -104,7 +104,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = W.text_bytes(batch.column(1))
-            for a, b in W.slices(data, offsets):
+            for a, b in W.slices(data, offsets, tokens.SLICE_BYTES):
                 flat, counts = encoder.encode(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 for d in range(b - a):

@@ -42,7 +42,7 @@ def _ending(eod: int) -> str:
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = None, eod: int = EOD,
-                      slice_bytes: int = W.SLICE_BYTES, file_slices: int = FILE_SLICES) -> None:
+                      slice_bytes: int = tokens.SLICE_BYTES, file_slices: int = FILE_SLICES) -> None:
     """Write flat token files under ``path``/kind=tokens and the doc_ids of each of them, in the
     order of its documents, under ``path``/kind=owners with the same file name."""
     name = tokenizer or tokens.default_tokenizer()
@@ -142,7 +142,7 @@ def _name(file: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str | None = None, block: int = BLOCK,
-                 slice_bytes: int = W.SLICE_BYTES, file_slices: int = FILE_SLICES) -> DataFrame:
+                 slice_bytes: int = tokens.SLICE_BYTES, file_slices: int = FILE_SLICES) -> DataFrame:
     """doc_id and n_tokens of every document, counted in flat token files written for it."""
     spark = documents.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
