@@ -11,9 +11,9 @@ short sketches disagree too much (five standard deviations below the threshold)
 
 Links are confirmed on the full sets. First each node's smallest and most similar candidates are
 confirmed and joined into components; then every other candidate pair between two components.
-What neighbours alone may miss is made up at the end: in every region larger than the
-neighbourhood, the nodes outside the region's commonest component are compared with all nodes of
-other components there, so that no pair of a region is left out unless it is connected already.
+What neighbours alone may miss is made up at the end: in every cluster of candidates larger than
+a neighbourhood, the nodes outside its commonest component are compared with all nodes of its
+other components, block by block, unless the two components are connected already.
 
 Two sets at the threshold share a tree's region with probability 0.8^3 = 0.51, so that all 21
 trees miss them with probability 3e-7.
@@ -42,7 +42,7 @@ from textdrift.llm.components import components
 from textdrift.llm.tables import written
 
 HASHES, TREES, DEPTH, NEIGHBOURS = 64, 21, 3, 8
-REGION_PARTS = 16
+PART_NODES = 2048
 THRESHOLD = (80, 100)
 _FACTORS = np.random.default_rng(10).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _SAME = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
@@ -110,20 +110,15 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
         task, "doc_id long, text_hash long, n_shingles long, fingerprint binary, signature binary")
 
 
-def _trees(nodes: DataFrame, schema: str) -> DataFrame:
-    """A row for each node and tree: the region's key, the order in it, and the sketch (as bytes,
-    or as four longs ``s0``..``s3``), as far as ``schema`` names them."""
-    names = [field.split()[0] for field in schema.split(", ")]
-
+def _trees(nodes: DataFrame) -> DataFrame:
+    """A row for each node and tree: the region's key, the order in it, and the sketch."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
             nibbles = (minima & 15).astype(np.uint8)
-            packed = np.ascontiguousarray(nibbles[:, 0::2] | nibbles[:, 1::2] << 4)
-            sketch = {"sketch": _binary(packed)} | {f"s{i}": pa.array(x) for i, x in
-                                                    enumerate(np.ascontiguousarray(packed.view(np.int64).T))}
+            sketch = _binary(nibbles[:, 0::2] | nibbles[:, 1::2] << 4)
             wide = minima.astype(np.uint64)
             for tree in range(TREES):
                 at = tree * DEPTH
@@ -137,11 +132,12 @@ def _trees(nodes: DataFrame, schema: str) -> DataFrame:
                         packed = packed << np.uint64(16) | (wide[:, (at + DEPTH + 4 * half + j) % HASHES]
                                                             & np.uint64(0xFFFF))
                     order.append(packed)
-                own = dict(zip(("key", "first", "second"), [pa.array(x.view(np.int64)) for x in (key, *order)]))
-                own |= {"id": batch.column(0)} | sketch
-                yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.view(np.int64)) for x in (key, *order)] + [batch.column(0), sketch],
+                    names=["key", "first", "second", "id", "sketch"])
 
-    return nodes.select("id", "signature").mapInArrow(task, schema)
+    return nodes.select("id", "signature").mapInArrow(
+        task, "key long, first long, second long, id long, sketch binary")
 
 
 def _close(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, least: int, done: int = 0):
@@ -212,8 +208,8 @@ def candidates(nodes: DataFrame, least: int) -> DataFrame:
         a, b, agree = _close(frame["key"].to_numpy(), frame["a"].to_numpy(), sketch, least)
         return pd.DataFrame({"a": a, "b": b, "agree": agree.astype(np.int32)})
 
-    ordered = _trees(nodes, "key long, first long, second long, id long, sketch binary").repartitionByRange(
-        "key", "first", "second", "id").sortWithinPartitions("key", "first", "second", "id")
+    order = ["key", "first", "second", "id"]
+    ordered = _trees(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(ordered.select("key", "id", "sketch").mapInArrow(
         windows, "a long, b long, agree int, place long, key long, sketch binary"), "forest")
     # the ends of the ranges: 2 * NEIGHBOURS rows for each task of the order, in one task
@@ -253,10 +249,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
+    """The pairs whose ends are not in one component, with the components ``root_a``, ``root_b``."""
     return (pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
             .join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
-            .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+            .select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+            .where("root_a != root_b"))
 
 
 def _first_links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], sure: int) -> DataFrame:
@@ -270,29 +267,56 @@ def _first_links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int],
     return linked.union(written(_confirmed(more, sets, threshold), "more-links"))
 
 
-def _crowded_pairs(nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs between components in the regions larger than the neighbourhood."""
-    trees = _trees(nodes, "key long, id long, " + ", ".join(f"s{i} long" for i in range(4)))
-    sizes = trees.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("key")
-    rows = written(trees.join(sizes, "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")),
-                   "crowded")
-    common = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("common"))
-    rows = rows.join(common, "key").withColumn("part", F.pmod("id", F.lit(REGION_PARTS)))
-    few = rows.where("root != common").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(REGION_PARTS - 1))
-                                                                    .cast("array<long>"))).alias("x")
-    rows = rows.alias("y")
-    different = F.lit(0)
-    for i in range(4):                                   # sketch values of four bits that differ
-        bits = F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        different = different + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
-    met = few.join(rows, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
-                   & (F.col("x.root") != F.col("y.root"))
-                   & ((F.col("y.root") == F.col("y.common")) | (F.col("x.id") < F.col("y.id")))
-                   & (different <= HASHES - least))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _late_links(nodes: DataFrame, pairs: DataFrame, sets: DataFrame, roots: DataFrame, threshold: tuple[int, int],
+                least: int) -> DataFrame:
+    """Links between components that neighbours have missed, confirmed on the full sets.
+
+    Within a cluster of candidates (everything that candidate pairs connect) that is larger than a
+    neighbourhood and not one component, every node outside the cluster's commonest component is
+    compared with every node of other components. The cluster is dealt into parts of about
+    ``PART_NODES`` nodes, the outside nodes go to each of them; one link to a component is enough.
+    """
+    part, whole = threshold
+    apart = _between(pairs, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    clusters = components(apart).select(F.col("id").alias("root"), F.col("root").alias("cluster"))
+    rows = sets.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")).join(
+        clusters, "root")
+    sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(
+        F.sum("n").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("common"))
+    sizes = sizes.where((F.col("roots") > 1) & (F.col("size") > NEIGHBOURS + 1)).withColumn(
+        "parts", F.ceil(F.col("size") / PART_NODES).cast("int"))
+    rows = rows.join(sizes.select("cluster", "common", "parts"), "cluster").join(sets, "id").join(
+        nodes.select("id", "signature"), "id")
+    columns = ["cluster", "part", "id", "root", "signature", "grams"]
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(
+        *columns, "common", "parts"), "crowded")
+    outside = rows.where("root != common").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(few) and len(many):
+            minima = np.frombuffer(b"".join(many["signature"]), np.uint32).reshape(-1, HASHES)
+            theirs, ids = many["root"].to_numpy(), many["id"].to_numpy()
+            full = [np.asarray(g).view(np.uint64) for g in many["grams"]]
+            linked: set[tuple[int, int]] = set()
+            for x, root, signature, grams in zip(few["id"], few["root"], few["signature"], few["grams"]):
+                own = np.asarray(grams).view(np.uint64)
+                agree = (minima == np.frombuffer(signature, np.uint32)).sum(axis=1)
+                at = np.flatnonzero((agree >= least) & (theirs != root))
+                for i in at[np.argsort(-agree[at], kind="stable")].tolist():
+                    pair = (min(root, theirs[i]), max(root, theirs[i]))
+                    n, m = len(own), len(full[i])
+                    if pair in linked or whole * min(n, m) < part * max(n, m):
+                        continue
+                    place = np.minimum(np.searchsorted(own, full[i]), n - 1)
+                    common = int((own[place] == full[i]).sum())
+                    if whole * common >= part * (n + m - common):
+                        linked.add(pair)
+                        found.append((int(x), int(ids[i])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return outside.select(columns).groupBy("cluster", "part").cogroup(
+        rows.select(columns).groupBy("cluster", "part")).applyInPandas(compare, "a long, b long")
 
 
 def classes(documents: DataFrame, size: int = 4, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -308,7 +332,8 @@ def classes(documents: DataFrame, size: int = 4, threshold: tuple[int, int] = TH
     sets = written(_sets(documents, nodes.join(paired, "id", "left_semi"), size), "sets")
     linked = _first_links(pairs, sets, threshold, int(HASHES * (threshold[0] / threshold[1] + 0.04)))
     roots = components(linked)
-    rest = written(_confirmed(_crowded_pairs(nodes, roots, least), sets, threshold), "last-links")
+    surely_less = int(HASHES * threshold[0] / threshold[1] - 5 * (HASHES * 0.16) ** 0.5)
+    rest = written(_late_links(nodes, pairs, sets, roots, threshold, surely_less), "late-links")
     if rest.limit(1).count():
         roots = components(linked.union(rest))
     nodes = nodes.drop("signature")
