@@ -66,3 +66,36 @@ def test_neighbours_across_the_ends_of_ranges(spark):
         assert {r.component_id for r in rows} == {0}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def crowd(n, own):
+    """Documents that share a passage, each with ``own`` words of its own; some have a twin."""
+    passage, rng = prose(77, 80).split(), random.Random(8)
+    out = []
+    for i in range(n):
+        mine = passage + [f"o{i}x{j}" for j in range(own)]
+        out.append((i, " ".join(mine)))
+        if i % 10 == 0:
+            out.append((10_000 + i, " ".join(mine[:rng.choice((-1, -4, -12))])))
+    return out
+
+
+def test_blocks_of_a_crowd_are_bounded_and_find_all(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART_NODES", 16)
+    sizes, blocks = [], N._blocks
+
+    def measured(*args):
+        out = blocks(*args)
+        sizes.extend(r["count"] for r in out.groupBy(*N._BLOCK).count().collect())
+        return out
+    monkeypatch.setattr(N, "_blocks", measured)
+    docs = crowd(200, 14)
+    rows = N.near_duplicates(documents(spark, docs)).collect()
+    assert ordered(r[:3] for r in rows) == ordered(e[:3] for e in near_classes(docs))
+    assert sizes and max(sizes) <= 3 * 16
+
+
+def test_words_that_a_crowd_shares_are_not_listed(spark):
+    sets = spark.createDataFrame([(i, [*range(1 << 50, 61 << 50, 1 << 50), *range((100 + 40 * i) << 50, (140 + 40 * i) << 50, 1 << 50)])
+                                  for i in range(50)], "id long, grams array<long>")
+    assert N.prefixes(sets, N.THRESHOLD).count() == 0

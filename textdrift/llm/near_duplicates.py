@@ -11,12 +11,16 @@ short sketches disagree too much (five standard deviations below the threshold)
 
 Links are confirmed on the full sets. First each node's smallest and most similar candidates are
 confirmed and joined into components; then every other candidate pair between two components.
-What neighbours alone may miss is made up at the end: in every cluster of candidates larger than
-a neighbourhood, the nodes outside its commonest component are compared with all nodes of its
-other components, block by block, unless the two components are connected already.
+What neighbours alone may miss is made up at the end by a prefix join of all crowded nodes, which
+are those of any region larger than a neighbourhood, with candidates or without: the shingles of
+the crowded nodes are counted, each node is listed under its rarest shingles (``prefixes``), and
+nodes of different components under one shingle are compared, in blocks bounded on both sides.
+Two similar sets always share a listed shingle, so this step has no cap of neighbours.
 
 Two sets at the threshold share a tree's region with probability 0.8^3 = 0.51, so that all 21
-trees miss them with probability 3e-7.
+trees miss them with probability 3e-7; a pair that shares a region is compared, as neighbours or
+by the prefix join, unless its sketches disagree too much (at the threshold
+with probability 1.1e-6).
 
 Orders are dealt by range over (minima, id), which splits a region of any size; windows that
 cross the ends of ranges are made up afterwards. Nothing per document reaches the driver.
@@ -43,6 +47,7 @@ from textdrift.llm.tables import written
 
 HASHES, TREES, DEPTH, NEIGHBOURS = 64, 21, 3, 8
 PART_NODES = 2048
+BUCKETS = 1 << 20
 THRESHOLD = (80, 100)
 _FACTORS = np.random.default_rng(10).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _SAME = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
@@ -110,15 +115,23 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
         task, "doc_id long, text_hash long, n_shingles long, fingerprint binary, signature binary")
 
 
+def _minima(signature: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signature.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _sketches(minima: np.ndarray) -> pa.Array:
+    nibbles = (minima & 15).astype(np.uint8)
+    return _binary(nibbles[:, 0::2] | nibbles[:, 1::2] << 4)
+
+
 def _trees(nodes: DataFrame) -> DataFrame:
     """A row for each node and tree: the region's key, the order in it, and the sketch."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
-            nibbles = (minima & 15).astype(np.uint8)
-            sketch = _binary(nibbles[:, 0::2] | nibbles[:, 1::2] << 4)
+            minima = _minima(batch.column(1))
+            sketch = _sketches(minima)
             wide = minima.astype(np.uint64)
             for tree in range(TREES):
                 at = tree * DEPTH
@@ -162,13 +175,23 @@ def least_agreement(part: int, whole: int) -> int:
     return int(HASHES * expected - 5 * (HASHES * share * (1 - share)) ** 0.5)
 
 
-def candidates(nodes: DataFrame, least: int) -> DataFrame:
-    """(a, b, agree): candidate pairs a < b of nodes with the sketch values in which they agree."""
+def _in_long_runs(key: np.ndarray) -> np.ndarray:
+    """True for each row in a run of more than NEIGHBOURS + 1 equal keys."""
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(ends, prepend=-1)
+    return np.repeat(sizes > NEIGHBOURS + 1, sizes)
+
+
+def candidates(nodes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, agree): candidate pairs a < b of nodes with the sketch values in which they agree; and
+    (id): the crowded nodes, those of regions larger than a neighbourhood (at the ends of a range
+    also others, since the rest of their region may be in the next range)."""
     empty = np.zeros((0, HASHES // 2), np.uint8)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         key, ids, sketch, seen, head = np.zeros(0, np.int64), np.zeros(0, np.int64), empty, 0, 0
+        first = None
 
         def batch_of(a, b, agree, place=None, keys=None, sketches=None) -> pa.RecordBatch:
             n = len(a)
@@ -179,11 +202,15 @@ def candidates(nodes: DataFrame, least: int) -> DataFrame:
                  pa.nulls(n, pa.binary()) if sketches is None else _binary(sketches)],
                 names=["a", "b", "agree", "place", "key", "sketch"])
 
-        def edge(rows: slice, first: int) -> pa.RecordBatch:
+        def edge(rows: slice, place: int) -> pa.RecordBatch:
             n = len(ids[rows])
-            return batch_of(ids[rows], ids[rows], np.zeros(n), (part << 34) + first + np.arange(n), key[rows],
+            return batch_of(ids[rows], ids[rows], np.zeros(n), (part << 34) + place + np.arange(n), key[rows],
                             sketch[rows])
 
+        def crowd(rows: np.ndarray) -> pa.RecordBatch:
+            some = np.unique(ids[rows])
+            return batch_of(some, some, np.zeros(len(some)))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -197,10 +224,14 @@ def candidates(nodes: DataFrame, least: int) -> DataFrame:
                 yield edge(more, seen)
                 head += len(ids[more])
             yield batch_of(*_close(key, ids, sketch, least, done))
+            first = key[0] if first is None else first
+            yield crowd(_in_long_runs(key) | (key == first))
             seen += batch.num_rows
-            key, ids, sketch = key[-NEIGHBOURS:], ids[-NEIGHBOURS:], sketch[-NEIGHBOURS:]
+            kept = slice(-NEIGHBOURS - 1, None)      # a long run has its last rows here, or begins in them
+            key, ids, sketch = key[kept], ids[kept], sketch[kept]
         if len(ids):
             yield edge(slice(None), seen - len(ids))
+            yield crowd(key == key[-1])
 
     def ends(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("place").sort_values("place")
@@ -215,7 +246,8 @@ def candidates(nodes: DataFrame, least: int) -> DataFrame:
     # the ends of the ranges: 2 * NEIGHBOURS rows for each task of the order, in one task
     crossing = found.where("place IS NOT NULL").groupBy(F.lit("ends")).applyInPandas(ends, "a long, b long, agree int")
     pairs = found.where("place IS NULL").select("a", "b", "agree").union(crossing).where("a != b")
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    crowded = found.where("place IS NULL AND a = b").select(F.col("a").alias("id")).distinct()
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), crowded
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -267,56 +299,176 @@ def _first_links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int],
     return linked.union(written(_confirmed(more, sets, threshold), "more-links"))
 
 
-def _late_links(nodes: DataFrame, pairs: DataFrame, sets: DataFrame, roots: DataFrame, threshold: tuple[int, int],
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many nodes have a shingle of each hash bucket (a table of fixed size): at least as many
+    as have the shingle itself."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_bucket(np.asarray(batch.column(0).flatten())), minlength=BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    rows = sets.select("grams").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg(
+        F.sum("n").alias("n")).toArrow()
+    table = np.zeros(BUCKETS, np.int64)
+    table[np.asarray(rows["bucket"])] = np.asarray(rows["n"])
+    return table
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1)
+
+
+def prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, id, n, place): each node of (id, grams) under the rarest of its n shingles, in one order
+    of all shingles. Of sets that are similar enough, the first common shingle in this order is
+    within the first n - least + 1 of both, where least is the fewest shingles in common. Shingles
+    that no other node has are left out."""
+    part, whole = threshold
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, lists = np.asarray(batch.column(0)), batch.column(1)
+            sizes = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+            grams = np.asarray(lists.flatten())
+            node = np.repeat(np.arange(len(ids)), sizes)
+            n = shared.value[_bucket(grams)]
+            order = np.lexsort((grams, n, node))
+            place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            listed = (place <= sizes[node] + (-part * sizes[node]) // whole) & (n[order] > 1)
+            node = node[listed]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (grams[order][listed], ids[node], sizes[node], place[listed])],
+                names=["key", "id", "n", "place"])
+
+    return sets.select("id", "grams").mapInArrow(task, "key long, id long, n long, place long")
+
+
+def _compared(few: dict, many: dict, threshold: tuple[int, int], least: int, best: bool) -> tuple:
+    """Pairs (a, b) of two blocks of one shingle that may be similar enough: not in one component,
+    with sizes and places that leave enough common shingles, and ``least`` agreeing sketch values.
+    ``best``: only the most similar node for each node of ``few`` and component."""
+    part, whole = threshold
+    out = []
+    for i in range(0, len(few["id"]), 256):
+        f = {k: v[i:i + 256] for k, v in few.items()}
+        after = np.minimum((f["n"] - f["place"])[:, None], many["n"] - many["place"])
+        fits = (part + whole) * after >= part * (f["n"][:, None] + many["n"])
+        x, y = np.nonzero(fits & (f["root"][:, None] != many["root"]))
+        for j in range(0, len(x), 1 << 16):
+            p, q = x[j:j + (1 << 16)], y[j:j + (1 << 16)]
+            agree = _SAME[f["sketch"][p] ^ many["sketch"][q]].sum(axis=1, dtype=np.int32)
+            ok = agree >= least
+            out.append(np.stack([f["id"][p[ok]], many["id"][q[ok]], many["root"][q[ok]], agree[ok]]))
+    a, b, root, agree = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+    if best and len(a):
+        order = np.lexsort((b, -agree, root, a))
+        a, b, root = a[order], b[order], root[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (root[1:] != root[:-1]))
+        a, b = a[new], b[new]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+_BLOCK = ["key", "x", "y", "many"]
+_ROW = [*_BLOCK, "id", "root", "n", "place", "sketch"]
+
+
+def _blocks(listed: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the blocks to compare: those of one (key, x, y), ``many`` 0 with ``many`` 1.
+
+    Under each shingle, the nodes outside its commonest component meet all nodes. Both sides are
+    dealt into blocks of about ``PART_NODES`` nodes.
+    """
+    rows = listed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keys = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.sum("c").alias("nodes"), F.count("*").alias("roots"), F.max("c").alias("most"),
+        F.max_by("root", F.struct("c", "root")).alias("common")).where("roots > 1").select(
+        "key", "common", F.ceil(F.col("nodes") / PART_NODES).cast("int").alias("parts"),
+        F.ceil((F.col("nodes") - F.col("most")) / PART_NODES).cast("int").alias("few_parts"))
+    rows = rows.join(keys, "key").join(sketches, "id")
+
+    def dealt(parts: str):
+        return F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+
+    def every(parts: str):
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    few = rows.where("root != common").withColumn("x", dealt("few_parts")).withColumn("y", every("parts"))
+    many = rows.withColumn("y", dealt("parts")).withColumn("x", every("few_parts"))
+    return few.withColumn("many", F.lit(0)).select(_ROW).union(many.withColumn("many", F.lit(1)).select(_ROW))
+
+
+def _missed(blocks: DataFrame, threshold: tuple[int, int], least: int, best: bool) -> DataFrame:
+    """(a, b): pairs of different components to confirm, from the two blocks of each group."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def compared(table: pa.Table) -> pa.RecordBatch:
+            value = {c: table[c].to_numpy() for c in _ROW[:-1]}
+            value["sketch"] = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES // 2)
+            new = np.append(True, (np.diff(value["key"]) != 0) | (np.diff(value["x"]) != 0) | (np.diff(value["y"]) != 0))
+            starts = np.append(np.flatnonzero(new), len(new))
+            firsts = np.append(0, np.cumsum(value["many"] == 0))
+            found = []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                m = s + int(firsts[e] - firsts[s])
+                if s < m < e:
+                    found.append(_compared({c: value[c][s:m] for c in _ROW[4:]},
+                                           {c: value[c][m:e] for c in _ROW[4:]}, threshold, least, best))
+            a, b = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            a, b = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(c).to_numpy() for c in range(3)]
+            now = tuple(int(c[-1]) for c in ids)
+            begin = int(np.flatnonzero((ids[0] == now[0]) & (ids[1] == now[1]) & (ids[2] == now[2]))[0])
+            if held and (begin or last != now):
+                yield compared(pa.Table.from_batches([*held, batch[:begin]]))
+                held = []
+            elif begin:
+                yield compared(pa.Table.from_batches([batch[:begin]]))
+            held.append(batch[begin:])
+            last = now
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    return blocks.repartition("key", "x", "y").sortWithinPartitions(*_BLOCK).mapInArrow(
+        task, "a long, b long").distinct()
+
+
+def _late_links(nodes: DataFrame, crowded: DataFrame, sets: DataFrame, linked: DataFrame, threshold: tuple[int, int],
                 least: int) -> DataFrame:
-    """Links between components that neighbours have missed, confirmed on the full sets.
+    """(id, root) of all linked nodes, with the links that neighbours have missed.
 
-    Within a cluster of candidates (everything that candidate pairs connect) that is larger than a
-    neighbourhood and not one component, every node outside the cluster's commonest component is
-    compared with every node of other components. The cluster is dealt into parts of about
-    ``PART_NODES`` nodes, the outside nodes go to each of them; one link to a component is enough.
+    First the most similar pairs of nodes and components are confirmed, so that groups come
+    together, then all pairs that are still between two components.
     """
-    part, whole = threshold
-    apart = _between(pairs, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    clusters = components(apart).select(F.col("id").alias("root"), F.col("root").alias("cluster"))
-    rows = sets.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")).join(
-        clusters, "root")
-    sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(
-        F.sum("n").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("common"))
-    sizes = sizes.where((F.col("roots") > 1) & (F.col("size") > NEIGHBOURS + 1)).withColumn(
-        "parts", F.ceil(F.col("size") / PART_NODES).cast("int"))
-    rows = rows.join(sizes.select("cluster", "common", "parts"), "cluster").join(sets, "id").join(
-        nodes.select("id", "signature"), "id")
-    columns = ["cluster", "part", "id", "root", "signature", "grams"]
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(
-        *columns, "common", "parts"), "crowded")
-    outside = rows.where("root != common").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(few) and len(many):
-            minima = np.frombuffer(b"".join(many["signature"]), np.uint32).reshape(-1, HASHES)
-            theirs, ids = many["root"].to_numpy(), many["id"].to_numpy()
-            full = [np.asarray(g).view(np.uint64) for g in many["grams"]]
-            linked: set[tuple[int, int]] = set()
-            for x, root, signature, grams in zip(few["id"], few["root"], few["signature"], few["grams"]):
-                own = np.asarray(grams).view(np.uint64)
-                agree = (minima == np.frombuffer(signature, np.uint32)).sum(axis=1)
-                at = np.flatnonzero((agree >= least) & (theirs != root))
-                for i in at[np.argsort(-agree[at], kind="stable")].tolist():
-                    pair = (min(root, theirs[i]), max(root, theirs[i]))
-                    n, m = len(own), len(full[i])
-                    if pair in linked or whole * min(n, m) < part * max(n, m):
-                        continue
-                    place = np.minimum(np.searchsorted(own, full[i]), n - 1)
-                    common = int((own[place] == full[i]).sum())
-                    if whole * common >= part * (n + m - common):
-                        linked.add(pair)
-                        found.append((int(x), int(ids[i])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return outside.select(columns).groupBy("cluster", "part").cogroup(
-        rows.select(columns).groupBy("cluster", "part")).applyInPandas(compare, "a long, b long")
+    roots = components(linked)
+    listed = written(prefixes(sets.join(crowded, "id", "left_semi"), threshold), "prefixes")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _sketches(_minima(batch.column(1)))],
+                                                 names=["id", "sketch"])
+
+    sketches = written(nodes.join(crowded, "id", "left_semi").select("id", "signature").mapInArrow(
+        sketched, "id long, sketch binary"), "sketches")
+    for best in (True, False):
+        missed = written(_missed(_blocks(listed, sketches, roots), threshold, least, best), "missed")
+        more = written(_confirmed(missed, sets, threshold), "late-links")
+        if more.limit(1).count():
+            linked = linked.union(more)
+            roots = components(linked)
+    return roots
 
 
 def classes(documents: DataFrame, size: int = 4, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -327,15 +479,12 @@ def classes(documents: DataFrame, size: int = 4, threshold: tuple[int, int] = TH
         F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")).select(
         F.monotonically_increasing_id().alias("id"), "fingerprint", "doc_id", "signature"), "nodes")
     least = least_agreement(*threshold)
-    pairs = written(candidates(nodes, least), "pairs")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pairs, crowded = candidates(nodes, least)
+    pairs, crowded = written(pairs, "pairs"), written(crowded, "crowded")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct()
     sets = written(_sets(documents, nodes.join(paired, "id", "left_semi"), size), "sets")
     linked = _first_links(pairs, sets, threshold, int(HASHES * (threshold[0] / threshold[1] + 0.04)))
-    roots = components(linked)
-    surely_less = int(HASHES * threshold[0] / threshold[1] - 5 * (HASHES * 0.16) ** 0.5)
-    rest = written(_late_links(nodes, pairs, sets, roots, threshold, surely_less), "late-links")
-    if rest.limit(1).count():
-        roots = components(linked.union(rest))
+    roots = _late_links(nodes, crowded, sets, linked, threshold, least)
     nodes = nodes.drop("signature")
     named = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
