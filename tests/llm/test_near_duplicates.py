@@ -99,3 +99,22 @@ def test_words_that_a_crowd_shares_are_not_listed(spark):
     sets = spark.createDataFrame([(i, [*range(1 << 50, 61 << 50, 1 << 50), *range((100 + 40 * i) << 50, (140 + 40 * i) << 50, 1 << 50)])
                                   for i in range(50)], "id long, grams array<long>")
     assert N.prefixes(sets, N.THRESHOLD).count() == 0
+
+
+def test_a_crowd_without_any_candidate_is_compared(spark, monkeypatch):
+    found = N.candidates
+
+    def none(nodes, least):
+        pairs, crowded = found(nodes, least)
+        return pairs.limit(0), crowded
+    monkeypatch.setattr(N, "candidates", none)
+    passage = prose(70, 163).split()
+    docs = [(i, " ".join(passage + [f"o{i}x{j}" for j in range(65)])) for i in range(60)]
+    for i in range(0, 60, 10):                   # 225 shingles, 200 of them also in the twin
+        words = docs[i][1].split()
+        docs.append((1000 + i, " ".join(words[:-25] + [f"t{i}x{j}" for j in range(25)])))
+    twins = [(i, 1000 + i) for i in range(0, 60, 10)]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(documents(spark, docs)).collect()}
+    expected = {i: c for i, _, c, _ in near_classes(docs)}
+    assert all(expected[b] == a for a, b in twins)
+    assert got == expected
