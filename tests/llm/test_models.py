@@ -157,6 +157,29 @@ def test_model_without_training_rows(spark):
     assert language_model.score_corpus(documents(spark, [])).count() == 0
 
 
+def test_order_of_words_counts(spark):
+    first, second = "the cat sat on a mat by night", "night by mat a on sat cat the"
+    trains = [i for i in range(1, 400) if remainder(i, 10)][:60]
+    held = [i for i in range(1, 400) if not remainder(i, 10)][:2]
+    pairs = [(i, first) for i in trains] + [(held[0], first), (held[1], second)]
+    got = {r.doc_id: r for r in language_model.score_corpus(documents(spark, pairs)).collect()}
+    assert abs(got[held[0]].base_score - got[held[1]].base_score) < 1e-9
+    assert got[held[0]].score > got[held[1]].score + 5
+
+
+def test_tables_of_word_contexts(spark):
+    rng = np.random.default_rng(2)
+    docs = documents(spark, [(i, " ".join(rng.choice(["a", "b", "c"], 12))) for i in range(40)])
+    docs = docs.selectExpr("text", "doc_id % 10 = 0 AS held_out")
+    rows, discount = language_model.word_contexts(docs, language_model.vocabulary(docs))
+    rows = rows.collect()
+    assert 0 < discount < 1 and sum(r.uses for r in rows) == 40 * 13 and sum(r.n for r in rows) == 36 * 13
+    assert all(1 <= r.tables <= r.n if r.n else r.tables == 0 for r in rows)
+    for before in {r.before for r in rows}:
+        own = [r for r in rows if r.before == before]
+        assert {(r.served, r.opened) for r in own} == {(sum(r.n for r in own), sum(r.tables for r in own))}
+
+
 def test_token_probabilities_sum_to_one():
     words = [b"ab", b"abc", b"b", b""]
     data, offsets = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0] + [len(w) for w in words])
