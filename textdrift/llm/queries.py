@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import (decontamination, language, language_model, licenses, near_duplicates, packing, quality,
-                           rules, separators, sql, substrings)
+from textdrift.llm import (collocations, decontamination, hard_negatives, language, language_model, licenses,
+                           near_duplicates, packing, quality, rules, separators, sql, substrings)
 from textdrift.llm.tables import table
 
 
@@ -62,13 +62,24 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language of ``documents``."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor of ``embeddings``."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality, op2_decontamination, op3_licenses, op4_substrings, op5_token_counts, op6_language_model,
-        op7_quality_rules, op8_packing, op9_language, op10_minhash)}
+        op7_quality_rules, op8_packing, op9_language, op10_minhash, op11_collocations, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_decontamination": sql.decontamination_sql(), "op3_licenses": sql.licenses_sql(),
             "op4_substrings": sql.substrings_sql(), "op7_quality_rules": sql.rules_sql(),
-            "op10_minhash": sql.near_duplicates_sql()}
+            "op10_minhash": sql.near_duplicates_sql(), "op11_collocations": sql.collocations_sql(),
+            "op12_hard_negatives": sql.hard_negatives_sql()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textdrift.llm import decontamination, licenses, near_duplicates, rules, substrings
+from textdrift.llm import collocations, decontamination, hard_negatives, licenses, near_duplicates, rules, substrings
 
 
 def rules_sql() -> str:
@@ -130,3 +130,54 @@ sums AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, cou
                 count(*) AS n_matches FROM found GROUP BY r)
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_licenses, 0)::BIGINT AS n_licenses,
        coalesce(n_matches, 0)::BIGINT AS n_matches FROM d LEFT JOIN sums USING (r)"""
+
+
+def collocations_sql() -> str:
+    """SQL of op11: all phrases of two and three words counted, without a frontier."""
+    least, top, contained = collocations.LEAST, collocations.TOP, collocations.CONTAINED
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+lists AS (SELECT row_number() OVER () AS r, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT r, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lists),
+runs AS (SELECT lang, w, lead(w, 1) OVER p AS x, lead(w, 2) OVER p AS y FROM words
+         WINDOW p AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT lang, 1 AS m, w AS phrase, count(*) AS a FROM runs GROUP BY ALL
+      UNION ALL SELECT lang, 2, w || ' ' || x, count(*) FROM runs WHERE x IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, 3, w || ' ' || x || ' ' || y, count(*) FROM runs WHERE y IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= {least}),
+cuts AS (SELECT c.lang, c.m, c.phrase, c.a, k, x.a AS l, y.a AS r,
+                1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS score
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+         JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT lang, phrase, max(a) AS longer FROM (
+         SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+         FROM cand WHERE m = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM best LEFT JOIN held USING (lang, phrase) JOIN sizes USING (lang)
+WHERE m = 3 OR longer IS NULL OR 100 * longer < {contained} * a QUALIFY rank <= {top}"""
+
+
+def hard_negatives_sql() -> str:
+    """SQL of op12: every anchor against every row."""
+    o = hard_negatives.Options()
+    return f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % {o.shifted} = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+             list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {o.every} = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {o.positives})
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND {o.least} * positive_score <= 100 * score AND 100 * score <= {o.most} * positive_score
+QUALIFY rank <= {o.negatives}"""
