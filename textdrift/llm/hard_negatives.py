@@ -95,7 +95,7 @@ class Index:
         self.groups = [slice(a, min(a + GROUP, vectors.shape[1])) for a in range(0, vectors.shape[1], GROUP)]
         self.norms = prefix_norms(vectors, self.groups)
 
-    def tiles(self, share: float) -> Iterator["Tile"]:
+    def tiles(self, share: float) -> Iterator[Tile]:
         for a in range(0, len(self.vectors), TILE_ROWS):
             yield Tile(self, np.arange(a, min(a + TILE_ROWS, len(self.vectors))), share)
 
@@ -289,8 +289,8 @@ def mine(embeddings: DataFrame, options: Options = Options(), stripe: int = STRI
     windows = positives.groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "window", "positive_score"))).alias("s")).select(F.col("anchor_id").alias("vec_id"), *[
             F.expr(f"transform(sequence(0, {options.positives - 1}), w -> {end})").alias(name) for name, end in (
-                ("low", f"coalesce(-((-{options.least} * s[w] - pmod(-{options.least} * s[w], 100)) div 100), 1L)"),
-                ("high", f"coalesce(({options.most} * s[w] - pmod({options.most} * s[w], 100)) div 100, 0L)"))])
+                ("low", f"coalesce(cast(ceil({options.least} * cast(s[w] AS decimal(20, 0)) / 100) AS bigint), 1L)"),
+                ("high", f"coalesce(cast(floor({options.most} * cast(s[w] AS decimal(20, 0)) / 100) AS bigint), 0L)"))])
     far = _joined(rows, anchors.join(windows, "vec_id"), stripes, blocks, order, False, options.negatives)
     return far.join(positives, ["anchor_id", "window"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textdrift.llm import (collocations, decontamination, hard_negatives, language, language_model, licenses,
+from textdrift.llm import (collocations, decontamination, extraction, hard_negatives, language, language_model, licenses,
                            near_duplicates, packing, quality, rules, separators, sql, substrings)
 from textdrift.llm.tables import table
 
@@ -72,10 +72,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality, op2_decontamination, op3_licenses, op4_substrings, op5_token_counts, op6_language_model,
-        op7_quality_rules, op8_packing, op9_language, op10_minhash, op11_collocations, op12_hard_negatives)}
+        op7_quality_rules, op8_packing, op9_language, op10_minhash, op11_collocations, op12_hard_negatives,
+        op13_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,12 +12,16 @@ HEAVY_SHARE = 1e-4
 
 def attach(rows: DataFrame, table: DataFrame, on: list[str], heavy: Column) -> DataFrame:
     """``rows`` inner-joined with ``table`` (unique in ``on``): its ``heavy`` rows, whose number must
-    have a proven bound, are broadcast; the others are joined by shuffle, where no key is hot."""
+    have a proven bound, are broadcast; only the others are looked up by shuffle, where no key is
+    hot, since rows that are already served are dealt by a salt."""
+    values = [c for c in table.columns if c not in on]
     table = table.withColumn("_heavy", heavy)
-    hot, cold = table.where("_heavy").drop("_heavy"), table.where("NOT _heavy").drop("_heavy")
-    near = rows.join(F.broadcast(hot), on)
-    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
-    return near.unionByName(far)
+    hot = table.where("_heavy").select(*on, F.struct(*values).alias("_hot"))
+    cold = table.where("NOT _heavy").select(*on, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    served = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
+        (F.pmod(F.monotonically_increasing_id(), F.lit(4096)) + 1).cast("int")))
+    found = served.join(cold, [*on, "_salt"], "left").withColumn("_hot", F.coalesce("_hot", "_cold"))
+    return found.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in values])
 
 
 class Bloom:
