@@ -38,7 +38,7 @@ def test_blocks_of_malformed_pages():
 def test_furniture_goes_by_its_name():
     page = ("<header>h</header><nav>n</nav><div class='Top ad-box'>ad</div><main><article><header><h1>Title</h1></header>"
             "<p>body</p><aside>side</aside><form>f</form><div id=comments>c</div><footer>f</footer></article></main>"
-            "<div role=dialog>d</div><div class='cookie-notice'>k</div><p hidden>h</p><div style='display: none'>s</div>"
+            "<div role='dialog'>d</div><div class='cookie-notice'>k</div><p hidden>h</p><div style='display: none'>s</div>"
             "<div class='has-sidebar'>kept</div><footer>f</footer>")
     assert blocks(page) == ["Title", "body", "kept"]
 

@@ -20,7 +20,7 @@ FURNITURE_WORDS = frozenset("""ad ads advert adverts advertisement advertising a
 promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices
 notification popup modal newsletter subscribe subscription signup share sharing social related recommended comment
 comments commentlist disqus respond reply replies widget widgets pagination pager toolbar login masthead alert
-navigation banner contentinfo complementary topbar""".split())
+navigation banner contentinfo complementary topbar dialog search""".split())
 PAGE_HEADER_WORDS = frozenset(["header", "masthead", "topbar"])
 COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
 REPEATED = frozenset("p li tr td th dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())

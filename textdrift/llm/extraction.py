@@ -135,7 +135,8 @@ def wrappers(trees: DataFrame, seen: DataFrame) -> DataFrame:
     template = kinds.where(F.col("texts") <= STOCK * F.col("places")).groupBy("host").agg(
         F.collect_list("slot").alias("template"))
     often = kinds.where(F.col("most") > SHARE * F.col("pages")).select("host", "slot", "pages")
-    fixed = texts.join(often, ["host", "slot"]).where(F.col("n") > SHARE * F.col("pages")).groupBy("host").agg(
+    # the first condition follows from the second: it keeps a slot's many rare texts from the join
+    fixed = texts.where(F.col("n") > SHARE * LEAST_PAGES).join(often, ["host", "slot"]).where(F.col("n") > SHARE * F.col("pages")).groupBy("host").agg(
         F.collect_list(F.struct("slot", "text")).alias("fixed"))
     return trees.join(template, "host", "left").join(fixed, "host", "left")
 
