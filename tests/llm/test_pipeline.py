@@ -1,9 +1,10 @@
 import pytest
 from helpers import DOCS, documents, edge_pairs, near_classes, ordered, prose, repeats
+from pyspark.sql import functions as F
 from test_decontamination import brute
 
 import corpus_pipeline
-from textdrift.llm import tables
+from textdrift.llm import decontamination, tables
 
 BENCHMARK = [("b1", " ".join(f"bench{i}" for i in range(14))), ("b2", None), (None, "never there")]
 
@@ -92,3 +93,23 @@ def test_empty_documents(spark, sf_dir, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_stages_keep_columns_with_any_name(spark, sf_dir):
+    odd = ["kept_rows", "kept_id", "kept_hash", "removed_key", "hit_row", "hit_starts", "meta.url", "class"]
+    docs = documents(spark, [(i, t) for i, t in corpus() if i != 6])
+    for n, name in enumerate(odd):
+        docs = docs.withColumn(name, F.lit(n))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = tables.written(stage(spark, docs, sf_dir), f"odd-{name}")
+        assert after.columns == docs.columns, name
+        values = after.select(*[tables.quoted(c) for c in odd]).distinct().collect()
+        assert [tuple(r) for r in values] == [tuple(range(len(odd)))], name
+    assert after.count() > 150
+
+
+def test_benchmark_items_in_many_shards(spark):
+    docs = documents(spark, corpus()).withColumn("hit_row", F.lit("x")).withColumn("meta.url", F.lit("y"))
+    items = spark.createDataFrame(BENCHMARK, "item_id string, text string")
+    one, many = (decontamination.decontaminate(docs, items, shard_words=n) for n in (200_000, 3))
+    assert one.columns == many.columns == docs.columns and ordered(one.collect()) == ordered(many.collect())

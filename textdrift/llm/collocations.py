@@ -44,7 +44,7 @@ from textdrift.llm.tables import written
 LEAST, TOP, CONTAINED = 10, 2000, 50
 #: The first round expands so many times ``top`` pairs of a language; each next one so many times more.
 FRONTIER, WIDEN = 4, 8
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ class Slice:
         raw = found.data.tobytes()
         self.vocabulary = pa.array([raw[s:e] for s, e in zip(found.starts[first].tolist(),
                                                              found.ends[first].tolist())], pa.binary())
-        doc, breaks = found.doc_of(), np.append(0, np.cumsum(BREAKS[found.data]))
+        doc, breaks = found.doc_of(), np.append(0, np.cumsum(BREAKS[found.data], dtype=np.int32))
         self.goes_on = (doc[1:] == doc[:-1]) & (breaks[found.starts[1:]] == breaks[found.ends[:-1]])
 
     def phrase_hashes(self, size: int) -> np.ndarray:
@@ -112,7 +112,7 @@ def _counted(documents: DataFrame, size: int, places: Callable[[Slice], np.ndarr
     """lang, phrase and n of the phrases of ``size`` words at the ``places`` of each slice; for
     single words also a row with a null phrase: all words of the language."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             for lang, texts in _by_language(batch):
                 data, offsets = W.text_bytes(texts)
                 for a, b in W.slices(data, offsets, SLICE_BYTES):
@@ -134,7 +134,7 @@ def _hashed(phrases: DataFrame, size: int) -> DataFrame:
     columns = phrases.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             codes = batch.column(0).dictionary_encode()
             salts = np.array([_salt(x) for x in codes.dictionary.to_pylist()], np.uint64)
             data, offsets = W.text_bytes(batch.column(1))

@@ -12,7 +12,8 @@ every short gram (at most 4 words) has the hash of a gram of some item. It loses
 and the automaton compares the words themselves.
 
 Items are taken in shards of about ``shard_words`` words, so that an automaton (broadcast to the
-tasks) has a bounded size; documents are scanned once per shard and never shuffled.
+tasks) has a bounded size. With one shard the documents are scanned once and never shuffled; with
+several they are written once and scanned per shard, and only the hits are written for each.
 
 Defined results: a null text, or one without words, has no words and no hits; an item without
 words is ignored; repeated items count once per item_id (a null item_id counts as an empty one);
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.llm import words as W
-from textdrift.llm.tables import written
+from textdrift.llm.tables import free_prefix, mapped, quoted, written
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -197,68 +198,81 @@ def item_shards(items: DataFrame, shard_words: int) -> int:
     return max(1, -(-int(words) // (6 * shard_words)))
 
 
-def _prefix(columns: list[str]) -> str:
-    """A prefix that no column of the input has."""
-    prefix = "hit_"
-    while any(c.lower().startswith(prefix) for c in columns):
-        prefix = "_" + prefix
-    return prefix
+def _hits(index: ItemIndex, texts: pa.Array) -> tuple[list, list, list]:
+    """For every text the starts and ends of its spans of hit words, and the sorted items found."""
+    data, offsets = W.text_bytes(texts)
+    starts, ends, owners = ([[] for _ in range(len(texts))] for _ in range(3))
+    for a, b in W.slices(data, offsets):
+        found = W.find_words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], W.ALNUM, True)
+        spans, items = index.hits(found)
+        documents = np.searchsorted(found.ptr, [s for s, _ in spans], "right") - 1
+        for d, (s, e) in zip(documents.tolist(), spans):
+            base = int(found.ptr[d])
+            s, e, at = s - base, e - base, a + d
+            if ends[at] and starts[at][-1] <= s <= ends[at][-1]:
+                ends[at][-1] = max(ends[at][-1], e)
+            else:
+                starts[at].append(s)
+                ends[at].append(e)
+        documents = np.searchsorted(found.ptr, list(items), "right") - 1
+        for d, first in zip(documents.tolist(), items):
+            owners[a + d] = sorted({*owners[a + d], *items[first]})
+    return starts, ends, owners
+
+
+def _with_hits(documents: DataFrame, items: DataFrame, window: int, shard_words: int, finish, schema) -> DataFrame:
+    """``finish(batch, starts, ends, items)`` of every batch of ``documents``, whose column ``text`` is
+    looked up in the items; the spans of a text may overlap.
+
+    One shard of items needs one task, in which ``finish`` follows at once. With several shards, only
+    the hits of each are written (row, spans, items), and joined with the rows at the end: the texts
+    are written once, whatever the number of shards."""
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    shards = item_shards(items, shard_words)
+    context, names = documents.sparkSession.sparkContext, documents.columns
 
+    def index(shard: int):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else items
+        return context.broadcast(ItemIndex([(r.item_id, r.text) for r in part.toLocalIterator()], window))
 
-def _scan(docs: DataFrame, index: ItemIndex, prefix: str) -> DataFrame:
-    """``docs`` with the hits of one shard's items added to its hit columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = docs.columns
+    if shards == 1:
+        shared = index(0)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            column = dict(zip(names, batch.columns))
-            data, offsets = W.text_bytes(column["text"])
-            starts, ends, owners = (column[prefix + c].to_pylist() for c in ("starts", "ends", "items"))
-            counts = []
-            for a, b in W.slices(data, offsets):
-                found = W.find_words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], W.ALNUM, True)
-                counts.append(found.counts)
-                spans, items = index.hits(found)
-                documents = np.searchsorted(found.ptr, [s for s, _ in spans], "right") - 1
-                for d, (s, e) in zip(documents.tolist(), spans):
-                    base = int(found.ptr[d])
-                    s, e, at = s - base, e - base, a + d
-                    if ends[at] and starts[at][-1] <= s <= ends[at][-1]:
-                        ends[at][-1] = max(ends[at][-1], e)
-                    else:
-                        starts[at].append(s)
-                        ends[at].append(e)
-                documents = np.searchsorted(found.ptr, list(items), "right") - 1
-                for d, first in zip(documents.tolist(), items):
-                    owners[a + d] = sorted({*owners[a + d], *items[first]})
-            column[prefix + "starts"] = pa.array(starts, pa.list_(pa.int32()))
-            column[prefix + "ends"] = pa.array(ends, pa.list_(pa.int32()))
-            column[prefix + "items"] = pa.array(owners, pa.list_(pa.string()))
-            column[prefix + "words"] = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(column.values()), names=list(column))
-
-    return docs.mapInArrow(task, docs.schema)
-
-
-def find_benchmark(documents: DataFrame, items: DataFrame, window: int = WINDOW,
-                   shard_words: int = SHARD_WORDS) -> tuple[DataFrame, str]:
-    """``documents`` (with a column text) and four columns: the hit spans as word positions
-    ``starts`` / ``ends`` (they may overlap between shards), the sorted ``items`` found, and the
-    number of ``words``. Their names have the returned prefix."""
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    shards = item_shards(items, shard_words)
-    prefix = _prefix(documents.columns)
-    docs = documents.select("*", F.array().cast("array<int>").alias(prefix + "starts"),
-                            F.array().cast("array<int>").alias(prefix + "ends"),
-                            F.array().cast("array<string>").alias(prefix + "items"),
-                            F.lit(0).cast("long").alias(prefix + "words"))
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in W.frugal(batches):
+                yield finish(batch, *_hits(shared.value, batch.column("text")))
+
+        return mapped(documents, task, schema)
+
+    p = free_prefix("hit_", names)
+    docs = written(documents.withColumn(p + "row", F.monotonically_increasing_id()), "decontamination")
+    kinds = f"{p}row long, {p}starts array<int>, {p}ends array<int>, {p}items array<string>"
+
+    def lookup(shared):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in W.frugal(batches):
+                columns = _hits(shared.value, batch.column(1))
+                out = [batch.column(0), *(pa.array(c, pa.list_(t)) for c, t in
+                                          zip(columns, (pa.int32(), pa.int32(), pa.string())))]
+                yield pa.RecordBatch.from_arrays(out, names=[p + c for c in ("row", "starts", "ends", "items")]).filter(
+                    pa.array([bool(s) for s in columns[0]], pa.bool_()))
+        return docs.select(p + "row", "text").mapInArrow(task, kinds)
+
+    hits = None
     for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else items
-        index = ItemIndex([(r.item_id, r.text) for r in part.toLocalIterator()], window)
-        docs = _scan(written(docs, "decontamination") if shard else docs, index, prefix)
-    return docs, prefix
+        some = written(lookup(index(shard)), "hits")
+        hits = some if hits is None else hits.union(some)
+    hits = hits.groupBy(p + "row").agg(*[F.flatten(F.collect_list(p + c)).alias(p + c) for c in ("starts", "ends")],
+                                       F.array_sort(F.array_distinct(F.flatten(F.collect_list(p + "items")))).alias(p + "items"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.frugal(batches):
+            found = [[x or [] for x in column.to_pylist()] for column in batch.columns[len(names):]]
+            yield finish(batch.select(list(range(len(names)))), *found)
+
+    joined = docs.join(hits, p + "row", "left").select(
+        *[quoted(c) for c in names], p + "starts", p + "ends", p + "items")
+    return mapped(joined, task, schema)
 
 
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -274,21 +288,21 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
                   shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: how many of its words benchmark windows hit, and of which items."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, ends, items = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            hit = [sum(e - s for s, e in _merged(a, b)) for a, b in zip(starts, ends)]
-            names = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hit, pa.int64()),
-                 pa.array([len(x) for x in items], pa.int64()), pa.array(names, pa.string()),
-                 pa.array([h > 0 for h in hit], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def finish(batch: pa.RecordBatch, starts: list, ends: list, items: list) -> pa.RecordBatch:
+        hit = [sum(e - s for s, e in _merged(a, b)) for a, b in zip(starts, ends)]
+        names = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        data, offsets = W.text_bytes(batch.column("text"))
+        counts = [W.find_words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], W.ALNUM, True).counts
+                  for a, b in W.slices(data, offsets)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.concatenate(counts) if counts else [], pa.int64()),
+             pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(names, pa.string()),
+             pa.array([h > 0 for h in hit], pa.bool_())],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, p = find_benchmark(docs, items, window, shard_words)
-    return found.select("doc_id", p + "words", p + "starts", p + "ends", p + "items").mapInArrow(
-        task, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _with_hits(docs, items, window, shard_words, finish, "doc_id long, n_words long, n_hit long, n_items long, "
+                                                                "items_sha256 string, contaminated boolean")
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5,
@@ -296,27 +310,23 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     """``documents`` without the hit spans: a document of which more than ``max_coverage`` of the
     words are hit, or of which no word would be left, is dropped; of any other the bytes from the
     first to the last word of each span go. Untouched texts and other columns stay as they are."""
-    names = documents.columns
-    found, prefix = find_benchmark(documents, items, window, shard_words)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = dict(zip(batch.schema.names, batch.columns))
-            data, offsets = W.text_bytes(column["text"])
-            texts, keep = column["text"].to_pylist(), np.ones(batch.num_rows, dtype=bool)
-            spans = zip(column[prefix + "starts"].to_pylist(), column[prefix + "ends"].to_pylist())
-            for d, (starts, ends) in enumerate(spans):
-                if not starts:
-                    continue
-                raw = data[offsets[d]:offsets[d + 1]]
-                words = W.find_words(raw, np.array([0, len(raw)]), W.ALNUM, True)
-                left, at, hit = [], 0, 0
-                for a, b in _merged(starts, ends):
-                    left.append(raw[at:words.starts[a]].tobytes())
-                    at, hit = int(words.ends[b - 1]), hit + b - a
-                texts[d] = b"".join([*left, raw[at:].tobytes()]).decode()
-                keep[d] = hit < len(words.starts) and hit <= max_coverage * len(words.starts)
-            column["text"] = pa.array(texts, column["text"].type)
-            yield pa.RecordBatch.from_arrays([column[c] for c in names], names=names).filter(pa.array(keep))
-
-    return found.mapInArrow(task, documents.schema)
+    def finish(batch: pa.RecordBatch, starts: list, ends: list, items: list) -> pa.RecordBatch:
+        at_text = batch.schema.get_field_index("text")
+        data, offsets = W.text_bytes(batch.column(at_text))
+        texts, keep = batch.column(at_text).to_pylist(), np.ones(batch.num_rows, dtype=bool)
+        for d, spans in enumerate(zip(starts, ends)):
+            if not spans[0]:
+                continue
+            raw = data[offsets[d]:offsets[d + 1]]
+            words = W.find_words(raw, np.array([0, len(raw)]), W.ALNUM, True)
+            left, at, hit = [], 0, 0
+            for a, b in _merged(*spans):
+                left.append(raw[at:words.starts[a]].tobytes())
+                at, hit = int(words.ends[b - 1]), hit + b - a
+            texts[d] = b"".join([*left, raw[at:].tobytes()]).decode()
+            keep[d] = hit < len(words.starts) and hit <= max_coverage * len(words.starts)
+        columns = list(batch.columns)
+        columns[at_text] = pa.array(texts, columns[at_text].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _with_hits(documents, items, window, shard_words, finish, documents.schema)

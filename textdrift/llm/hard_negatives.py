@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from textdrift.llm.tables import written
 
-STRIPE, BLOCK = 1 << 16, 1 << 12
+STRIPE, BLOCK = 1 << 14, 1 << 12
 TILE_ROWS, TILE_ANCHORS, GROUP = 1 << 13, 1 << 8, 8
 #: Thresholds that are tried in turn, as shares of the product of the largest norms.
 LEVELS = (0.9, 0.6, 0.45, 0.3, 0.15)
@@ -48,6 +48,7 @@ LEVELS = (0.9, 0.6, 0.45, 0.3, 0.15)
 DENSE = 0.05
 #: Pairs that are scored exactly at a time.
 PAIRS = 1 << 16
+MOST_TASKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -248,6 +249,8 @@ def _joined(rows: DataFrame, anchors: DataFrame, stripes: int, blocks: int, orde
 
     # one row of lists for a stripe and block, so that no intermediate row count grows with both
     lists = ", ".join(f"{name} array<{kind}>" for name, kind in (x.split() for x in _FOUND.split(", ")))
+    tasks = min(stripes * blocks, MOST_TASKS)       # dealt here, so that small groups aren't put together again
+    dealt, asked = (x.repartition(tasks, "stripe", "block") for x in (dealt, asked))
     found = dealt.groupBy("stripe", "block").cogroup(asked.groupBy("stripe", "block")).applyInArrow(task, lists)
     found = found.select(F.explode(F.arrays_zip("anchor_id", "window", "id", "score")).alias("x")).select("x.*")
     first = Window.partitionBy("anchor_id", "window").orderBy(F.desc("score"), "id")

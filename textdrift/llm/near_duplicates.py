@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from textdrift.llm import words as W
 from textdrift.llm.components import components
-from textdrift.llm.tables import written
+from textdrift.llm.tables import free_prefix, quoted, written
 
 HASHES, TREES, DEPTH, NEIGHBOURS = 64, 21, 3, 8
 PART_NODES = 2048
@@ -91,7 +91,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def signatures(documents: DataFrame, size: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, fingerprint and signature (null without words)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(2))
             for a, b in W.slices(data, offsets):
                 grams, ptr = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
@@ -127,7 +127,7 @@ def _sketches(minima: np.ndarray) -> pa.Array:
 def _trees(nodes: DataFrame) -> DataFrame:
     """A row for each node and tree: the region's key, the order in it, and the sketch."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             if not batch.num_rows:
                 continue
             minima = _minima(batch.column(1))
@@ -211,7 +211,7 @@ def candidates(nodes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             some = np.unique(ids[rows])
             return batch_of(some, some, np.zeros(len(some)))
 
-        for batch in batches:
+        for batch in W.frugal(batches):
             if not batch.num_rows:
                 continue
             done = len(ids)
@@ -253,7 +253,7 @@ def candidates(nodes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(id, grams): the full set of each given node."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(2))
             for a, b in W.slices(data, offsets):
                 grams, ptr = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
@@ -304,7 +304,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     as have the shingle itself."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in W.frugal(batches):
             counts += np.bincount(_bucket(np.asarray(batch.column(0).flatten())), minlength=BUCKETS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
@@ -329,7 +329,7 @@ def prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             if not batch.num_rows:
                 continue
             ids, lists = np.asarray(batch.column(0)), batch.column(1)
@@ -424,7 +424,7 @@ def _missed(blocks: DataFrame, threshold: tuple[int, int], least: int, best: boo
             a, b = np.unique(np.stack([a, b]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in W.frugal(batches):
             if not batch.num_rows:
                 continue
             ids = [batch.column(c).to_numpy() for c in range(3)]
@@ -455,7 +455,7 @@ def _late_links(nodes: DataFrame, crowded: DataFrame, sets: DataFrame, linked: D
     listed = written(prefixes(sets.join(crowded, "id", "left_semi"), threshold), "prefixes")
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), _sketches(_minima(batch.column(1)))],
                                                  names=["id", "sketch"])
@@ -512,11 +512,13 @@ def without_near_duplicates(documents: DataFrame, size: int = 5,
     doc_id); documents without words all stay, repeated rows of one text once."""
     blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0
     kept = classes(documents, size, threshold).where(_kept() & F.col("class").isNotNull())
-    kept = kept.groupBy("class", F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(
-        F.count("*").alias("kept_rows"))
-    kept = kept.groupBy("class").agg(F.min(F.struct("kept_hash", "kept_rows", "kept_id")).alias("k")).select("k.*")
     names = documents.columns
-    joined = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-                            & (F.xxhash64("text") == F.col("kept_hash"))).where(~blank)
-    repeated = joined.where("kept_rows > 1").dropDuplicates(["kept_id", "kept_hash"])
-    return documents.where(blank).union(joined.where("kept_rows = 1").select(names)).union(repeated.select(names))
+    p = free_prefix("kept_", names)
+    kept = kept.groupBy("class", F.col("doc_id").alias(p + "id"), F.col("text_hash").alias(p + "hash")).agg(
+        F.count("*").alias(p + "rows"))
+    kept = kept.groupBy("class").agg(F.min(F.struct(p + "hash", p + "rows", p + "id")).alias("k")).select("k.*")
+    own = [quoted(c) for c in names]
+    joined = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(p + "id"))
+                            & (F.xxhash64("text") == F.col(p + "hash"))).where(~blank)
+    repeated = joined.where(F.col(p + "rows") > 1).dropDuplicates([p + "id", p + "hash"])
+    return documents.where(blank).union(joined.where(F.col(p + "rows") == 1).select(own)).union(repeated.select(own))

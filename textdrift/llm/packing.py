@@ -101,7 +101,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
             keys, held, size = [], [], 0
             return batch
 
-        for batch in batches:
+        for batch in W.frugal(batches):
             ids = batch.column(0).to_pylist()
             data, offsets = W.text_bytes(batch.column(1))
             for a, b in W.slices(data, offsets, tokens.SLICE_BYTES):

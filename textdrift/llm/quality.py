@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.llm import boosting, words as W
-from textdrift.llm.tables import remainder
+from textdrift.llm.tables import mapped, remainder
 
 SAMPLE = 12_000
 THRESHOLD = 0.3
@@ -121,7 +121,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boos
         "doc_id", "text", "quality")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             x = _batch_statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2),
@@ -144,18 +144,18 @@ def score(documents: DataFrame, forest: boosting.Forest | None, keep_rows: bool
         return shared.value.score(x) if shared.value is not None else np.full(len(x), 0.5)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             s = scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s),
                                               pa.array((s >= THRESHOLD).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             yield batch.filter(pa.array(scores(batch.column("text")) >= THRESHOLD))
 
     if keep_rows:
-        return documents.mapInArrow(kept, documents.schema)
+        return mapped(documents, kept, documents.schema)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                             (remainder(F.col("doc_id"), 5) == 0).alias("held_out")).mapInArrow(
         task, "doc_id long, held_out boolean, score double, predicted int")

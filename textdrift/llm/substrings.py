@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.llm import words as W
-from textdrift.llm.tables import written
+from textdrift.llm.tables import free_prefix, quoted, written
 
 WINDOW, GRAM = 35, 8
 SHARD_BYTES = 1 << 20
@@ -90,7 +90,7 @@ def _digest(words: list[bytes]) -> bytes:
 def _texts(documents: DataFrame, window: int) -> DataFrame:
     """doc_id, text_key, n_words, digest of all words, anchor hashes and positions."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(2))
             for a, b in W.slices(data, offsets):
                 found = W.find_words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], W.SPACED, False)
@@ -132,7 +132,7 @@ def _candidates(documents: DataFrame, texts: DataFrame) -> DataFrame:
 def _windows(candidates: DataFrame, window: int) -> DataFrame:
     """(window, id, start) of every window whose minimizer recurs."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(1))
             places = batch.column(2)
             for a, b in W.slices(data, offsets):
@@ -180,7 +180,7 @@ def _locate(confirmed: DataFrame, window: int, with_text: bool) -> DataFrame:
             yield len(ws) - len(keep), keep
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(1))
             for a, b in W.slices(data, offsets, SHARD_BYTES):
                 found = list(kept([data[offsets[d]:offsets[d + 1]].tobytes() for d in range(a, b)],
@@ -226,11 +226,9 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with the repeated words taken out of the texts (the kept words of such a text
     are joined by one space; other texts stay as they are). All rows stay."""
     names = documents.columns
-    prefix = "removed_"
-    while any(c.lower().startswith(prefix) for c in names):
-        prefix = "_" + prefix
+    prefix = free_prefix("removed_", names)
     _, removed = _results(documents, window, with_text=True)
     removed = removed.select(F.col("text_key").alias(prefix + "key"), F.col("kept").alias(prefix + "kept"))
     joined = documents.join(removed, _text_key() == F.col(prefix + "key"), "left")
-    return joined.select(*[F.coalesce(prefix + "kept", "text").alias("text") if c == "text" else F.col(c)
+    return joined.select(*[F.coalesce(prefix + "kept", "text").alias("text") if c == "text" else quoted(c)
                            for c in names])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str):
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(rows: DataFrame, task, schema) -> DataFrame:
+    """``rows.mapInArrow(task, schema)`` for columns of any name (Spark itself takes no dots)."""
+    names = rows.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return task(batch.rename_columns(names) for batch in batches)
+
+    return rows.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
+
+
+def free_prefix(prefix: str, *columns: list[str]) -> str:
+    """``prefix``, lengthened until no column's name starts with it."""
+    while any(c.lower().startswith(prefix) for names in columns for c in names):
+        prefix = "_" + prefix
+    return prefix
+
+
 def remainder(doc_id, m: int):
     """crc32(doc_id as text) mod m; null doc_id counts as an empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m).cast("int")

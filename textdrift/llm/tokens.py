@@ -17,7 +17,7 @@ import numpy as np
 from textdrift.llm import words as W
 
 TOKENIZER_FILE = "word_bpe_49k.json"
-CACHE_UNITS = 600_000
+CACHE_UNITS = 200_000
 SLICE_BYTES = 4 << 20
 _JOINED = 2_000
 _PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")

@@ -8,6 +8,7 @@ hashes, and callers that need exact equality compare the words themselves afterw
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,17 @@ def lower_table() -> np.ndarray:
     return table
 
 
+def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each one, freed memory goes back to the system, since a worker that waits
+    for its next task keeps what it holds."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 SPACED, ALNUM, LOWER = spaced_class(), alnum_class(), lower_table()
 
 
