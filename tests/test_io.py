@@ -80,3 +80,29 @@ def test_own_mentions(spark):
     v = spark.createDataFrame([("d", None, "s", "original", 0, "x"), ("d", "k", "s", "original", 0, "y")], ids + ", text string")
     m = spark.createDataFrame([("d", None, "s", "original", 0, " Paris "), ("d", None, "s", "original", 0, "paris")], ids + ", mention string")
     assert {r.key: r.ents for r in en.entity_sets(v, mentions=m).collect()} == {None: ["paris"], "k": []}
+
+
+def test_csv_round_trip_keeps_texts(spark):
+    d = tempfile.mkdtemp(prefix="textdrift-csv-")
+    texts = [' lead and trail ', 'a "quoted", text', "two\nlines", "back\\slash", "", "NA", None, "ünï,漢"]
+    v = spark.createDataFrame([("Human", f"k{i}", t, "original", i, "wp") for i, t in enumerate(texts)],
+                              "source string, key string, text string, version_name string, seq long, dataset string")
+    io.write_versions(v, d, ["wp"])
+    got = {r.key: (r.text, r.seq, r.dataset) for r in io.read_versions(spark, d, ["wp"]).collect()}
+    assert got == {f"k{i}": (None if t in ("", "NA") else t, i, "wp") for i, t in enumerate(texts)}
+
+
+def test_scored_files_that_are_absent_are_passed_over(spark):
+    d = tempfile.mkdtemp(prefix="textdrift-scored-")
+    scored = spark.createDataFrame([("wp", "k", 0.5, None), ("cmv", "k", 0.25, 1.0)],
+                                   "dataset string, key string, bleu_T1 double, rougeL_T3 double")
+    io.write_scored(scored, d, ["wp"])
+    rows = io.read_scored(spark, d).collect()
+    assert [(r.dataset, r.bleu_T1, r.rougeL_T3) for r in rows] == [("wp", 0.5, None)]
+    assert io.read_scored(spark, os.path.join(d, "nothing")).count() == 0
+
+
+def test_landed_subset_prunes_partitions(spark, sf_small):
+    from textdrift.plans.catalog import queries
+    plan = queries()["s2_landed_subset"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [dataset" in plan

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.constants import STAGES
+from textdrift.operators.quantiles import quantiles
 
 
 def stage_counts(long: DataFrame) -> DataFrame:
@@ -17,10 +18,14 @@ def stage_counts(long: DataFrame) -> DataFrame:
 
 def word_count_distribution(stats: DataFrame, col: str = "word_count") -> DataFrame:
     """Quartiles (exact, linear interpolation) and mean of a count per dataset x stage."""
-    q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return stats.groupBy("dataset", "stage").agg(q.alias("_q"), F.avg(col).alias("mean")) \
-        .select("dataset", "stage", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                F.col("_q")[2].alias("q3"), "mean")
+    by = ["dataset", "stage"]
+    q = quantiles(stats, by, col, (0.25, 0.5, 0.75)).select(*by, "quantiles")
+    means = stats.groupBy(*by).agg(F.avg(col).alias("mean"))
+    same = F.lit(True)
+    for c in by:
+        same &= means[c].eqNullSafe(q[c])
+    return means.join(q, same, "left").select(
+        *[means[c] for c in by], *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "mean")
 
 
 def vocabulary_by_stage(stats: DataFrame) -> DataFrame:
@@ -63,5 +68,5 @@ def corpus_stats(chains: DataFrame, long: DataFrame | None = None) -> DataFrame:
 def value_shares(df: DataFrame, col: str) -> DataFrame:
     """Count and percent share of each value (share = count / total over all values)."""
     cnt = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = df.agg(F.count(F.lit(1))).scalar()              # one number, computed once by a subquery
     return cnt.select(col, "n", (F.col("n") * 100.0 / total).alias("percent"))

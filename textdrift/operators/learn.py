@@ -17,12 +17,14 @@ import math
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from textdrift.constants import NO_RETURN_THRESHOLD, STAGES
 from textdrift.functions import text as tx
+from textdrift.session import stored
 
 TFIDF_TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
@@ -50,30 +52,48 @@ def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str = "text",
                         idf.alias("idf"))
 
 
-_pack = F.udf(lambda n, idx, val: SparseVector(n, idx, val), VectorUDT())
+def tfidf_weights(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """L1: (id, idx, term, weight) of every vocabulary term of every document, L2-normalised.
+
+    The vocabulary is broadcast if it was cut to ``max_features`` rows (a proven bound), else Spark
+    chooses the join.
+    """
+    tf = docs.select(id_col, F.explode(tfidf_terms(text_col)).alias("term")).groupBy(id_col, "term").agg(
+        F.count(F.lit(1)).alias("tf"))
+    w = tf.join(vocab.select("term", "idx", "idf"), "term").select(
+        id_col, "idx", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norms, id_col).select(id_col, "idx", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def _vector(size: int, nonzero: F.Column) -> F.Column:
+    """A sparse vector in the physical form of ``VectorUDT``: type 0, size, indices, values."""
+    return F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"),
+                    F.transform(nonzero, lambda x: x["idx"].cast("int")).alias("indices"),
+                    F.transform(nonzero, lambda x: x["w"]).alias("values"))
 
 
 def transform_tfidf(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text",
                     out_col: str = "features") -> DataFrame:
     """L1 (transform): one sparse L2-normalised TF-IDF vector per document.
 
-    The vocabulary is at most ``max_features`` rows, a proven bound, so it is broadcast; a
-    document's non-zeros are bounded by the vocabulary too.
+    Vectors are built by Spark expressions and stored once in their physical form; reading them
+    with a vector schema makes them ML vectors, so that no row passes through Python, and training,
+    which scans its input many times, reads them instead of computing them again. A document's
+    non-zeros are bounded by the vocabulary.
     """
     size = vocab.count()
-    v = F.broadcast(vocab.select("term", "idx", "idf"))
-    tf = (docs.select(id_col, F.explode(tfidf_terms(text_col)).alias("term"))
-          .join(v, "term").groupBy(id_col, "idx", "idf").agg(F.count(F.lit(1)).alias("tf")))
-    wgt = tf.select(id_col, "idx", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    per_doc = wgt.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("nz"),
+    v = vocab.select("term", "idx", "idf")
+    terms = docs.select(id_col, F.explode_outer(tfidf_terms(text_col)).alias("term"))
+    tf = terms.join(v, "term", "left").groupBy(id_col, "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.when(F.col("idx").isNotNull(), (1.0 + F.log("tf")) * F.col("idf"))
+    per_doc = tf.select(id_col, "idx", weight.alias("w")).groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("idx", "w")))).alias("nz"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    per_doc = per_doc.select(
-        id_col, _pack(F.lit(size), F.col("nz.idx"),
-                      F.transform("nz", lambda x: x["w"] / F.col("norm"))).alias(out_col))
-    empty = _pack(F.lit(size), F.array().cast("array<int>"), F.array().cast("array<double>"))
-    return docs.join(per_doc, id_col, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), empty))
+    unit = F.transform("nz", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / F.col("norm")).alias("w")))
+    packed = per_doc.select(id_col, _vector(size, unit).alias(out_col))
+    schema = StructType([packed.schema[id_col], StructField(out_col, VectorUDT())])
+    return docs.join(stored(packed, "tfidf", schema), id_col)
 
 
 def train_logistic(train: DataFrame, C: float = 1.0, max_iter: int = 1000,
@@ -90,23 +110,39 @@ def binary_label(source_col: str = "source"):
     return F.when(F.col(source_col) == "Human", 1.0).otherwise(0.0)
 
 
+def holdout_split(chains: DataFrame, by=("dataset", "key"), percent: int = 25, seed: int = 42) -> DataFrame:
+    """Chains with ``split`` (train or test), decided by a hash of the ``by`` columns alone: all chains
+    of a document, whatever its source and rewriter, are on one side, so that a classifier is not
+    tested on texts it has seen. Needs no shuffle; NULL keys are a document of their own."""
+    name = F.concat(F.lit(f"{seed}|"), F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    bucket = F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.lit(100))
+    return chains.withColumn("split", F.when(bucket < percent, "test").otherwise("train"))
+
+
 def train_attribution(chains: DataFrame, seed: int = 42, max_features: int = 5000,
-                      min_df: int = 2, balanced: bool = True):
+                      min_df: int = 2, balanced: bool = True, holdout_by=None):
     """L2: balance Human/AI chains, fit TF-IDF + LR on the T0 texts.
 
-    Returns (model, vocabulary, training rows). Training rows keep the chain keys.
+    Returns (model, vocabulary, rows). The rows keep the chain keys. With ``holdout_by`` (columns, such
+    as dataset and key) only the documents of the training side of ``holdout_split`` are balanced
+    and fitted, and the returned rows are all those of the test side.
     """
     from textdrift.operators.reshape import CHAIN_KEYS, balance_classes
 
     rows = chains.withColumn("label", binary_label())
+    held = None
+    if holdout_by is not None:
+        rows = holdout_split(rows, holdout_by, seed=seed)
+        held, rows = rows.where("split = 'test'"), rows.where("split = 'train'")
     if balanced:
         rows = balance_classes(rows, "label", CHAIN_KEYS, seed=seed)
-    rows = rows.withColumn("doc_id", F.to_json(F.struct(*CHAIN_KEYS)))     # distinct also for NULL keys
+    doc_id = F.to_json(F.struct(*CHAIN_KEYS), {"ignoreNullFields": "false"})     # distinct also for NULL keys
+    rows = stored(rows.withColumn("doc_id", doc_id), "attribution-rows")
     train = rows.where(F.col("T0").isNotNull())
-    vocab = fit_vocabulary(train, "doc_id", "T0", max_features, min_df).cache()
+    vocab = stored(fit_vocabulary(train, "doc_id", "T0", max_features, min_df), "vocabulary")
     x = transform_tfidf(train.select("doc_id", "T0", "label"), vocab, "doc_id", "T0")
     model = train_logistic(x)
-    return model, vocab, rows
+    return model, vocab, rows if held is None else held.withColumn("doc_id", doc_id)
 
 
 def predict_stages(model, vocab: DataFrame, rows: DataFrame, stages=STAGES) -> DataFrame:
@@ -249,6 +285,11 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
 # Fingerprint, importance, PCA, silhouette
 # ---------------------------------------------------------------------------------------------
 
+def class_names(df: DataFrame, col: str) -> list[str]:
+    """The classes that occur in ``col``, sorted (their number is bounded by what is to be told apart)."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
 def fingerprint_features(texts: DataFrame, style: DataFrame, id_col: str, text_col: str,
                          vocab: DataFrame, style_cols) -> DataFrame:
     """Style columns (22) followed by TF-IDF (sparse) in one vector column ``features``."""

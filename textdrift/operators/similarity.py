@@ -122,101 +122,13 @@ def metric_by_stage(scored: DataFrame, by=("dataset",), places: int | None = 4)
     return out
 
 
-def decay_curve(scored: DataFrame, metric: str, by: str = "family") -> DataFrame:
-    """[1.0, mean T1, mean T2, mean T3] of one metric per group."""
-    long = scores_long(scored).where(F.col("metric") == metric)
-    piv = long.groupBy(by).pivot("stage", LATER_STAGES).agg(F.avg("score"))
-    return piv.select(by, F.lit(1.0).alias("T0"), *LATER_STAGES)
-
-
-# ---------------------------------------------------------------------------------------------
-# Stored embeddings
-# ---------------------------------------------------------------------------------------------
-
-def embedding_cosine(pairs: DataFrame, ref_col: str = "ref_vec", hyp_col: str = "hyp_vec") -> DataFrame:
-    """M7: row-wise cosine of two embedding columns (NULL when a side is missing or zero)."""
-    return pairs.withColumn("cosine", vx.cosine(ref_col, hyp_col))
-
-
-def mean_embedding_cosine_by_stage(pairs: DataFrame, missing: str = "skip") -> DataFrame:
-    """M8: mean cosine per (dataset, stage) and over all datasets, pivoted on stage; T0 = 1.0.
-
-    ``missing='skip'`` leaves pairs without a rewrite out; ``'empty'`` counts them as 0.
-    """
-    cos = embedding_cosine(pairs.where(F.col("ref_vec").isNotNull()))
-    if missing == "skip":
-        cos = cos.where(F.col("hyp_vec").isNotNull())
-    else:
-        cos = cos.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    sets = cos.groupingSets([["dataset", "stage"], ["stage"]], "dataset", "stage") \
-        .agg(F.avg("cosine").alias("score"), F.grouping_id().alias("_gid"))
-    sets = sets.withColumn("dataset", F.when(F.col("_gid") == 2, F.lit("all_combined"))
-                           .otherwise(F.col("dataset")))
-    piv = sets.groupBy("dataset").pivot("stage", LATER_STAGES).agg(F.first("score"))
-    return piv.select("dataset", F.lit(1.0).alias("T0"), *LATER_STAGES)
-
-
-MATCH_BLOCK = 512
-
+def decay_curves(scored: DataFrame, by: str = "family") -> DataFrame:
+    """(by, metric, T0 = 1.0, mean T1, mean T2, mean T3) of all metrics present, in one pass."""
+    piv = scores_long(scored).groupBy(by, "metric").pivot("stage", LATER_STAGES).agg(F.avg("score"))
+    return piv.select(by, "metric", F.lit(1.0).alias("T0"), *LATER_STAGES)
 
-def greedy_match_f1(token_vectors: DataFrame, pairs: DataFrame, block: int = MATCH_BLOCK) -> DataFrame:
-    """M9: BERTScore-style greedy matching of token vectors, per text pair.
 
-    ``token_vectors``: (text_id, pos, vec); ``pairs``: (ref_id, hyp_id, ...). Each token is
-    matched to its most similar token on the other side (cosine); precision = mean over
-    hypothesis tokens, recall = mean over reference tokens, F1 = 2PR/(P+R). A pair of which one
-    side has no vectors gets NULL.
-
-    Both sides are dealt into blocks of about ``block`` tokens. A task forms the similarity
-    matrix of one block pair (numpy) and returns each token's best value there; the maxima over
-    blocks and the means are Spark aggregates, so no task holds a whole long text.
-    """
-    import numpy as np
-    import pandas as pd
-
-    sizes = token_vectors.groupBy("text_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    tokens = token_vectors.join(sizes, "text_id").select(
-        "text_id", "pos", "vec", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int").alias("own"))
-    keyed = pairs.select("ref_id", "hyp_id").distinct()
-    both = (keyed.join(sizes.select(F.col("text_id").alias("ref_id"), F.col("blocks").alias("ref_blocks")), "ref_id")
-            .join(sizes.select(F.col("text_id").alias("hyp_id"), F.col("blocks").alias("hyp_blocks")), "hyp_id"))
-
-    def side(name: str, other: str) -> DataFrame:
-        rows = both.join(tokens.withColumnRenamed("text_id", f"{name}_id"), f"{name}_id")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
-        own, far = ("own", "other") if name == "ref" else ("other", "own")
-        # the two sides are cogrouped by columns of different names, as both stem from ``pairs``
-        return rows.select(F.col("ref_id").alias(f"{name}_r"), F.col("hyp_id").alias(f"{name}_h"),
-                           F.col(own).alias(f"{name}_rb"), F.col(far).alias(f"{name}_hb"), "pos", "vec")
-
-    def match(ref: pd.DataFrame, hyp: pd.DataFrame) -> pd.DataFrame:
-        if not len(ref) or not len(hyp):
-            return pd.DataFrame({"ref_id": [], "hyp_id": [], "side": [], "pos": [], "best": []})
-        r, h = (np.vstack(x["vec"].to_numpy()).astype("float64") for x in (ref, hyp))
-        r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)
-        h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-300)
-        sim = r @ h.T
-        parts = [pd.DataFrame({"ref_id": x[f"{name}_r"], "hyp_id": x[f"{name}_h"], "side": axis, "pos": x["pos"],
-                               "best": sim.max(axis=axis)}) for name, x, axis in (("ref", ref, 1), ("hyp", hyp, 0))]
-        return pd.concat(parts)
-
-    def grouped(name: str, other: str):
-        return side(name, other).groupBy(*[f"{name}_{k}" for k in ("r", "h", "rb", "hb")])
-
-    kinds = dict(token_vectors.dtypes)
-    best = grouped("ref", "hyp").cogroup(grouped("hyp", "ref")).applyInPandas(
-        match, f"ref_id {kinds['text_id']}, hyp_id {kinds['text_id']}, side int, pos {kinds['pos']}, best double")
-    best = best.groupBy("ref_id", "hyp_id", "side", "pos").agg(F.max("best").alias("best"))
-    means = best.groupBy("ref_id", "hyp_id").agg(
-        F.avg(F.when(F.col("side") == 0, F.col("best"))).alias("precision"),
-        F.avg(F.when(F.col("side") == 1, F.col("best"))).alias("recall"))
-    total = F.col("precision") + F.col("recall")
-    f1 = F.when(total != 0, 2 * F.col("precision") * F.col("recall") / total).when(total == 0, F.lit(0.0))
-    return pairs.join(means.withColumn("f1", f1), ["ref_id", "hyp_id"], "left").select(
-        *pairs.columns, "precision", "recall", "f1")
-
-
-def mean_match_by_stage(matched: DataFrame) -> DataFrame:
-    """Mean greedy-match F1 per stage, labelled BERTSCORE-F1."""
-    return (matched.groupBy("stage").agg(F.avg("f1").alias("score"))
-            .select("stage", F.lit("BERTSCORE-F1").alias("metric"), "score"))
+def decay_curve(scored: DataFrame, metric: str, by: str = "family") -> DataFrame:
+    """[1.0, mean T1, mean T2, mean T3] of one metric per group."""
+    return decay_curves(scored.select(*[c for c in scored.columns if c.rsplit("_", 1)[-1] not in STAGES
+                                        or c.rsplit("_", 1)[0] == metric]), by).drop("metric")

@@ -20,6 +20,7 @@ from textdrift.constants import (LATER_STAGES, MAIN_POS, SCALAR_FEATURES, STAGES
                                  UPOS_TAGS)
 from textdrift.functions import text as tx
 from textdrift.functions import vectors as vx
+from textdrift.operators.quantiles import quantiles
 from textdrift.operators.reshape import CHAIN_KEYS, build_chains
 
 VERSION_KEYS = ["dataset", "key", "source", "version_name", "seq"]
@@ -419,13 +420,13 @@ def human_vs_llm_drift(fchains: DataFrame, key_paraphrasers=None) -> DataFrame:
 def distribution_by_stage(long: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """Box-plot summary per stage: quartiles, whiskers (extremes inside 1.5 IQR), mean, n.
 
-    ``exact=False`` uses ``percentile_approx`` (one pass, bounded memory) for large inputs.
+    The exact quartiles come from located ranks (``quantiles``). ``exact=False`` uses ``percentile_approx`` (one pass, bounded memory) for large inputs.
     """
     if exact:
-        q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        qs = quantiles(long, ["stage"], col, (0.25, 0.5, 0.75)).select("stage", F.col("quantiles").alias("q"))
     else:
-        q = F.percentile_approx(F.col(col), [0.25, 0.5, 0.75], 10000)
-    qs = long.groupBy("stage").agg(q.alias("q"))
+        qs = long.groupBy("stage").agg(F.percentile_approx(F.col(col), [0.25, 0.5, 0.75], 10000).alias("q"))
+    qs = F.broadcast(qs)                            # one row for each of the four stages
     j = long.join(qs, "stage")
     iqr = F.col("q")[2] - F.col("q")[0]
     lo_f, hi_f = F.col("q")[0] - 1.5 * iqr, F.col("q")[2] + 1.5 * iqr

@@ -436,6 +436,35 @@ def m4_rouge_l(spark, sf):
     return _scored(spark, sf, ["rougeL"])
 
 
+def _lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence: one row of the table for each token of ``a``. In a
+    row a cell is the greatest, up to there, of the cell above and, where tokens agree, the diagonal + 1."""
+    cells = (f"list_transform({b}, lambda y, j: greatest(row[j], CASE WHEN y = x THEN coalesce(row[j - 1], 0) + 1 "
+             "ELSE 0 END))")
+    rows = f"list_transform([{cells}], lambda c: list_transform(c, lambda v, j: list_max(c[1:j])))[1]"
+    last = f"list_reduce({a}, lambda row, x: {rows}, list_transform({b}, lambda y: 0))"
+    return f"coalesce(({last})[-1], 0)"
+
+
+def _rouge_l_turns_sql() -> str:
+    toks = ", ".join(f"{S.rouge_tokens(s)} AS r{i}" for i, s in enumerate(STAGES))
+    lcs = ", ".join(f"{_lcs_sql(f'r{i}', 'r0')} AS l{i}" for i in (1, 2, 3))
+    outs = []
+    for i, s in zip((1, 2, 3), LATER_STAGES):
+        p, r = (f"(CASE WHEN len(r{k}) > 0 THEN l{i} / len(r{k}) ELSE 0.0 END)" for k in (i, 0))
+        f1 = f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+        outs.append(S.rnd(f"CASE WHEN T0 IS NOT NULL AND {s} IS NOT NULL THEN {f1} END") + f" AS rougeL_{s}")
+    return (S.F2_CHAINS.rstrip() + f", tk AS (SELECT *, {toks} FROM chains), lc AS (SELECT *, {lcs} FROM tk) "
+            f"SELECT {CHS}, family, {', '.join(outs)} FROM lc")
+
+
+@register("m4_rouge_l_turns", _rouge_l_turns_sql())
+def m4_rouge_l_turns(spark, sf):
+    """ROUGE-L of conversation turns, where a later turn is not cut out of the first one."""
+    sc = sm.rouge_l(turn_chains(spark, sf))
+    return sc.select(*CH, "family", *[rnd(f"rougeL_{s}").alias(f"rougeL_{s}") for s in LATER_STAGES])
+
+
 @register("m5_score_chains", _overlap_sql())
 def m5_score_chains(spark, sf):
     return _scored(spark, sf, ["bleu", "rouge1", "rouge2"])
@@ -465,24 +494,28 @@ sl AS (SELECT dataset, key, source, paraphraser, family, split_part(col, '_', 2)
 """
 
 
-@register("m6_mean_scores_by_stage", _m_base_sql() + f"""
+def _m_all_sql() -> str:
+    """``scored`` and ``sl`` with all four metrics."""
+    cols = ", ".join(f"{m}_{s}" for m in sm.ALL_METRICS for s in LATER_STAGES)
+    return f"""WITH scored AS ({ORACLE['m5_score_chains_all']}),
+sl AS (SELECT dataset, key, source, paraphraser, family, split_part(col, '_', 2) AS stage,
+          split_part(col, '_', 1) AS metric, score
+       FROM scored UNPIVOT INCLUDE NULLS (score FOR col IN ({cols})))
+"""
+
+
+@register("m6_mean_scores_by_stage", _m_all_sql() + f"""
 SELECT stage, {_M6_LABELS} AS metric, {S.rnd('avg(score)')} AS score FROM sl GROUP BY stage, metric""")
 def m6_mean_scores_by_stage(spark, sf):
-    sc = sm.score_chains(chains(spark, sf), ["bleu", "rouge1", "rouge2"])
-    sc = sc.select(*[rnd(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
-                     for c in sc.columns])
-    return sm.mean_scores_by_stage(sc).withColumn("score", rnd("score"))
+    return sm.mean_scores_by_stage(_scored(spark, sf, sm.ALL_METRICS)).withColumn("score", rnd("score"))
 
 
-@register("m11_metric_by_stage_dataset", _m_base_sql() + """
+@register("m11_metric_by_stage_dataset", _m_all_sql() + """
 SELECT dataset, metric, """ + ", ".join(
     S.r4e(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
 FROM sl GROUP BY dataset, metric""")
 def m11_metric_by_stage_dataset(spark, sf):
-    sc = sm.score_chains(chains(spark, sf), ["bleu", "rouge1", "rouge2"])
-    sc = sc.select(*[rnd(c).alias(c) if c.rsplit("_", 1)[-1] in STAGES else F.col(c)
-                     for c in sc.columns])
-    return sm.metric_by_stage(sc, by=("dataset",), places=4)
+    return sm.metric_by_stage(_scored(spark, sf, sm.ALL_METRICS), by=("dataset",), places=4)
 
 
 @register("m12_decay_curve_family", _m_base_sql() + """
@@ -497,20 +530,20 @@ def m12_decay_curve_family(spark, sf):
     return d.select("family", "T0", *[rnd(s).alias(s) for s in LATER_STAGES])
 
 
-@register("m11_metric_by_stage_dataset_paraphraser", _m_base_sql() + """
+@register("m11_metric_by_stage_dataset_paraphraser", _m_all_sql() + """
 SELECT dataset, paraphraser, metric, """ + ", ".join(
     S.r4e(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
 FROM sl GROUP BY dataset, paraphraser, metric""")
 def m11_metric_by_stage_dataset_paraphraser(spark, sf):
-    return sm.metric_by_stage(_scored(spark, sf, ["bleu", "rouge1", "rouge2"]), by=("dataset", "paraphraser"), places=4)
+    return sm.metric_by_stage(_scored(spark, sf, sm.ALL_METRICS), by=("dataset", "paraphraser"), places=4)
 
 
-@register("m11_metric_by_stage_family", _m_base_sql() + """
+@register("m11_metric_by_stage_family", _m_all_sql() + """
 SELECT family, metric, """ + ", ".join(
     S.r4e(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES) + """
 FROM sl GROUP BY family, metric""")
 def m11_metric_by_stage_family(spark, sf):
-    return sm.metric_by_stage(_scored(spark, sf, ["bleu", "rouge1", "rouge2"]), by=("family",), places=4)
+    return sm.metric_by_stage(_scored(spark, sf, sm.ALL_METRICS), by=("family",), places=4)
 
 
 @register("m12_decay_curve_dataset", _m_base_sql() + """
@@ -522,15 +555,35 @@ def m12_decay_curve_dataset(spark, sf):
     return d.select("dataset", "T0", *[rnd(s).alias(s) for s in LATER_STAGES])
 
 
-@register("r10_nth_document", _m_base_sql() + f"""
-SELECT dataset, family, key, source, paraphraser, bleu_T3, rouge1_T3, rouge2_T3 FROM (
+def _curves_sql(by: str) -> str:
+    means = ", ".join(S.rnd(f"avg(score) FILTER (WHERE stage = '{s}')") + f" AS {s}" for s in LATER_STAGES)
+    return _m_all_sql() + f"SELECT {by}, metric, 1.0 AS T0, {means} FROM sl GROUP BY {by}, metric"
+
+
+def _curves(spark, sf, by):
+    d = sm.decay_curves(_scored(spark, sf, sm.ALL_METRICS), by)
+    return d.select(by, "metric", "T0", *[rnd(s).alias(s) for s in LATER_STAGES])
+
+
+@register("m12_decay_curves_family", _curves_sql("family"))
+def m12_decay_curves_family(spark, sf):
+    return _curves(spark, sf, "family")
+
+
+@register("m12_decay_curves_dataset", _curves_sql("dataset"))
+def m12_decay_curves_dataset(spark, sf):
+    return _curves(spark, sf, "dataset")
+
+
+@register("r10_nth_document", _m_all_sql() + f"""
+SELECT dataset, family, key, source, paraphraser, bleu_T3, rouge1_T3, rouge2_T3, rougeL_T3 FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, family ORDER BY key, source, paraphraser) AS rn
   FROM scored) WHERE rn = 3""")
 def r10_nth_document(spark, sf):
     picked = rs.nth_document(chains(spark, sf), 3, order_cols=("key", "source", "paraphraser"))
-    sc = sm.score_chains(picked, ["bleu", "rouge1", "rouge2"])
+    sc = sm.score_chains(picked, sm.ALL_METRICS)
     return sc.select("dataset", "family", "key", "source", "paraphraser",
-                     *[rnd(c).alias(c) for c in ("bleu_T3", "rouge1_T3", "rouge2_T3")])
+                     *[rnd(c).alias(c) for c in ("bleu_T3", "rouge1_T3", "rouge2_T3", "rougeL_T3")])
 
 
 @register("p12_round4_rouge1", _m_base_sql(rounded=False) + """
@@ -543,10 +596,10 @@ def p12_round4_rouge1(spark, sf):
 
 
 def queries() -> dict:
-    from textdrift.plans import catalog_more  # noqa: F401  (registers the second half)
+    from textdrift.plans import catalog_more, catalog_sources  # noqa: F401  (register the rest)
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    from textdrift.plans import catalog_more  # noqa: F401
+    from textdrift.plans import catalog_more, catalog_sources  # noqa: F401
     return dict(ORACLE)

@@ -15,7 +15,7 @@ from textdrift.operators import reshape as rs
 from textdrift.operators import similarity as sm
 from textdrift.operators import style as sy
 from textdrift.plans import sql as S
-from textdrift.session import ensure_checkpoint_dir
+from textdrift.session import stored
 from textdrift.plans.catalog import (CH, CHS, VK, VKS, chains, long_versions,
                                      m1_bleu2, register, rnd)
 from textdrift.sources import fixtures as fx
@@ -554,6 +554,37 @@ def l1_tfidf_vocabulary(spark, sf):
                     F.col("cf").cast("long").alias("cf"), rnd("idf").alias("idf"))
 
 
+@register("l1_tfidf_weights", f"""
+WITH t AS (SELECT doc_id, {_TFIDF_TOK} AS tok FROM documents),
+g AS (SELECT doc_id, unnest(tok || {S.bigrams('tok')}) AS term FROM t),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
+st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2
+       ORDER BY cf DESC, term LIMIT 5000),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+w AS (SELECT doc_id, term, (1.0 + ln(tf)) * (ln((1.0 + n.n) / (1.0 + df)) + 1.0) AS w
+      FROM tf JOIN st USING (term), n)
+SELECT doc_id, term, {S.rnd('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM w""")
+def l1_tfidf_weights(spark, sf):
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    v = stored(le.fit_vocabulary(docs, "doc_id", "text", max_features=5000, min_df=2), "vocabulary")
+    return le.tfidf_weights(docs, v, "doc_id", "text").select("doc_id", "term", rnd("weight").alias("weight"))
+
+
+@register("l2_holdout_split", S.F1_CHAINS.rstrip() + """,
+h AS (SELECT *, CASE WHEN ('0x' || left(md5('42|{"dataset":"' || dataset || '","key":"' || key || '"}'), 8))::BIGINT
+                          % 100 < 25 THEN 'test' ELSE 'train' END AS split FROM chains)
+SELECT dataset, key, source, paraphraser, split FROM h""")
+def l2_holdout_split(spark, sf):
+    return le.holdout_split(chains(spark, sf)).select(*CH, "split")
+
+
+@register("l2_holdout_attribution")
+def l2_holdout_attribution(spark, sf):
+    """Metrics of the held-out documents by stage (Q16: no document on both sides)."""
+    model, vocab, held = le.train_attribution(chains(spark, sf), holdout_by=("dataset", "key"))
+    return le.binary_metrics(le.predict_stages(model, vocab, held))
+
+
 def _f4(spark, sf) -> DataFrame:
     """fixed prediction table over chain x stage rows (no model): (row_id, dataset, family,
     paraphraser, stage, present, label, prediction)."""
@@ -726,65 +757,64 @@ def l3_evaluate_model_by_stage(spark, sf):
     return le.binary_metrics(le.predict_stages(model, vocab, rows))
 
 
-def _fingerprint_data(spark, sf, tfidf_features: int = 500):
+def _fingerprint_data(spark, sf, tfidf_features: int = 500, fit_on: str = "train"):
+    """Vectors of T1 texts, balanced and split by family; the classes are the families that have
+    T1 texts. ``fit_on='all'`` fits the vocabulary on both sides, as the reference does."""
     feats = _features(spark, sf)
     fc = sy.feature_chains(feats)
-    t1 = fc.where(F.col("f_T1").isNotNull() & F.col("family").isin(*_FAMS))
-    t1 = t1.select(F.concat_ws("|", *CH).alias("row_id"), *CH, "family",
-                   *[F.col(f"f_T1.{c}").alias(c) for c in SCALAR_FEATURES + POS16])
+    t1 = fc.where(F.col("f_T1").isNotNull())
+    row_id = F.to_json(F.struct(*CH), {"ignoreNullFields": "false"}).alias("row_id")
+    t1 = t1.select(row_id, *CH, "family", *[F.col(f"f_T1.{c}").alias(c) for c in SCALAR_FEATURES + POS16])
     bal = rs.balance_classes(t1, "family", CH, seed=42)
     split = rs.stratified_split(bal, "family", CH, 0.25, seed=42)
-    texts = chains(spark, sf).select(F.concat_ws("|", *CH).alias("row_id"), F.col("T1").alias("text"))
-    # several actions follow (vocabulary fit, sizes, training): cut the lineage once, into the
-    # session's checkpoint folder, instead of recomputing the feature pipeline for each
-    ensure_checkpoint_dir(spark)
-    base = split.join(texts, "row_id").checkpoint()
-    vocab = le.fit_vocabulary(base.where(F.col("split") == "train"), "row_id", "text",
-                              max_features=tfidf_features, min_df=1).cache()
+    texts = chains(spark, sf).select(row_id, F.col("T1").alias("text"))
+    # several actions follow (vocabulary fit, sizes, training): store once instead of recomputing
+    base = stored(split.join(texts, "row_id"), "fingerprint")
+    fitted = base if fit_on == "all" else base.where(F.col("split") == "train")
+    vocab = stored(le.fit_vocabulary(fitted, "row_id", "text", max_features=tfidf_features, min_df=1), "vocabulary")
     style = base.select("row_id", "family", "split", *SCALAR_FEATURES, *POS16)
     x = le.fingerprint_features(base.select("row_id", "text"), style, "row_id", "text", vocab,
                                 SCALAR_FEATURES + POS16)
-    idx = F.create_map(*[F.lit(v) for i, f in enumerate(_FAMS) for v in (f, float(i))])
-    x = x.withColumn("label_idx", idx[F.col("family")])
+    families = le.class_names(base, "family")
+    x = x.withColumn("label_idx", F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")
+                                                   ).cast("double") - 1)
     names = SCALAR_FEATURES + POS16 + [r["term"] for r in vocab.orderBy("idx").collect()]
-    return x, names
+    return x, names, families
 
 
 @register("l8_fingerprint_features")
 def l8_fingerprint_features(spark, sf):
-    x, names = _fingerprint_data(spark, sf)
+    x, names, _ = _fingerprint_data(spark, sf)
     return x.groupBy("family", "split").agg(F.count(F.lit(1)).alias("n"),
                                             F.lit(len(names)).alias("n_features"))
 
 
 def _fingerprint_model(spark, sf):
-    x, names = _fingerprint_data(spark, sf)
-    x = x.cache()
+    x, names, families = _fingerprint_data(spark, sf)
     model = le.train_fingerprint(x.where(F.col("split") == "train"))
-    return model, x, names
+    return model, x, names, families
 
 
 @register("l9_train_fingerprint")
 def l9_train_fingerprint(spark, sf):
-    model, x, _ = _fingerprint_model(spark, sf)
-    inv = F.create_map(*[F.lit(v) for i, f in enumerate(_FAMS) for v in (float(i), f)])
+    model, x, _, families = _fingerprint_model(spark, sf)
+    named = F.element_at(F.array(*[F.lit(f) for f in families]), F.col("prediction").cast("int") + 1)
     pred = model.transform(x.where(F.col("split") == "test")) \
-        .select(F.col("family").alias("label"), inv[F.col("prediction")].alias("prediction"))
+        .select(F.col("family").alias("label"), named.alias("prediction"))
     return le.multiclass_metrics(pred)
 
 
 @register("l11_feature_importance")
 def l11_feature_importance(spark, sf):
-    model, _, names = _fingerprint_model(spark, sf)
+    model, _, names, _ = _fingerprint_model(spark, sf)
     return le.feature_importance(model, names, 20, spark)
 
 
 def _pca_rows(spark, sf):
     ch = chains(spark, sf)
-    ensure_checkpoint_dir(spark)
-    long = rs.melt_chains(ch, ids=CH + ["family"]).withColumn(
-        "row_id", F.concat_ws("|", *CH, "stage")).checkpoint()
-    vocab = le.fit_vocabulary(long, "row_id", "text", max_features=3000, min_df=1).cache()
+    row_id = F.to_json(F.struct(*CH, "stage"), {"ignoreNullFields": "false"})
+    long = stored(rs.melt_chains(ch, ids=CH + ["family"]).withColumn("row_id", row_id), "stages")
+    vocab = stored(le.fit_vocabulary(long, "row_id", "text", max_features=3000, min_df=1), "vocabulary")
     x = le.transform_tfidf(long.select("row_id", "stage", "text"), vocab, "row_id", "text")
     return le.pca_explained(x, k=50)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "textdrift") -> SparkSession:
@@ -49,3 +51,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path)
         return path
     raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+
+
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written once as Parquet into the checkpoint folder and read back (as ``schema``, if
+    given): a lineage cut for results that several actions use, which outlives any executor."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

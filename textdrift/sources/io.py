@@ -82,6 +82,18 @@ def read_versions(spark: SparkSession, root: str, names=None, schema: T.StructTy
     return out
 
 
+def _write_csv(df: DataFrame, path: str) -> None:
+    """As the readers here expect it: a header, doubled quotes, white space kept."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def write_versions(versions: DataFrame, root: str, names=None) -> None:
+    """One CSV folder for each dataset of ``names`` (default: all), as ``read_versions`` reads it."""
+    for name in (DATASETS if names is None else names):
+        _write_csv(versions.where(F.col("dataset") == name).drop("dataset"), os.path.join(root, dataset_file(name)))
+
+
 def read_working(spark: SparkSession, root: str) -> DataFrame:
     """The working subset of datasets."""
     return read_versions(spark, root, WORKING_DATASETS)
@@ -135,6 +147,12 @@ def read_scored(spark: SparkSession, root: str, names=None, suffix: str = "_chai
     return out.withColumns({c: F.col(c).cast("double") for c in score_cols})
 
 
+def write_scored(scored: DataFrame, root: str, names=None, suffix: str = "_chains_scored.csv") -> None:
+    """One CSV folder of scored chains for each dataset of ``names``, as ``read_scored`` reads it."""
+    for name in (DATASETS if names is None else names):
+        _write_csv(scored.where(F.col("dataset") == name).drop("dataset"), os.path.join(root, f"{name}{suffix}"))
+
+
 def write_metrics(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """A metric table (tens to hundreds of rows) as one file."""
     w = df.coalesce(1).write.mode("overwrite")
