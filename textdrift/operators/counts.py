@@ -65,6 +65,25 @@ def corpus_stats(chains: DataFrame, long: DataFrame | None = None) -> DataFrame:
     return c.join(v, "dataset", "full")
 
 
+def corpus_stats_sketched(chains: DataFrame, lg_k: int = 12) -> DataFrame:
+    """C5 by mergeable sketches: the distinct counts are HyperLogLog estimates (relative standard
+    error about 1.04 / sqrt(2^lg_k)), ``n_chains`` is exact.
+
+    Chains are read once and aggregated to one sketch for each dataset; the total line merges
+    those few sketches, so no row of the corpus is expanded for it.
+    """
+    per = chains.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("paraphraser", lg_k).alias("p"),
+        F.hll_sketch_agg("key", lg_k).alias("d"))
+    lines = per.select("n", "p", "d", F.explode(F.array(
+        F.struct(F.lit(0).alias("_g"), F.col("dataset").alias("dataset")),
+        F.struct(F.lit(1).alias("_g"), F.lit("total").alias("dataset")))).alias("_l"))
+    merged = lines.groupBy("_l").agg(F.sum("n").alias("n_chains"), F.hll_union_agg("p").alias("p"),
+                                     F.hll_union_agg("d").alias("d"))
+    return merged.select("_l.dataset", "n_chains", F.hll_sketch_estimate("p").alias("n_paraphrasers"),
+                         F.hll_sketch_estimate("d").alias("n_documents"))
+
+
 def value_shares(df: DataFrame, col: str) -> DataFrame:
     """Count and percent share of each value (share = count / total over all values)."""
     cnt = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

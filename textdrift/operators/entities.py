@@ -66,6 +66,18 @@ def entity_sets(versions: DataFrame, text_col: str = "text", out: str = "ents",
         versions["*"], F.coalesce(out, F.array().cast("array<string>")).alias(out))
 
 
+def entity_sets_typed(versions: DataFrame, mentions: DataFrame, out: str = "ents",
+                      id_cols=("dataset", "key", "source", "version_name", "seq")) -> DataFrame:
+    """E2 from a mention table (``id_cols``, mention, label): ``versions`` with the distinct
+    (text, label) structs of each row, sorted; rows without mentions have an empty set."""
+    typed = F.struct(F.lower(F.trim("mention")).alias("text"), F.col("label"))
+    found = mentions.groupBy(*[F.col(c).alias(f"_own_{c}") for c in id_cols]).agg(
+        F.sort_array(F.collect_set(typed)).alias(out))
+    same = [versions[c].eqNullSafe(F.col(f"_own_{c}")) for c in id_cols]
+    return versions.join(found, same, "left").select(
+        versions["*"], F.coalesce(out, F.array().cast("array<struct<text:string,label:string>>")).alias(out))
+
+
 def retention(ref: Column, hyp: Column) -> Column:
     """struct(jaccard, recall, precision, n_ref, n_hyp, n_shared) of two entity sets.
 

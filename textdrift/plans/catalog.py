@@ -596,10 +596,10 @@ def p12_round4_rouge1(spark, sf):
 
 
 def queries() -> dict:
-    from textdrift.plans import catalog_more, catalog_sources  # noqa: F401  (register the rest)
+    from textdrift.plans import catalog_more, catalog_sources, catalog_tables  # noqa: F401  (register the rest)
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    from textdrift.plans import catalog_more, catalog_sources  # noqa: F401
+    from textdrift.plans import catalog_more, catalog_sources, catalog_tables  # noqa: F401
     return dict(ORACLE)

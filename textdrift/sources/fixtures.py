@@ -143,3 +143,18 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id")
+
+
+# F5 gazetteer: the first one, two and three words of every benchmark item, class by item_id % 3
+F5_CLASSES = ["PLACE", "ORG", "PERSON"]
+F5_WORDS = (1, 2, 3)
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(phrase, label): phrases that lie within one another, some of several classes."""
+    items = read_table(spark, sf_dir, "benchmark").select(
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("t"),
+        _case_by_mod(F.col("item_id"), 3, F5_CLASSES).alias("label"))
+    lengths = F.array(*[F.lit(n) for n in F5_WORDS])
+    return items.select("t", "label", F.explode(lengths).alias("n")).where("n <= size(t)").select(
+        F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("phrase"), "label")

@@ -115,6 +115,20 @@ def write_chains(chains: DataFrame, path: str) -> None:
     chains.write.mode("overwrite").partitionBy("dataset").parquet(path)
 
 
+def store_by_document(df: DataFrame, table: str, path: str, buckets: int, sort=()) -> DataFrame:
+    """A version or chain table, stored as ``table`` under ``path`` in ``buckets`` buckets of
+    (dataset, key, source) and read back.
+
+    Whatever groups the stored table by document, or by document and more, needs no exchange. Each
+    bucket is one file; choose ``buckets`` so that one fits a task (bytes of all texts / 128 MB).
+    The shuffle here is the only one; it is paid once for all later reads.
+    """
+    keys = ["dataset", "key", "source"]
+    writer = df.repartition(buckets, *keys).write.format("parquet").mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys, *sort).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType,
                   fmt: str = "csv") -> DataFrame:
     """A result table, or an empty frame when it is absent or lacks a required column."""
