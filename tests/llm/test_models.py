@@ -167,17 +167,71 @@ def test_order_of_words_counts(spark):
     assert got[held[0]].score > got[held[1]].score + 5
 
 
-def test_tables_of_word_contexts(spark):
+def _letters(spark):
     rng = np.random.default_rng(2)
-    docs = documents(spark, [(i, " ".join(rng.choice(["a", "b", "c"], 12))) for i in range(40)])
-    docs = docs.selectExpr("text", "doc_id % 10 = 0 AS held_out")
-    rows, discount = language_model.word_contexts(docs, language_model.vocabulary(docs))
-    rows = rows.collect()
-    assert 0 < discount < 1 and sum(r.uses for r in rows) == 40 * 13 and sum(r.n for r in rows) == 36 * 13
-    assert all(1 <= r.tables <= r.n if r.n else r.tables == 0 for r in rows)
-    for before in {r.before for r in rows}:
-        own = [r for r in rows if r.before == before]
-        assert {(r.served, r.opened) for r in own} == {(sum(r.n for r in own), sum(r.tables for r in own))}
+    docs = documents(spark, [(i, " ".join(rng.choice(["a", "b", "c"], 12)) + f" x{i}") for i in range(40)])
+    return docs.selectExpr("doc_id", "text", "doc_id % 10 = 0 AS held_out")
+
+
+def _model(docs):
+    """(model, training counts of pairs by code, kept tables of pairs, counts and probabilities of tokens)."""
+    model = language_model.Model(docs.select("text", "held_out"))
+    end = language_model._END_HASH
+    code, pairs = {}, collections.Counter()
+    for row in docs.collect():
+        words = row.text.lower().split()
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        hashes = language_model._tokens(data, np.array([0, len(data)]))[1]
+        code.update(zip(words, model.codes.value.of(hashes).tolist()))
+        code[None] = int(model.codes.value.of(np.array([end], np.uint64))[0])
+        if not row.held_out:
+            pairs.update((code[a], code[b]) for a, b in zip([None, *words], [*words, None]))
+    tables = {(r.u, r.w): r.kept for r in model.pairs.collect()}
+    tokens = {r.code: (r.n, np.array(r.ps)) for r in model.tokens.collect()}
+    return model, code, pairs, tables, tokens
+
+
+def _predict(model, pairs, tables, tokens, u, w):
+    """Averaged probability of token ``w`` (None: unknown) after ``u``, by the restaurants' formula."""
+    n, ps = tokens.get(w, (0, None))
+    total, theta, d = 0.0, pitman_yor.STRENGTH, model.discount
+    for s in range(language_model.SAMPLES):
+        own = {y: (tables[x, y][s] if c > 1 else 1) for (x, y), c in pairs.items() if x == u}
+        served = sum(c for (x, _), c in pairs.items() if x == u)
+        p = ps[s] if n else model.unseen[s]
+        total += (pairs[u, w] - d * own.get(w, 0) + (theta + d * sum(own.values())) * p) / (theta + served)
+    return total / language_model.SAMPLES
+
+
+@pytest.mark.parametrize("common,bucket", [(1 << 17, 1 << 20), (2, 64), (0, 100)])
+def test_scores_follow_from_the_restaurants(spark, monkeypatch, common, bucket):
+    monkeypatch.setattr(language_model, "COMMON", common)
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", bucket)
+    made = []
+    monkeypatch.setattr(language_model, "Model", lambda d, real=language_model.Model: made.append(real(d)) or made[-1])
+    docs = _letters(spark)
+    scores = {r.doc_id: r.score for r in language_model.score(docs).collect()}
+    again = made[-1]
+    monkeypatch.setattr(language_model, "Model", lambda d: again)
+    model, code, pairs, tables, tokens = _model(docs)
+    assert set(tables) == {x for x, c in pairs.items() if c > 1}
+    assert all(len(t) == language_model.SAMPLES and all(1 <= x <= pairs[k] for x in t) for k, t in tables.items())
+    assert {c for c, (n, _) in tokens.items() if n} == {w for _, w in pairs}
+    for row in docs.collect():
+        words = [code[x] for x in [None, *row.text.lower().split(), None]]
+        expected = sum(math.log10(_predict(model, pairs, tables, tokens, u, w if tokens[w][0] else None))
+                       for u, w in zip(words, words[1:]))
+        assert abs(scores[row.doc_id] - expected) < 1e-6
+    known = [w for w, (n, _) in tokens.items() if n]
+    for u in [code[None], code["a"], code["x1"]]:
+        assert abs(sum(_predict(model, pairs, tables, tokens, u, w) for w in [*known, None]) - 1) < 1e-6
+
+
+def test_word_contexts_are_reseated(spark):
+    docs = documents(spark, [(i, " ".join(np.random.default_rng(i).choice(["a", "b", "c"], 40))) for i in range(40)])
+    model = language_model.Model(docs.selectExpr("text", "false AS held_out"))
+    kept = [r.kept for r in model.pairs.collect()]
+    assert len(kept) > 9 and any(len(set(k)) > 1 for k in kept)
 
 
 def test_token_probabilities_sum_to_one():

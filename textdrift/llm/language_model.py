@@ -6,29 +6,32 @@ Their common parent is a restaurant of tokens, to which each of their tables sen
 base is a spelling model: nested restaurants of byte contexts that share their parents
 (``pitman_yor``). Each table of a token in the parent sends the token's
 spelling into the spelling restaurants, so that rare and unknown tokens get their share from how
-they are spelt. Seating is sampled by Gibbs sweeps over the whole training vocabulary; after
-``BURN`` sweeps, the predictive probabilities of ``SAMPLES`` samples are averaged.
-
-The vocabulary (one row per distinct token of the corpus, with its count in the training rows)
-is a distributed table that grows with the corpus, and each sweep is a scan of it; a token's
-tables follow from its hash, the sweep and the last spelling model, so nothing else is kept.
-Only the spelling counts (bounded, see ``pitman_yor``) come to the driver. The pairs of a token and
-the one before are a second such table; they are seated once, given the tokens' shares of the
-training rows, so that sampling starts from their tables.
+they are spelt. All three levels are reseated in each Gibbs sweep: the pairs of a token and the one
+before given the parent's probabilities, the parent given the spelling model, then the spelling.
+After ``BURN`` sweeps, the predictive probabilities of ``SAMPLES`` samples are averaged.
+
+A pair that occurs once has one table in every sample, so only pairs that occur twice or more
+are reseated; of the others a sweep needs how many a context and a token have. Pairs are dealt to
+buckets of about ``BUCKET_TOKENS`` tokens, by context, or by the pair where the context is one of the
+``COMMON`` most frequent tokens (a fixed number, whose values are broadcast); so no frequent context
+is a hot key. Slices of texts send their pairs to the buckets as packed columns, once to count
+them and once, with the documents that use them, to score them; a bucket returns sums by document.
+The vocabulary and the pairs are distributed tables that grow with the corpus. The driver gets the
+spelling counts (bounded, see ``pitman_yor``) and the values of ``COMMON`` tokens. Only a pair that is
+itself in a large share of all documents makes its bucket larger, by a byte or so for each.
 
 ``score`` is over the training vocabulary and one unknown token, as the base score is: a token
 that no training text has takes the probability of all unseen tokens together, one minus the
 sum over the vocabulary. ``open_score`` takes the probability of its own spelling instead.
 
-Texts are scored in one scan: the ``COMMON`` most frequent pairs (a fixed number) are broadcast,
-all others are joined with the pairs by hash, so that no frequent pair is a hot join key.
-
 Defined results: a null, empty or blank text has only its end token; without training rows all
-counts are 0; repeated rows are counted and scored each for itself; an empty table gives no rows.
+counts are 0; repeated rows are counted and scored each for itself; an empty table gives no rows; a
+very long text is a slice of its own.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -39,13 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.llm import pitman_yor as P, words as W
+from textdrift.llm.skew import attach
 from textdrift.llm.tables import remainder, written
 
 HELD_OUT_MODULO = 10
 BURN, SAMPLES = 1, 3
 COMMON = 1 << 17
 SLICE_BYTES = 16 << 20
+BUCKET_TOKENS = 1 << 20
 _END_HASH = 0x7E57E4D0C0FFEE11
+_PAIR, _CONTEXT, _TOKEN = 0, 1, 2
+_TABLES, _VALUES, _TEXTS, _DOCUMENTS = 0, 1, 2, 3
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray]:
@@ -54,92 +61,184 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray]
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
-    """hash, token (empty: the end token) and its count in the training rows, for every token of
-    ``documents`` (text, held_out)."""
+    """hash, token (empty: the end token), its counts in the training rows (n) and in all (uses), for
+    every token of ``documents`` (text, held_out)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(0))
             trains = ~np.asarray(batch.column(1))
             for a, b in W.slices(data, offsets, SLICE_BYTES):
                 found, hashes = _tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                 counts = np.bincount(inverse, trains[a:b][found.doc_of()], len(distinct)).astype(np.int64)
+                uses = np.bincount(inverse, minlength=len(distinct))
                 raw = found.data.tobytes()
                 tokens = [raw[s:e] for s, e in zip(found.starts[first].tolist(), found.ends[first].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(distinct, np.uint64(_END_HASH)).view(np.int64)),
-                     pa.array([*tokens, b""], pa.binary()), pa.array(np.append(counts, trains[a:b].sum()))],
-                    names=["hash", "token", "n"])
+                     pa.array([*tokens, b""], pa.binary()), pa.array(np.append(counts, trains[a:b].sum())),
+                     pa.array(np.append(uses, b - a))], names=["hash", "token", "n", "uses"])
 
-    return documents.mapInArrow(task, "hash long, token binary, n long").groupBy("hash", "token").agg(
-        F.sum("n").alias("n"))
+    return documents.mapInArrow(task, "hash long, token binary, n long, uses long").groupBy("hash", "token").agg(
+        F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
-def _before(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The token before each token (of documents in order): the end token before the first one."""
-    before = np.append(np.uint64(_END_HASH), hashes[:-1]) if len(hashes) else hashes
-    first = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, dtype=bool)
-    return np.where(first, np.uint64(_END_HASH), before)
+class Codes:
+    """Codes of tokens: the place among the ``COMMON`` most used tokens (in order of their hashes),
+    or the hash with its highest bit set, which makes it negative; and the common tokens' counts."""
 
+    def __init__(self, tokens: DataFrame):
+        common = tokens.select("hash", "n", "uses").orderBy(F.desc("uses"), "hash").limit(COMMON).toPandas()
+        common = common.sort_values("hash")
+        self.hashes, self.counts = common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
 
-def _in_order(found: W.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens with each document's end token, the document of each)."""
-    size = len(found.ptr) - 1
-    return (np.insert(hashes, found.ptr[1:], np.uint64(_END_HASH)),
-            np.insert(found.doc_of(), found.ptr[1:], np.arange(size)))
+    def __len__(self) -> int:
+        return len(self.hashes)
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = hashes.view(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self) - 1, 0))
+        hit = self.hashes[at] == hashes if len(self) else np.zeros(len(hashes), dtype=bool)
+        return np.where(hit, at, hashes | np.int64(-1 << 63))
 
-def _pair_hashes(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return W.mix(W.mix(before) * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """What random numbers depend on: the hashes, whichever tokens are common."""
+        if not len(self):
+            return codes
+        return np.where(codes >= 0, self.hashes[np.maximum(codes, 0)] | np.int64(-1 << 63), codes)
 
 
-def word_pairs(documents: DataFrame) -> DataFrame:
-    """pair, before, hash, n and uses: pairs of a token and the one before in ``documents`` (text,
-    held_out), by hashes, with their counts in the training rows and in all rows."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns as one compressed string, byte by byte of all their numbers."""
+    raw = np.array([len(c) for c in columns], np.int32).tobytes() + b"".join(
+        np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, *types: type) -> list[np.ndarray]:
+    raw = pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), "zstd", asbytes=True)
+    sizes = np.frombuffer(raw, np.int32, len(types))
+    out, at = [], 4 * len(types)
+    for n, kind in zip(sizes.tolist(), types):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
+def _deltas(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.int64(0))
+
+
+_TEXT_TYPES = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
+
+
+def _sent(found: W.Words, hashes: np.ndarray, trains: np.ndarray, codes: Codes, buckets: int,
+          with_documents: bool) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed pairs) of a slice: the contexts' codes, tokens' codes and training counts of
+    its pairs, how many documents use each, and these with their numbers of uses."""
+    size = len(found.ptr) - 1
+    distinct, local = np.unique(codes.of(np.append(hashes, np.uint64(_END_HASH))), return_inverse=True)
+    end = local[-1]
+    token = np.insert(local[:-1], found.ptr[1:], end)
+    doc = np.insert(found.doc_of(), found.ptr[1:], np.arange(size))
+    before = np.append(end, token[:-1])       # the token before a text's first one is an end token
+    key = before.astype(np.int64) << 32 | token
+    u = distinct[before]
+    spread = np.where(u >= 0, _pair_hashes(u, distinct[token]), W.mix(u.view(np.uint64)))
+    bucket = (spread % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((key, bucket))
+    key, bucket, doc = key[order], bucket[order], doc[order]
+    new_pair = np.append(True, key[1:] != key[:-1])
+    new_use = new_pair | np.append(True, doc[1:] != doc[:-1])
+    pair_at, use_at = np.flatnonzero(new_pair), np.flatnonzero(new_use)
+    times = np.diff(np.append(use_at, len(key)))
+    used_by = doc[use_at]
+    pair_use = np.searchsorted(use_at, pair_at)
+    documents = np.diff(np.append(pair_use, len(use_at)))
+    n = np.add.reduceat(times * trains[used_by], pair_use)
+    u, w, bucket = distinct[key[pair_at] >> 32], distinct[key[pair_at] & 0xFFFFFFFF], bucket[pair_at]
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+    use_ends, first, first_use = np.append(pair_use, len(use_at))[ends], 0, 0
+    for last, last_use in zip(ends.tolist(), use_ends.tolist()):
+        uses = (documents[first:last], used_by[first_use:last_use], times[first_use:last_use])
+        if not with_documents:
+            uses = (uses[0][:0],) * 3
+        yield int(bucket[first]), _packed(_deltas(u[first:last]), w[first:last],
+                                          *(c.astype(np.int32) for c in (n[first:last], *uses)))
+        first, first_use = last, last_use
+
+
+def _pair_hashes(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(before.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + token.view(np.uint64))
+
+
+def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, tokens) of the distinct pairs in order, and the place of each given pair there."""
+    order = np.lexsort((w, u))
+    us, ws = u[order], w[order]
+    new = np.append(True, (us[1:] != us[:-1]) | (ws[1:] != ws[:-1])) if len(u) else np.zeros(0, dtype=bool)
+    inverse = np.empty(len(u), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return us[new], ws[new], inverse
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(key, rows) of the runs of equal values in the first column."""
+    key, parts = None, []
+    for batch in batches:
+        keys = np.asarray(batch.column(0))
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                if parts and keys[a] != key:
+                    yield key, pa.Table.from_batches(parts)
+                    parts = []
+                key = int(keys[a])
+                parts.append(batch.slice(a, b - a))
+    if parts:
+        yield key, pa.Table.from_batches(parts)
+
+
+def restaurants(documents: DataFrame, codes, buckets: int) -> DataFrame:
+    """kind, bucket, u, w, n from the training counts of all pairs of ``documents`` (text, held_out):
+    _PAIR rows are pairs (u, w) that occur n times, n at least 2; _CONTEXT and _TOKEN rows say how
+    many pairs of the bucket occur once with the context u, with the token w. A token that is not
+    common has a row in each bucket where it occurs at all."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(0))
             trains = ~np.asarray(batch.column(1))
             for a, b in W.slices(data, offsets, SLICE_BYTES):
-                hashes, doc = _in_order(*_tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))
-                before = _before(hashes, doc)
-                distinct, first, inverse = np.unique(_pair_hashes(before, hashes), return_index=True,
-                                                     return_inverse=True)
-                counts = np.bincount(inverse, trains[a:b][doc], len(distinct)).astype(np.int64)
+                sent = list(_sent(*_tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]), trains[a:b],
+                                  codes.value, buckets, False))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sent], pa.int64()),
+                                                  pa.array([p for _, p in sent], pa.binary())], names=["bucket", "packed"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_key(W.frugal(batches)):
+            parts = [_unpacked(p, *_TEXT_TYPES)[:3] for p in rows.column(1).to_pylist()]
+            u, w, inverse = _distinct(np.concatenate([np.cumsum(p[0]) for p in parts]),
+                                      np.concatenate([p[1] for p in parts]))
+            n = np.bincount(inverse, np.concatenate([p[2] for p in parts]), len(u)).astype(np.int64)
+            many, once = n >= 2, n == 1
+            contexts, at = np.unique(u, return_inverse=True)
+            singles, needed = np.bincount(at, once, len(contexts)), np.bincount(at, many, len(contexts)) > 0
+            needed = (singles > 0) & (needed | (contexts >= 0))
+            tokens, at = np.unique(w, return_inverse=True)
+            alone = np.bincount(at, once, len(tokens))
+            shown = (alone > 0) | (tokens < 0)
+            for kind, rows_u, rows_w, rows_n in (
+                    (_PAIR, u[many], w[many], n[many]),
+                    (_CONTEXT, contexts[needed], np.zeros(int(needed.sum()), np.int64), singles[needed]),
+                    (_TOKEN, np.zeros(int(shown.sum()), np.int64), tokens[shown], alone[shown])):
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in (distinct, before[first], hashes[first])),
-                     pa.array(counts), pa.array(np.bincount(inverse, minlength=len(distinct)))],
-                    names=["pair", "before", "hash", "n", "uses"])
-
-    return documents.mapInArrow(task, "pair long, before long, hash long, n long, uses long").groupBy(
-        "pair", "before", "hash").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
-
-
-def word_contexts(documents: DataFrame, tokens: DataFrame) -> tuple[DataFrame, float]:
-    """The pairs with ``tables`` in the restaurant of the token before, its customers ``served``
-    and dishes ``opened``, and the token's training count ``token_n``; and the discount."""
-    pairs = written(word_pairs(documents), "word-pairs")
-    some = pairs.where("n > 0")
-    one, two, total = some.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2),
-                               F.coalesce(F.sum("n"), F.lit(0))).first()
-    discount = float(np.clip(one / max(1, one + 2 * two), 0.1, 0.9))
-    contexts = some.groupBy("before").agg(F.sum("n").alias("served"), F.count("*").alias("dishes"))
-    rows = pairs.join(contexts, "before", "left").join(tokens.select("hash", F.col("n").alias("token_n")), "hash")
-    columns = ["pair", "before", "hash", "n", "uses", "served", "dishes", "token_n"]
-    rows = rows.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in ("served", "dishes") else F.col(c) for c in columns])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair, n, dishes, token_n = (np.asarray(batch.column(c)) for c in (0, 3, 6, 7))
-            weight = (P.STRENGTH + discount * dishes) * token_n / max(total, 1)
-            tables = P.seat_any(n, weight, discount, pair.view(np.uint64), 0) if len(pair) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables.astype(np.int64))],
-                                             names=[*columns, "tables"])
+                    [pa.array(np.full(len(rows_u), kind)), pa.array(np.full(len(rows_u), bucket)), pa.array(rows_u),
+                     pa.array(rows_w), pa.array(rows_n.astype(np.int64))], names=["kind", "bucket", "u", "w", "n"])
 
-    schema = ", ".join(f"{c} long" for c in [*columns, "tables"])
-    seated = written(rows.mapInArrow(task, schema), "word-tables")
-    opened = seated.groupBy("before").agg(F.sum("tables").alias("opened"))
-    return seated.join(opened, "before"), discount
+    return documents.mapInArrow(send, "bucket long, packed binary").repartition("bucket").sortWithinPartitions(
+        "bucket").mapInArrow(count, "kind long, bucket long, u long, w long, n long")
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +256,9 @@ class Sample:
     repeat their parent's rows: what is broadcast is far smaller than the table.
     """
 
-    def __init__(self, spelling: P.Spelling, tables: float, discount: float):
-        self.packed, self.tables, self.discount = zlib.compress(spelling.logs.tobytes(), 1), tables, discount
+    def __init__(self, spelling: P.Spelling, tables: float, customers: float, discount: float):
+        self.packed = zlib.compress(spelling.logs.tobytes(), 1)
+        self.tables, self.customers, self.discount = tables, customers, discount
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "logs"}
@@ -176,7 +276,7 @@ class Sample:
         return P.seat_any(counts, weight, self.discount, hashes.view(np.uint64), sweep)
 
 
-def _sweep(tokens: DataFrame, shared, sweep: int) -> tuple[np.ndarray, np.ndarray, float]:
+def _sweep(tokens: DataFrame, codes, shared, sweep: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(spelling cells, their customers, number of tables) of a sweep given the sample before."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +288,8 @@ def _sweep(tokens: DataFrame, shared, sweep: int) -> tuple[np.ndarray, np.ndarra
                 tables = (counts > 0).astype(float)
             else:
                 sample = shared.value
-                tables = sample.seat(np.asarray(batch.column(0)), counts, sample.spelt(cells, word, len(counts)), sweep)
+                keys = codes.value.keys(np.asarray(batch.column(0)))
+                tables = sample.seat(keys, counts, sample.spelt(cells, word, len(counts)), sweep)
             distinct, inverse = np.unique(cells, return_inverse=True)
             customers = np.bincount(inverse, tables[word], len(distinct))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(distinct, -1)),
@@ -201,119 +302,279 @@ def _sweep(tokens: DataFrame, shared, sweep: int) -> tuple[np.ndarray, np.ndarra
     return rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(), tables
 
 
-def train(tokens: DataFrame) -> tuple[list, dict]:
-    """Broadcast Gibbs samples (the last SAMPLES, and the one before) and the corpus' totals."""
-    context = tokens.sparkSession.sparkContext
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-                       F.count_if(F.col("n") > 0).alias("v"), F.count_if(F.col("n") == 1).alias("one"),
-                       F.count_if(F.col("n") == 2).alias("two")).first()
-    discount = float(np.clip(total.one / max(1, total.one + 2 * total.two), 0.1, 0.9))
-    samples, spelling, shared = [], None, None
-    for sweep in range(BURN + SAMPLES + 1):
-        cells, customers, tables = _sweep(tokens, shared, sweep)
-        spelling = P.Spelling(cells, customers, spelling, sweep)
-        shared = context.broadcast(Sample(spelling, tables, discount))
-        samples.append(shared)
-    return samples[-SAMPLES - 1:], {"n": int(total.n), "v": int(total.v), "sweeps": BURN + SAMPLES}
-
-
-def probabilities(tokens: DataFrame, samples: list, totals: dict) -> DataFrame:
-    """hash, n and the averaged predictive probability of every token."""
-    first = totals["sweeps"] - len(samples) + 2
+def _with_probability(parent: DataFrame, codes, before, now, sweep: int) -> DataFrame:
+    """code, token, n, customers, ps of ``parent`` with p, the predictive probability in the sample
+    ``now``, in which the tables follow from the sample ``before``."""
+    columns = [*parent.columns, "p"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, counts = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-            p = np.zeros(len(counts))
+            counts, p = np.asarray(batch.column(2)), np.zeros(0)
             if len(counts):
                 cells, word = P.spell(*_binary(batch.column(1)))
-                spelt = samples[0].value.spelt(cells, word, len(counts))
-                for i in range(1, len(samples)):
-                    before, now = samples[i - 1].value, samples[i].value
-                    tables = before.seat(hashes, counts, spelt, first + i - 1)
-                    spelt = now.spelt(cells, word, len(counts))
-                    p += (counts - now.discount * tables + (P.STRENGTH + now.discount * now.tables) * spelt) / (
-                        P.STRENGTH + totals["n"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.maximum(p, 1e-300) / (len(samples) - 1))],
-                names=["hash", "n", "p"])
+                sample, tables = now.value, (counts > 0).astype(float)
+                if before is not None:
+                    spelt = before.value.spelt(cells, word, len(counts))
+                    tables = before.value.seat(codes.value.keys(np.asarray(batch.column(0))), counts, spelt, sweep)
+                spelt = sample.spelt(cells, word, len(counts))
+                p = np.maximum((counts - sample.discount * tables + (P.STRENGTH + sample.discount * sample.tables) * spelt)
+                               / (P.STRENGTH + sample.customers), 1e-300)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=columns)
 
-    return tokens.mapInArrow(task, "hash long, n long, p double")
+    return parent.mapInArrow(task, "code long, token binary, customers long, n long, ps array<double>, p double")
 
 
-def score(documents: DataFrame) -> DataFrame:
-    """Scores of every document of (doc_id, text, held_out) by a model of those not held out."""
-    tokens = written(vocabulary(documents.select("text", "held_out")), "vocabulary")
-    contexts, discount = word_contexts(documents.select("text", "held_out"), tokens)
-    corpus = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    n, v = int(corpus[0]), int(corpus[1])
-    contexts = written(contexts, "word-contexts")
-    customers = contexts.groupBy("hash").agg(F.sum("tables").alias("n"))
-    parent = written(tokens.drop("n").join(customers, "hash").select("hash", "token", "n"), "customers")
-    samples, totals = train(parent)
-    token_p = written(probabilities(parent, samples, totals), "probabilities")
-    seen = token_p.where("n > 0").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
-    unseen = max(1.0 - float(seen), 1e-12)
-    own = F.col("n") - F.lit(discount) * F.col("tables")
-    back = F.lit(P.STRENGTH) + F.lit(discount) * F.col("opened")
-
-    def given(p):
-        return (own + back * p) / (F.lit(P.STRENGTH) + F.col("served"))
-    known = written(contexts.join(token_p.select("hash", "p"), "hash").select(
-        F.col("pair").alias("hash"), F.col("token_n").alias("n"), "uses",
-        given(F.when(F.col("token_n") > 0, F.col("p")).otherwise(F.lit(unseen))).alias("p"),
-        given(F.col("p")).alias("open")), "pair-probabilities")
-    common = known.orderBy(F.desc("uses"), "hash").limit(COMMON).toPandas().sort_values("hash")
-    table = (common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64), np.log10(common["p"].to_numpy()),
-             np.log10(common["open"].to_numpy()))
-    shared = documents.sparkSession.sparkContext.broadcast(table)
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+
+
+def _reseated(pairs: DataFrame, contexts: DataFrame, probabilities: DataFrame, codes, discount: float,
+              sweep: int) -> DataFrame:
+    """``pairs`` (bucket, u, w, n, tables, kept) with the tables of this sweep, given those ``opened``
+    in each context and each token's probability."""
+    rows = attach(pairs.drop("tables"), contexts, ["u"], F.col("u") >= 0)
+    rows = attach(rows, probabilities, ["w"], F.col("w") >= 0)
+    keep = sweep > BURN
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, logs, opens = shared.value
-        bases = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         for batch in batches:
+            u, w, n, opened, p = (np.asarray(batch.column(c)) for c in ("u", "w", "n", "opened", "p"))
+            tables = np.zeros(0, np.int64)
+            if len(n):
+                keys = _pair_hashes(codes.value.keys(u), codes.value.keys(w))
+                tables = P.seat_any(n, (P.STRENGTH + discount * opened) * p, discount, keys, sweep).astype(np.int64)
+            kept = batch.column("kept")
+            if keep:
+                kept = _lists(np.column_stack([np.asarray(kept.flatten()).reshape(len(n), -1), tables]) if len(n)
+                              else np.zeros((0, 1), np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "u", "w", "n")), pa.array(tables), kept],
+                                             names=["bucket", "u", "w", "n", "tables", "kept"])
+
+    return rows.mapInArrow(task, "bucket long, u long, w long, n long, tables long, kept array<long>")
+
+
+def _released(spark) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results are written: its cleaner acts when
+    the driver's garbage collector has found that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Model:
+    """What training leaves: ``pairs`` (with the tables of each kept sample), ``tokens`` (code, n and the
+    probabilities of each kept sample) and ``counts`` (as ``restaurants``) as written tables; the
+    codes; the values of common contexts and tokens."""
+
+    def __init__(self, documents: DataFrame):
+        spark = documents.sparkSession
+        tokens = written(vocabulary(documents), "vocabulary")
+        total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0),
+                           F.coalesce(F.sum("uses"), F.lit(0))).first()
+        self.n, self.v, self.buckets = int(total[0]), int(total[1]), max(1, -(-int(total[2]) // BUCKET_TOKENS))
+        codes = Codes(tokens)
+        self.codes = spark.sparkContext.broadcast(codes)
+        _released(spark)
+        self.counts = written(restaurants(documents, self.codes, self.buckets), "word-pairs")
+        _released(spark)
+        self._sample(self._coded(tokens))
+        common = self.contexts().where("u >= 0").toPandas()
+        opened = np.zeros((len(codes), SAMPLES))
+        if len(common):
+            opened[common["u"].to_numpy()] = np.array(common["opened"].tolist(), float)
+        common = self.tokens.where("code >= 0").select("code", "ps").toPandas()
+        p = np.zeros((len(codes), SAMPLES))
+        if len(common):
+            p[common["code"].to_numpy()] = np.array(common["ps"].tolist(), float)
+        seen = self.tokens.where("n > 0").agg(*[F.sum(F.col("ps")[i]) for i in range(SAMPLES)]).first()
+        self.unseen = np.maximum(1 - np.array([x or 0.0 for x in seen]), 1e-12)
+        self.common = spark.sparkContext.broadcast((opened, p))
+
+    def _coded(self, tokens: DataFrame) -> DataFrame:
+        shared = self.codes
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.of(np.asarray(batch.column(0)))), *batch.columns[1:3]],
+                                                 names=["code", "token", "n"])
+
+        return tokens.select("hash", "token", "n").mapInArrow(task, "code long, token binary, n long")
+
+    def _sample(self, tokens: DataFrame) -> None:
+        """Gibbs sweeps over pairs, tokens and spellings."""
+        spark = tokens.sparkSession
+        counts = self.counts
+        once = counts.where(F.col("kind") == _TOKEN).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        twice = counts.where((F.col("kind") == _PAIR) & (F.col("n") == 2)).count()
+        self.discount = float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.9))
+        self.pairs = counts.where(F.col("kind") == _PAIR).select(
+            "bucket", "u", "w", "n", F.lit(1).cast("long").alias("tables"), F.expr("cast(array() AS array<long>)").alias("kept"))
+        state = tokens.withColumn("ps", F.expr("cast(array() AS array<double>)"))
+        spelling = before = now = probabilities = parent_discount = None
+        for sweep in range(BURN + SAMPLES + 1):
+            if sweep:
+                self.pairs = written(_reseated(self.pairs, self._opened(), probabilities, self.codes, self.discount,
+                                               sweep), "word-tables")
+            sent = counts.where(F.col("kind") == _TOKEN).select("w", "n").unionAll(self.pairs.select("w", "tables"))
+            customers = sent.groupBy(F.col("w").alias("code")).agg(F.sum("n").alias("customers"))
+            parent = written(state.join(customers, "code", "left").select(
+                "code", "token", F.coalesce("customers", F.lit(0)).alias("customers"), "n", "ps"), "customers")
+            seated = parent.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.count_if(F.col("customers") == 1),
+                                F.count_if(F.col("customers") == 2)).first()
+            if parent_discount is None:
+                parent_discount = float(np.clip(seated[1] / max(1, seated[1] + 2 * seated[2]), 0.1, 0.9))
+            cells, tables_of, tables = _sweep(parent.select("code", "token", "customers"), self.codes, now, sweep)
+            spelling = P.Spelling(cells, tables_of, spelling, sweep)
+            before, now = now, spark.sparkContext.broadcast(Sample(spelling, tables, float(seated[0]), parent_discount))
+            current = _with_probability(parent, self.codes, before, now, sweep)
+            probabilities = current.select(F.col("code").alias("w"), "p")
+            kept = F.concat("ps", F.array("p")) if sweep > BURN else F.col("ps")
+            state = current.select("code", "token", "n", kept.alias("ps"))
+            _released(spark)
+        self.tokens = written(state.select("code", "n", "ps"), "probabilities")
+
+    def _opened(self) -> DataFrame:
+        """u and the tables ``opened`` there now, for contexts with a pair that occurs twice."""
+        once = self.counts.where(F.col("kind") == _CONTEXT).select("u", "n")
+        return once.unionAll(self.pairs.select("u", "tables")).groupBy("u").agg(F.sum("n").alias("opened"))
+
+    def contexts(self) -> DataFrame:
+        """u and the tables ``opened`` in each kept sample, for the same contexts and common ones."""
+        once = self.counts.where(F.col("kind") == _CONTEXT).select("u", *[F.col("n").alias(f"s{i}") for i in range(SAMPLES)])
+        kept = self.pairs.select("u", *[F.col("kept")[i].alias(f"s{i}") for i in range(SAMPLES)])
+        sums = once.unionAll(kept).groupBy("u").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(SAMPLES)])
+        return sums.select("u", F.array(*[f"s{i}" for i in range(SAMPLES)]).alias("opened"))
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.asarray(c.flatten()) for c in column.chunks] or [np.zeros(0)]).astype(kind).reshape(-1, SAMPLES)
+
+
+def _place(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return np.minimum(np.searchsorted(sorted_keys, keys), max(len(sorted_keys) - 1, 0))
+
+
+def _bucket_sums(rows: pa.Table, model_common, codes: Codes, unseen: np.ndarray, discount: float,
+                 base_of) -> Iterator[tuple[int, bytes]]:
+    """(slice, packed sums by document) of a bucket's rows."""
+    opened_common, p_common = model_common
+    kind = np.asarray(rows.column("kind"))
+    part = {k: rows.filter(pa.array(kind == k)) for k in (_TABLES, _VALUES, _TEXTS)}
+    slices, texts = part[_TEXTS].column("slice").to_pylist(), part[_TEXTS].column("packed").to_pylist()
+    if not texts:
+        return
+    heads = [_unpacked(p, *_TEXT_TYPES)[:3] for p in texts]
+    sizes = np.cumsum([0, *(len(h[1]) for h in heads)])
+    u, w, inverse = _distinct(np.concatenate([np.cumsum(h[0]) for h in heads]), np.concatenate([h[1] for h in heads]))
+    n = np.bincount(inverse, np.concatenate([h[2] for h in heads]), len(u))
+    # tables of the pairs in each sample: none, one, or as delivered
+    tables = np.repeat((n > 0).astype(float)[:, None], SAMPLES, 1)
+    tu, tw = (np.asarray(part[_TABLES].column(c)) for c in ("u", "w"))
+    if len(tu):
+        # pairs of the two lists that are equal fall on the same place among all distinct ones
+        places = _distinct(np.concatenate([u, tu]), np.concatenate([w, tw]))[2]
+        tables[np.searchsorted(places[:len(u)], places[len(u):])] = _matrix(part[_TABLES].column("v"), float)
+    contexts, at = np.unique(u, return_inverse=True)
+    opened = np.stack([np.bincount(at, tables[:, i], len(contexts)) for i in range(SAMPLES)], 1)
+    served = np.bincount(at, n, len(contexts))
+    common = contexts >= 0
+    opened[common], served[common] = opened_common[contexts[common]], codes.counts[contexts[common]]
+    opened, served = opened[at], served[at]
+    values = part[_VALUES]
+    rare = np.asarray(values.column("w"))
+    order = np.argsort(rare)
+    rare, rare_n = rare[order], np.asarray(values.column("u"))[order]
+    rare_p = _matrix(values.column("v"), float)[order]
+    p, token_n = np.empty((len(u), SAMPLES)), np.empty(len(u), np.int64)
+    common = w >= 0
+    p[common], token_n[common] = p_common[w[common]], codes.counts[w[common]]
+    if not common.all():
+        place = _place(rare, w[~common])
+        p[~common], token_n[~common] = rare_p[place], rare_n[place]
+    back = (P.STRENGTH + discount * opened) / (P.STRENGTH + served)[:, None]
+    own = (n[:, None] - discount * tables) / (P.STRENGTH + served)[:, None]
+    score = np.log10((own + back * np.where((token_n > 0)[:, None], p, unseen)).mean(axis=1))
+    opens = np.log10((own + back * p).mean(axis=1))
+    base, known = base_of(token_n), token_n > 0
+    for slice_id, text, a, b in zip(slices, texts, sizes.tolist(), sizes[1:].tolist()):
+        documents, used_by, times = _unpacked(text, *_TEXT_TYPES)[3:]
+        pair = np.repeat(inverse[a:b], documents)
+        docs, at = np.unique(used_by, return_inverse=True)
+        sums = [np.bincount(at, times * x[pair], len(docs)) for x in (base, score, opens - score)]
+        yield slice_id, _packed(_deltas(docs.astype(np.int64)).astype(np.int32), *sums,
+                                np.bincount(at, times * known[pair], len(docs)).astype(np.int32))
+
+
+def score(documents: DataFrame) -> DataFrame:
+    """Scores of every document of (doc_id, text, held_out) by a model of those not held out."""
+    model = Model(documents.select("text", "held_out"))
+    codes, common, buckets, unseen, discount = model.codes, model.common, model.buckets, model.unseen, model.discount
+    n, v = model.n, model.v
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(1))
-            for a, b in W.slices(data, offsets):
-                size = b - a
-                own, doc = _in_order(*_tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))
-                own = _pair_hashes(_before(own, doc), own).view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
-                hit = hashes[at] == own if len(hashes) else np.zeros(len(own), dtype=bool)
-                at, docs = at[hit], doc[hit]
-                tokens = np.bincount(doc, minlength=size)
-                summary = pa.StructArray.from_arrays(
-                    [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(tokens, pa.int64()),
-                     pa.array(np.bincount(docs, counts[at] > 0, size).astype(np.int64)),
-                     pa.array(np.bincount(docs, bases[at], size).astype(float)),
-                     pa.array(np.bincount(docs, logs[at], size).astype(float)),
-                     pa.array(np.bincount(docs, opens[at], size).astype(float))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "open"])
-                rows = np.asarray(batch.column(3)[a:b])
-                rest, rest_doc = own[~hit], doc[~hit]
-                where = pa.array(np.append(np.arange(size), np.full(len(rest), -1)))
-                where = pa.compute.if_else(pa.compute.less(where, 0), None, where)
+            trains, ids = ~np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            for a, b in W.slices(data, offsets, SLICE_BYTES):
+                found, hashes = _tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                sent = list(_sent(found, hashes, trains[a:b], codes.value, buckets, True))
+                doc_id = batch.column(0)[a:b]
+                about = _packed(np.asarray(doc_id.fill_null(0)), np.asarray(doc_id.is_null()).astype(np.uint8),
+                                trains[a:b].astype(np.uint8), (found.counts + 1).astype(np.int64))
+                keys = [k for k, _ in sent] + [int(ids[a]) % buckets]
+                size = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(rows, rows[rest_doc])),
-                     pa.array(np.append(W.mix(rows.view(np.uint64)).view(np.int64), rest)), summary.take(where)],
-                    names=["row", "hash", "summary"])
-
-    parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out",
-                             F.monotonically_increasing_id().alias("row")).mapInArrow(
-        task, "row long, hash long, summary struct<doc_id long, held_out boolean, n_tokens long, n_known long, "
-              "base double, score double, open double>")
-    # a row with a summary stands for a document, any other for one token to look up
-    joined = parts.join(known.select(F.col("hash").alias("h"), "n", "p", "open"),
-                        (F.col("hash") == F.col("h")) & F.col("summary").isNull(), "left")
-    base = F.log10((F.col("n") + 0.1) / F.lit(n + 0.1 * (v + 1)))
-    return joined.groupBy("row").agg(
-        F.max("summary").alias("s"), F.count_if(F.col("n") > 0).alias("known"),
-        F.coalesce(F.sum(base), F.lit(0.0)).alias("more_base"),
-        F.coalesce(F.sum(F.log10("p")), F.lit(0.0)).alias("more_score"),
-        F.coalesce(F.sum(F.log10("open")), F.lit(0.0)).alias("more_open")).select(
-        "s.doc_id", "s.held_out", "s.n_tokens", (F.col("s.n_known") + F.col("known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("s.base") + F.col("more_base")).alias("base_score"),
-        (F.col("s.score") + F.col("more_score")).alias("score"),
-        (F.col("s.open") + F.col("more_open")).alias("open_score"))
+                    [pa.array(keys, pa.int64()), pa.array([_TEXTS] * len(sent) + [_DOCUMENTS], pa.int64()),
+                     pa.array(np.full(size, ids[a])), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
+                     pa.nulls(size, pa.list_(pa.float64())), pa.array([*(x for _, x in sent), about], pa.binary())],
+                    names=["bucket", "kind", "slice", "u", "w", "v", "packed"])
+
+    schema = "bucket long, kind long, slice long, u long, w long, v array<double>, packed binary"
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out",
+                             F.monotonically_increasing_id().alias("row")).mapInArrow(send, schema)
+    none = [F.lit(None).cast("long").alias("slice")]
+    tables = model.pairs.select("bucket", F.lit(_TABLES).cast("long").alias("kind"), *none, "u", "w",
+                                F.col("kept").cast("array<double>").alias("v"), F.lit(None).cast("binary").alias("packed"))
+    values = model.counts.where((F.col("kind") == _TOKEN) & (F.col("w") < 0)).select("bucket", "w").join(
+        model.tokens.where("code < 0").select(F.col("code").alias("w"), F.col("n").alias("u"), F.col("ps").alias("v")), "w").select(
+        "bucket", F.lit(_VALUES).cast("long").alias("kind"), *none, "u", "w", "v", F.lit(None).cast("binary").alias("packed"))
+
+    def base_of(counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(W.frugal(batches)):
+            found = list(_bucket_sums(rows, common.value, codes.value, unseen, discount, base_of))
+            about = rows.filter(pa.compute.equal(rows.column("kind"), _DOCUMENTS))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*(k for k, _ in found), *about.column("slice").to_pylist()], pa.int64()),
+                 pa.array([0] * len(found) + [1] * len(about), pa.int64()),
+                 pa.array([*(x for _, x in found), *about.column("packed").to_pylist()], pa.binary())],
+                names=["slice", "kind", "packed"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(W.frugal(batches)):
+            about = rows.filter(pa.compute.equal(rows.column(1), 1)).column(2)[0].as_py()
+            doc_id, null, trains, tokens = _unpacked(about, np.int64, np.uint8, np.uint8, np.int64)
+            totals, known = np.zeros((3, len(doc_id))), np.zeros(len(doc_id), np.int64)
+            for packed in rows.filter(pa.compute.equal(rows.column(1), 0)).column(2):
+                docs, *parts, k = _unpacked(packed.as_py(), np.int32, np.float64, np.float64, np.float64, np.int32)
+                docs = np.cumsum(docs)
+                for total, x in zip(totals, parts):
+                    total[docs] += x
+                known[docs] += k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_id, mask=null > 0), pa.array(trains == 0), pa.array(tokens), pa.array(known),
+                 pa.array(np.full(len(doc_id), n, np.int64)), pa.array(totals[0]), pa.array(totals[1]),
+                 pa.array(totals[1] + totals[2])],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score"])
+
+    summed = texts.unionAll(tables).unionAll(values).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        sums, "slice long, kind long, packed binary")
+    return summed.repartition("slice").sortWithinPartitions("slice").mapInArrow(
+        gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+                "score double, open_score double")
 
 
 def score_corpus(documents: DataFrame, modulo: int = HELD_OUT_MODULO) -> DataFrame:
