@@ -42,17 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.llm import pitman_yor as P, words as W
-from textdrift.llm.skew import attach
-from textdrift.llm.tables import remainder, written
+from textdrift.llm.tables import forget, remainder, written
 
 HELD_OUT_MODULO = 10
 BURN, SAMPLES = 1, 3
-COMMON = 1 << 17
+COMMON = 1 << 18
 SLICE_BYTES = 16 << 20
 BUCKET_TOKENS = 1 << 20
 _END_HASH = 0x7E57E4D0C0FFEE11
 _PAIR, _CONTEXT, _TOKEN = 0, 1, 2
 _TABLES, _VALUES, _TEXTS, _DOCUMENTS = 0, 1, 2, 3
+_ROWS = "bucket long, kind long, slice long, packed binary"
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray]:
@@ -184,6 +184,33 @@ def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return us[new], ws[new], inverse
 
 
+def _packed_rows(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows (bucket, u, w, v: SAMPLES numbers) as packed columns for each bucket of a batch."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, u, w = (np.asarray(batch.column(c)) for c in range(3))
+            v = np.asarray(batch.column(3).flatten()).astype(np.float32).reshape(-1, SAMPLES)
+            order = np.lexsort((w, u, bucket))
+            bucket, u, w, v = bucket[order], u[order], w[order], v[order]
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            packed = [_packed(_deltas(u[a:b]), w[a:b], v[a:b].reshape(-1)) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[edges[:-1]]), pa.array(np.full(len(packed), kind)), pa.nulls(len(packed), pa.int64()),
+                 pa.array(packed, pa.binary())], names=["bucket", "kind", "slice", "packed"])
+
+    return rows.select("bucket", "u", "w", "v").mapInArrow(task, _ROWS)
+
+
+def _rows_of(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns u, w and v of such rows."""
+    parts = [_unpacked(p, np.int64, np.int64, np.float32) for p in packed.to_pylist()]
+    none = [np.zeros(0, np.int64)]
+    return (np.concatenate([np.cumsum(p[0]) for p in parts] or none), np.concatenate([p[1] for p in parts] or none),
+            np.concatenate([p[2] for p in parts] or none).reshape(-1, SAMPLES).astype(float))
+
+
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """(key, rows) of the runs of equal values in the first column."""
     key, parts = None, []
@@ -303,8 +330,8 @@ def _sweep(tokens: DataFrame, codes, shared, sweep: int) -> tuple[np.ndarray, np
 
 
 def _with_probability(parent: DataFrame, codes, before, now, sweep: int) -> DataFrame:
-    """code, token, n, customers, ps of ``parent`` with p, the predictive probability in the sample
-    ``now``, in which the tables follow from the sample ``before``."""
+    """``parent`` (code, token, customers, n, alone, ps) with p, the predictive probability in the
+    sample ``now``, in which the tables follow from the sample ``before``."""
     columns = [*parent.columns, "p"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +348,15 @@ def _with_probability(parent: DataFrame, codes, before, now, sweep: int) -> Data
                                / (P.STRENGTH + sample.customers), 1e-300)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=columns)
 
-    return parent.mapInArrow(task, "code long, token binary, customers long, n long, ps array<double>, p double")
+    return parent.mapInArrow(task, "code long, token binary, customers long, n long, alone long, ps array<float>, p double")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, code: str) -> DataFrame:
+    """``rows`` joined with ``table`` on a code: the rows of the COMMON tokens are broadcast, and only
+    rows with any other token, none of which is frequent, are shuffled."""
+    common = F.col(code) >= 0
+    return rows.where(common).join(F.broadcast(table.where(common)), code).unionByName(
+        rows.where(~common).join(table.where(~common), code))
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -334,8 +369,7 @@ def _reseated(pairs: DataFrame, contexts: DataFrame, probabilities: DataFrame, c
               sweep: int) -> DataFrame:
     """``pairs`` (bucket, u, w, n, tables, kept) with the tables of this sweep, given those ``opened``
     in each context and each token's probability."""
-    rows = attach(pairs.drop("tables"), contexts, ["u"], F.col("u") >= 0)
-    rows = attach(rows, probabilities, ["w"], F.col("w") >= 0)
+    rows = _looked_up(_looked_up(pairs.drop("tables"), contexts, "u"), probabilities, "w")
     keep = sweep > BURN
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,6 +413,7 @@ class Model:
         self.counts = written(restaurants(documents, self.codes, self.buckets), "word-pairs")
         _released(spark)
         self._sample(self._coded(tokens))
+        forget(tokens)
         common = self.contexts().where("u >= 0").toPandas()
         opened = np.zeros((len(codes), SAMPLES))
         if len(common):
@@ -410,16 +445,22 @@ class Model:
         self.discount = float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.9))
         self.pairs = counts.where(F.col("kind") == _PAIR).select(
             "bucket", "u", "w", "n", F.lit(1).cast("long").alias("tables"), F.expr("cast(array() AS array<long>)").alias("kept"))
-        state = tokens.withColumn("ps", F.expr("cast(array() AS array<double>)"))
-        spelling = before = now = probabilities = parent_discount = None
+        alone = counts.where(F.col("kind") == _TOKEN).groupBy(F.col("w").alias("code")).agg(F.sum("n").alias("alone"))
+        state = tokens.join(alone, "code", "left").select(
+            "code", "token", "n", F.coalesce("alone", F.lit(0)).alias("alone"), F.expr("cast(array() AS array<float>)").alias("ps"))
+        spelling = before = now = probabilities = parent_discount = current = None
         for sweep in range(BURN + SAMPLES + 1):
             if sweep:
-                self.pairs = written(_reseated(self.pairs, self._opened(), probabilities, self.codes, self.discount,
-                                               sweep), "word-tables")
-            sent = counts.where(F.col("kind") == _TOKEN).select("w", "n").unionAll(self.pairs.select("w", "tables"))
-            customers = sent.groupBy(F.col("w").alias("code")).agg(F.sum("n").alias("customers"))
-            parent = written(state.join(customers, "code", "left").select(
-                "code", "token", F.coalesce("customers", F.lit(0)).alias("customers"), "n", "ps"), "customers")
+                last, self.pairs = self.pairs, written(_reseated(
+                    self.pairs, self._opened(), probabilities, self.codes, self.discount, sweep), "word-tables")
+                if sweep > 1:
+                    forget(last)
+            sent = self.pairs.groupBy(F.col("w").alias("code")).agg(F.sum("tables").alias("sent"))
+            parent = written(state.join(sent, "code", "left").select(
+                "code", "token", (F.col("alone") + F.coalesce("sent", F.lit(0))).alias("customers"), "n", "alone", "ps"),
+                "customers")
+            if current is not None:
+                forget(current)
             seated = parent.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.count_if(F.col("customers") == 1),
                                 F.count_if(F.col("customers") == 2)).first()
             if parent_discount is None:
@@ -427,12 +468,15 @@ class Model:
             cells, tables_of, tables = _sweep(parent.select("code", "token", "customers"), self.codes, now, sweep)
             spelling = P.Spelling(cells, tables_of, spelling, sweep)
             before, now = now, spark.sparkContext.broadcast(Sample(spelling, tables, float(seated[0]), parent_discount))
-            current = _with_probability(parent, self.codes, before, now, sweep)
-            probabilities = current.select(F.col("code").alias("w"), "p")
-            kept = F.concat("ps", F.array("p")) if sweep > BURN else F.col("ps")
-            state = current.select("code", "token", "n", kept.alias("ps"))
+            kept = F.concat("ps", F.array(F.col("p").cast("float"))) if sweep > BURN else F.col("ps")
+            current = _with_probability(parent, self.codes, before, now, sweep).withColumn("ps", kept)
+            if sweep < BURN + SAMPLES:
+                current = written(current.drop("customers"), "tokens")
+            else:
+                self.tokens = written(current.select("code", "n", "ps"), "probabilities")
+            forget(parent)
+            probabilities, state = current.select(F.col("code").alias("w"), "p"), current.drop("p")
             _released(spark)
-        self.tokens = written(state.select("code", "n", "ps"), "probabilities")
 
     def _opened(self) -> DataFrame:
         """u and the tables ``opened`` there now, for contexts with a pair that occurs twice."""
@@ -447,10 +491,6 @@ class Model:
         return sums.select("u", F.array(*[f"s{i}" for i in range(SAMPLES)]).alias("opened"))
 
 
-def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.asarray(c.flatten()) for c in column.chunks] or [np.zeros(0)]).astype(kind).reshape(-1, SAMPLES)
-
-
 def _place(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(sorted_keys, keys), max(len(sorted_keys) - 1, 0))
 
@@ -470,22 +510,20 @@ def _bucket_sums(rows: pa.Table, model_common, codes: Codes, unseen: np.ndarray,
     n = np.bincount(inverse, np.concatenate([h[2] for h in heads]), len(u))
     # tables of the pairs in each sample: none, one, or as delivered
     tables = np.repeat((n > 0).astype(float)[:, None], SAMPLES, 1)
-    tu, tw = (np.asarray(part[_TABLES].column(c)) for c in ("u", "w"))
+    tu, tw, delivered = _rows_of(part[_TABLES].column("packed"))
     if len(tu):
         # pairs of the two lists that are equal fall on the same place among all distinct ones
         places = _distinct(np.concatenate([u, tu]), np.concatenate([w, tw]))[2]
-        tables[np.searchsorted(places[:len(u)], places[len(u):])] = _matrix(part[_TABLES].column("v"), float)
+        tables[np.searchsorted(places[:len(u)], places[len(u):])] = delivered
     contexts, at = np.unique(u, return_inverse=True)
     opened = np.stack([np.bincount(at, tables[:, i], len(contexts)) for i in range(SAMPLES)], 1)
     served = np.bincount(at, n, len(contexts))
     common = contexts >= 0
     opened[common], served[common] = opened_common[contexts[common]], codes.counts[contexts[common]]
     opened, served = opened[at], served[at]
-    values = part[_VALUES]
-    rare = np.asarray(values.column("w"))
+    rare_n, rare, rare_p = _rows_of(part[_VALUES].column("packed"))
     order = np.argsort(rare)
-    rare, rare_n = rare[order], np.asarray(values.column("u"))[order]
-    rare_p = _matrix(values.column("v"), float)[order]
+    rare, rare_n, rare_p = rare[order], rare_n[order], rare_p[order]
     p, token_n = np.empty((len(u), SAMPLES)), np.empty(len(u), np.int64)
     common = w >= 0
     p[common], token_n[common] = p_common[w[common]], codes.counts[w[common]]
@@ -526,19 +564,15 @@ def score(documents: DataFrame) -> DataFrame:
                 size = len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array([_TEXTS] * len(sent) + [_DOCUMENTS], pa.int64()),
-                     pa.array(np.full(size, ids[a])), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
-                     pa.nulls(size, pa.list_(pa.float64())), pa.array([*(x for _, x in sent), about], pa.binary())],
-                    names=["bucket", "kind", "slice", "u", "w", "v", "packed"])
+                     pa.array(np.full(size, ids[a])), pa.array([*(x for _, x in sent), about], pa.binary())],
+                    names=["bucket", "kind", "slice", "packed"])
 
-    schema = "bucket long, kind long, slice long, u long, w long, v array<double>, packed binary"
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out",
-                             F.monotonically_increasing_id().alias("row")).mapInArrow(send, schema)
-    none = [F.lit(None).cast("long").alias("slice")]
-    tables = model.pairs.select("bucket", F.lit(_TABLES).cast("long").alias("kind"), *none, "u", "w",
-                                F.col("kept").cast("array<double>").alias("v"), F.lit(None).cast("binary").alias("packed"))
-    values = model.counts.where((F.col("kind") == _TOKEN) & (F.col("w") < 0)).select("bucket", "w").join(
-        model.tokens.where("code < 0").select(F.col("code").alias("w"), F.col("n").alias("u"), F.col("ps").alias("v")), "w").select(
-        "bucket", F.lit(_VALUES).cast("long").alias("kind"), *none, "u", "w", "v", F.lit(None).cast("binary").alias("packed"))
+                             F.monotonically_increasing_id().alias("row")).mapInArrow(send, _ROWS)
+    tables = _packed_rows(model.pairs.select("bucket", "u", "w", F.col("kept").alias("v")), _TABLES)
+    places = model.counts.where((F.col("kind") == _TOKEN) & (F.col("w") < 0)).select("bucket", "w")
+    rare = model.tokens.where("code < 0").select(F.col("code").alias("w"), F.col("n").alias("u"), F.col("ps").alias("v"))
+    values = _packed_rows(places.join(rare, "w"), _VALUES)
 
     def base_of(counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
