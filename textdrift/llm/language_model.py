@@ -46,7 +46,7 @@ from textdrift.llm.tables import forget, remainder, written
 
 HELD_OUT_MODULO = 10
 BURN, SAMPLES = 1, 3
-COMMON = 1 << 18
+COMMON = 1 << 17
 SLICE_BYTES = 16 << 20
 BUCKET_TOKENS = 1 << 20
 _END_HASH = 0x7E57E4D0C0FFEE11
@@ -391,8 +391,11 @@ def _reseated(pairs: DataFrame, contexts: DataFrame, probabilities: DataFrame, c
 
 def _released(spark) -> None:
     """Lets Spark remove the shuffle files of jobs whose results are written: its cleaner acts when
-    the driver's garbage collector has found that nothing refers to them."""
+    the driver's garbage collector has found that nothing refers to them. The driver's own freed
+    memory goes back to the system, too."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    W.trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -414,14 +417,12 @@ class Model:
         _released(spark)
         self._sample(self._coded(tokens))
         forget(tokens)
-        common = self.contexts().where("u >= 0").toPandas()
-        opened = np.zeros((len(codes), SAMPLES))
-        if len(common):
-            opened[common["u"].to_numpy()] = np.array(common["opened"].tolist(), float)
-        common = self.tokens.where("code >= 0").select("code", "ps").toPandas()
-        p = np.zeros((len(codes), SAMPLES))
-        if len(common):
-            p[common["code"].to_numpy()] = np.array(common["ps"].tolist(), float)
+        opened, p = np.zeros((len(codes), SAMPLES)), np.zeros((len(codes), SAMPLES))
+        for values, rows in ((opened, self.contexts().where("u >= 0")), (p, self.tokens.where("code >= 0").select("code", "ps"))):
+            found = rows.toArrow()
+            if len(found):
+                lists = [np.asarray(c.flatten()) for c in found.column(1).chunks]
+                values[found.column(0).to_numpy()] = np.concatenate(lists).reshape(-1, SAMPLES)
         seen = self.tokens.where("n > 0").agg(*[F.sum(F.col("ps")[i]) for i in range(SAMPLES)]).first()
         self.unseen = np.maximum(1 - np.array([x or 0.0 for x in seen]), 1e-12)
         self.common = spark.sparkContext.broadcast((opened, p))
@@ -474,6 +475,7 @@ class Model:
                 current = written(current.drop("customers"), "tokens")
             else:
                 self.tokens = written(current.select("code", "n", "ps"), "probabilities")
+            spelling.logs = None
             forget(parent)
             probabilities, state = current.select(F.col("code").alias("w"), "p"), current.drop("p")
             _released(spark)

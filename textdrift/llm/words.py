@@ -54,9 +54,14 @@ def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch
         pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 SPACED, ALNUM, LOWER = spaced_class(), alnum_class(), lower_table()
