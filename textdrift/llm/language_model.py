@@ -47,7 +47,7 @@ from textdrift.llm.tables import forget, remainder, written
 HELD_OUT_MODULO = 10
 BURN, SAMPLES = 1, 3
 COMMON = 1 << 17
-SLICE_BYTES = 16 << 20
+SLICE_BYTES, PAIR_SLICE_BYTES = 16 << 20, 4 << 20
 BUCKET_TOKENS = 1 << 20
 _END_HASH = 0x7E57E4D0C0FFEE11
 _PAIR, _CONTEXT, _TOKEN = 0, 1, 2
@@ -237,7 +237,7 @@ def restaurants(documents: DataFrame, codes, buckets: int) -> DataFrame:
         for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(0))
             trains = ~np.asarray(batch.column(1))
-            for a, b in W.slices(data, offsets, SLICE_BYTES):
+            for a, b in W.slices(data, offsets, PAIR_SLICE_BYTES):
                 sent = list(_sent(*_tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]), trains[a:b],
                                   codes.value, buckets, False))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sent], pa.int64()),
@@ -418,7 +418,8 @@ class Model:
         self._sample(self._coded(tokens))
         forget(tokens)
         opened, p = np.zeros((len(codes), SAMPLES)), np.zeros((len(codes), SAMPLES))
-        for values, rows in ((opened, self.contexts().where("u >= 0")), (p, self.tokens.where("code >= 0").select("code", "ps"))):
+        for values, rows in ((opened, self.contexts().where("u >= 0")),
+                             (p, self.tokens.where("code >= 0").select("code", "ps"))):
             found = rows.toArrow()
             if len(found):
                 lists = [np.asarray(c.flatten()) for c in found.column(1).chunks]
@@ -556,7 +557,7 @@ def score(documents: DataFrame) -> DataFrame:
         for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(1))
             trains, ids = ~np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            for a, b in W.slices(data, offsets, SLICE_BYTES):
+            for a, b in W.slices(data, offsets, PAIR_SLICE_BYTES):
                 found, hashes = _tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 sent = list(_sent(found, hashes, trains[a:b], codes.value, buckets, True))
                 doc_id = batch.column(0)[a:b]
