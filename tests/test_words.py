@@ -60,3 +60,16 @@ def test_tree_depths_of_any_heads_and_a_cycle():
     assert total.tolist() == [10, 0, 0] and deepest.tolist() == [4, 0, 0]
     with pytest.raises(ValueError):
         wd.tree_depths(np.array([1, 3, 2]), np.array([3]))
+
+
+def test_gazetteer_spans_are_looked_up_without_span_rows(spark, capsys):
+    from textdrift.operators.gazetteer import gazetteer_mentions
+    texts = spark.createDataFrame([(1, "The old New York Times, in York"), (1, "the Old"), (2, None)], "id int, text string")
+    phrases = spark.createDataFrame([("new york", "PLACE"), ("York", "PLACE"), ("the old", "ORG"), ("new york times", "ORG")],
+                                    "phrase string, label string")
+    found = gazetteer_mentions(texts, phrases, ["id"])
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "new york times", "ORG", 2), (1, "the old", "ORG", 0), (1, "york", "PLACE", 6)]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "ArrowEvalPython" in plan and "posexplode" not in plan

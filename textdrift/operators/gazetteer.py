@@ -4,8 +4,9 @@ A phrase and a text are compared as lower-cased tokens ``[a-z0-9]+``. Every span
 longer than the longest phrase is looked up; a span inside a longer found span of the same text is
 dropped, overlapping ones both stay. A phrase of several classes gives a mention of each.
 
-Spans are looked up in the task that reads the text while the phrases are few enough to be
-broadcast (``BROADCAST_PHRASES``, counted first); only mentions are shuffled then. Beyond that,
+Spans are looked up in the Arrow batch that reads the text while the phrases are few enough to be
+broadcast (``BROADCAST_PHRASES``, counted first); no span becomes a row, and only mentions are
+shuffled then. Beyond that,
 spans meet the phrases in a shuffle, where each phrase is dealt to ``SALTS`` places, so that a
 frequent span is split by its text.
 
@@ -15,6 +16,9 @@ passed over; an empty gazetteer gives no mentions; rows of equal ids count as on
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ from textdrift.functions import text as tx
 
 BROADCAST_PHRASES = 500_000
 SALTS = 16
+_TOKEN = re.compile(tx.ROUGE_TOKEN_RE)
 
 
 def phrase_tokens(text) -> Column:
@@ -45,16 +50,41 @@ def _spans(texts: DataFrame, id_cols, text_col: str, longest: int) -> DataFrame:
     return ahead.select(*id_cols, "_start", F.inline(span))
 
 
+def _hits_in_task(texts: DataFrame, id_cols, text_col: str, table: DataFrame) -> DataFrame:
+    """id_cols, _start, _end and _p of every span that is a phrase of ``table``, which is broadcast."""
+    phrases: dict[str, dict[str, int]] = {}             # first token -> its phrases and their tokens
+    for (p,) in table.select("_p").toLocalIterator():
+        phrases.setdefault(p.split(" ", 1)[0], {})[p] = p.count(" ") + 1
+    known = texts.sparkSession.sparkContext.broadcast(
+        {first: (sorted(set(of.values())), frozenset(of)) for first, of in phrases.items()})
+
+    def look_up(text: pa.Array) -> pa.Array:
+        out, places = [], known.value
+        for t in text.to_pylist():
+            found = [] if t is None else _TOKEN.findall(t.lower())
+            hits = []
+            for i, first in enumerate(found):
+                if first in places:
+                    lengths, names = places[first]
+                    spans = [(i + n, " ".join(found[i:i + n])) for n in lengths if i + n <= len(found)]
+                    hits += [{"_start": i, "_end": end, "_p": p} for end, p in spans if p in names]
+            out.append(hits)
+        return pa.array(out, pa.list_(pa.struct([("_start", pa.int32()), ("_end", pa.int32()), ("_p", pa.string())])))
+    look_up.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    hits = F.arrow_udf(look_up, "array<struct<_start: int, _end: int, _p: string>>")
+    return texts.select(*id_cols, hits(F.col(text_col)).alias("_hits")).select(*id_cols, F.inline("_hits"))
+
+
 def gazetteer_mentions(texts: DataFrame, phrases: DataFrame, id_cols, text_col: str = "text") -> DataFrame:
     """(``id_cols``, mention, label, start): the mentions of ``phrases`` (phrase, label) in each text;
     ``start`` is the place of its first token, from 0. Any ``mentions=`` argument takes this table."""
     id_cols = list(id_cols)
     table = _phrase_table(phrases)
     size, longest = table.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("_p", " "))), F.lit(1))).first()
-    spans = _spans(texts, id_cols, text_col, longest)
     if size <= BROADCAST_PHRASES:
-        hits = spans.join(F.broadcast(table), "_p")
+        hits = _hits_in_task(texts, id_cols, text_col, table).join(F.broadcast(table), "_p")
     else:
+        spans = _spans(texts, id_cols, text_col, longest)
         salt = F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).cast("int")
         dealt = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = spans.withColumn("_salt", salt).join(dealt, ["_p", "_salt"])
