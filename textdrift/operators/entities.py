@@ -1,9 +1,9 @@
 """Entities: sets per text, retention of T0's entities in later versions, summaries.
 
 Mentions come from patterns (URLs, e-mail addresses, numbers, runs of capitalised words); any
-tagger's mention table can take their place (``mentions=``). Sets are computed once per row of
-the LONG version table, where each original appears once, and are then carried into chains by
-the same one-aggregate plan as the texts (R1), not re-extracted per chain.
+tagger's mention table can take their place (``mentions=``); its sets are gathered for each row of the
+LONG version table and carried into chains by the same plan as the texts (R1). Those of the patterns are
+found in the texts of the chains, once for an original that consecutive chains share.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textdrift.constants import INTENSITY_VARIANTS, LATER_STAGES, STAGES
 from textdrift.functions import text as tx
+from textdrift.functions import words as wd
 from textdrift.operators.reshape import CHAIN_KEYS, build_chains
 
 # ---------------------------------------------------------------------------------------------
@@ -34,19 +35,20 @@ def mention_label(m: Column) -> Column:
             .otherwise("NAME"))
 
 
+def _cut(text, max_chars: int | None) -> Column:
+    t = F.col(text) if isinstance(text, str) else text
+    return t if max_chars is None else F.substring(t, 1, int(max_chars))
+
+
 def entity_set(text, max_chars: int | None = None) -> Column:
-    """Distinct lower-cased, trimmed mentions of a text; blank or NULL text -> empty set."""
-    t = tx.guard_text(text, max_chars)
-    found = tx.tokens(t, MENTION_RE)
-    return F.array_distinct(F.transform(found, lambda m: F.lower(F.trim(m))))
+    """Distinct lower-cased mentions of a text (MENTION_RE, found in Arrow batches; none begins or ends
+    with a space); blank or NULL text -> empty set."""
+    return wd.mentions(_cut(text, max_chars))
 
 
 def entity_set_typed(text, max_chars: int | None = None) -> Column:
     """Distinct (text, label) structs."""
-    t = tx.guard_text(text, max_chars)
-    found = tx.tokens(t, MENTION_RE)
-    return F.array_distinct(F.transform(
-        found, lambda m: F.struct(F.lower(F.trim(m)).alias("text"), mention_label(m).alias("label"))))
+    return wd.typed_mentions(_cut(text, max_chars))
 
 
 def entity_sets(versions: DataFrame, text_col: str = "text", out: str = "ents",
@@ -100,10 +102,16 @@ def retention(ref: Column, hyp: Column) -> Column:
 def entities_for_chains(versions: DataFrame, max_chars: int | None = None,
                         mentions: DataFrame | None = None) -> DataFrame:
     """Chains with ``ner_T0..ner_T3`` (missing stage -> empty set, like an empty text)."""
-    ch = build_chains(entity_sets(versions, max_chars=max_chars, mentions=mentions), values=["ents"])
-    empty = F.array().cast("array<string>")
+    if mentions is None:
+        # a set depends on its text alone: found after R1, so that no set is sorted with the texts and the
+        # partitioning by document holds for R1; the chains of a document lie together and share T0's set
+        ch = build_chains(versions)
+        sets = [entity_set(s, max_chars) for s in STAGES]
+    else:
+        ch = build_chains(entity_sets(versions, mentions=mentions), values=["ents"])
+        sets = [F.coalesce(F.col(f"ents_{s}"), F.array().cast("array<string>")) for s in STAGES]
     return ch.select(*CHAIN_KEYS, "family", "T0", "T1", "T2", "T3",
-                     *[F.coalesce(F.col(f"ents_{s}"), empty).alias(f"ner_{s}") for s in STAGES])
+                     *[e.alias(f"ner_{s}") for s, e in zip(STAGES, sets)])
 
 
 def retention_long(ner_chains: DataFrame) -> DataFrame:
