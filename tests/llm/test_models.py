@@ -260,3 +260,21 @@ def test_seating_has_the_restaurant_distribution(discount, weight, n):
                               rng.integers(0, 1 << 62, 4000).astype(np.uint64), 9)
     assert abs(got.mean() - np.mean(exact)) < 5 * np.std(exact) / 20 + 0.02 * np.mean(exact)
     assert 0.8 < got.std() / np.std(exact) < 1.25
+
+
+def test_a_sweep_moves_a_row_for_each_bucket_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "COMMON", 4)
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 200)
+    monkeypatch.setattr(language_model, "CODE_RANGE", 3)
+    docs = documents(spark, [(i, " ".join(np.random.default_rng(i).choice(list("abcdefgh"), 40))) for i in range(40)])
+    model = language_model.Model(docs.selectExpr("text", "false AS held_out"))
+    pairs = model.pairs.collect()
+    rows = model.rows.where(f"kind = {language_model._PAIR}").count()
+    assert rows <= model.buckets < len(pairs)
+    # what is added up by ranges of codes is what the pairs have
+    opened = np.zeros((4, language_model.SAMPLES))
+    for r in pairs:
+        if r.u >= 0:
+            opened[r.u] += r.kept
+    once = language_model._common_sums(model.counts, 4)[language_model._SINGLES]
+    assert (np.column_stack(model.opened) == opened + once[:, None]).all()

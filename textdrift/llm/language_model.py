@@ -16,6 +16,9 @@ buckets of about ``BUCKET_TOKENS`` tokens, by context, or by the pair where the
 ``COMMON`` most frequent tokens (a fixed number, whose values are broadcast); so no frequent context
 is a hot key. Slices of texts send their pairs to the buckets as packed columns, once to count
 them and once, with the documents that use them, to score them; a bucket returns sums by document.
+A bucket's pairs stay together, packed into one row. In a sweep it gets the probabilities of its
+uncommon tokens and gives the tables of these; those of common contexts and tokens are added up as
+columns, by ranges of codes.
 The vocabulary and the pairs are distributed tables that grow with the corpus. The driver gets the
 spelling counts (bounded, see ``pitman_yor``) and the values of ``COMMON`` tokens. Only a pair that is
 itself in a large share of all documents makes its bucket larger, by a byte or so for each.
@@ -47,12 +50,15 @@ from textdrift.llm.tables import forget, remainder, written
 HELD_OUT_MODULO = 10
 BURN, SAMPLES = 1, 3
 COMMON = 1 << 17
-SLICE_BYTES, PAIR_SLICE_BYTES = 16 << 20, 4 << 20
+SLICE_BYTES, PAIR_SLICE_BYTES = 8 << 20, 4 << 20
 BUCKET_TOKENS = 1 << 20
 _END_HASH = 0x7E57E4D0C0FFEE11
-_PAIR, _CONTEXT, _TOKEN = 0, 1, 2
+CODE_RANGE = 1 << 13
+_PAIR, _TOKEN, _COMMON = 0, 1, 2
+_SINGLES, _ALONE, _OPENED, _SENT = 0, 1, 2, 3
 _TABLES, _VALUES, _TEXTS, _DOCUMENTS = 0, 1, 2, 3
 _ROWS = "bucket long, kind long, slice long, packed binary"
+_COUNTS = "kind long, bucket long, w long, n long, sent long, packed binary"
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray]:
@@ -132,6 +138,7 @@ def _deltas(ascending: np.ndarray) -> np.ndarray:
 
 
 _TEXT_TYPES = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
+_PAIR_TYPES = (np.int64,) * 6
 
 
 def _sent(found: W.Words, hashes: np.ndarray, trains: np.ndarray, codes: Codes, buckets: int,
@@ -184,14 +191,14 @@ def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return us[new], ws[new], inverse
 
 
-def _packed_rows(rows: DataFrame, kind: int) -> DataFrame:
-    """Rows (bucket, u, w, v: SAMPLES numbers) as packed columns for each bucket of a batch."""
+def _packed_rows(rows: DataFrame, kind: int, number: type) -> DataFrame:
+    """Rows (bucket, u, w, v: a list of numbers) as packed columns for each bucket of a batch."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             bucket, u, w = (np.asarray(batch.column(c)) for c in range(3))
-            v = np.asarray(batch.column(3).flatten()).astype(np.float32).reshape(-1, SAMPLES)
+            v = np.asarray(batch.column(3).flatten()).astype(number).reshape(len(w), -1)
             order = np.lexsort((w, u, bucket))
             bucket, u, w, v = bucket[order], u[order], w[order], v[order]
             edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
@@ -203,12 +210,28 @@ def _packed_rows(rows: DataFrame, kind: int) -> DataFrame:
     return rows.select("bucket", "u", "w", "v").mapInArrow(task, _ROWS)
 
 
-def _rows_of(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows_of(packed: pa.ChunkedArray, number: type, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The columns u, w and v of such rows."""
-    parts = [_unpacked(p, np.int64, np.int64, np.float32) for p in packed.to_pylist()]
+    parts = [_unpacked(p, np.int64, np.int64, number) for p in packed.to_pylist()]
     none = [np.zeros(0, np.int64)]
     return (np.concatenate([np.cumsum(p[0]) for p in parts] or none), np.concatenate([p[1] for p in parts] or none),
-            np.concatenate([p[2] for p in parts] or none).reshape(-1, SAMPLES).astype(float))
+            np.concatenate([p[2] for p in parts] or none).reshape(-1, width).astype(float))
+
+
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    if not len(ascending):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1]))
+
+
+def _kept(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, tokens, training counts, tables in each kept sample) of packed pairs."""
+    parts = [_unpacked(p, *_PAIR_TYPES) for p in packed.to_pylist()]
+    none = [np.zeros(0, np.int64)]
+    return (np.concatenate([np.cumsum(p[0]) for p in parts] or none), np.concatenate([p[1] for p in parts] or none),
+            np.concatenate([p[2] for p in parts] or none),
+            np.concatenate([p[5].reshape(SAMPLES, len(p[1])).T for p in parts] or [np.zeros((0, SAMPLES), np.int64)]))
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -228,11 +251,48 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield key, pa.Table.from_batches(parts)
 
 
+def _counts(kind: int, bucket, w, n, sent, packed=None) -> pa.RecordBatch:
+    size = len(w)
+    columns = [np.broadcast_to(np.asarray(c, np.int64), size) for c in (kind, bucket, w, n, sent)]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c) for c in columns), pa.nulls(size, pa.binary()) if packed is None else pa.array(packed, pa.binary())],
+        names=["kind", "bucket", "w", "n", "sent", "packed"])
+
+
+def _common_rows(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's sums over common codes, a row for each of ``totals`` and range of codes."""
+    for which, total in enumerate(totals):
+        parts = [(i // CODE_RANGE, total[i:i + CODE_RANGE]) for i in range(0, len(total), CODE_RANGE)]
+        parts = [(part, _packed(values)) for part, values in parts if values.any()]
+        yield _counts(_COMMON, [part for part, _ in parts], np.full(len(parts), which), 0, 0, [x for _, x in parts])
+
+
+def _common_sums(rows: DataFrame, size: int) -> np.ndarray:
+    """The sums of all tasks: _SINGLES and _OPENED by common context, _ALONE and _SENT by common token."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        for batch in batches:
+            for key in zip(*(c.to_pylist() for c in batch.columns)):
+                totals[key[:2]] = totals.get(key[:2], 0) + _unpacked(key[2], np.int64)[0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part for part, _ in totals], pa.int64()), pa.array([which for _, which in totals], pa.int64()),
+             pa.array([_packed(x) for x in totals.values()], pa.binary())], names=["bucket", "w", "packed"])
+
+    out = np.zeros((4, size), np.int64)
+    for part, which, packed in rows.where(F.col("kind") == _COMMON).select("bucket", "w", "packed").repartition(
+            "bucket").mapInArrow(add, "bucket long, w long, packed binary").collect():
+        values = _unpacked(bytes(packed), np.int64)[0]
+        out[which, part * CODE_RANGE:part * CODE_RANGE + len(values)] = values
+    return out
+
+
 def restaurants(documents: DataFrame, codes, buckets: int) -> DataFrame:
-    """kind, bucket, u, w, n from the training counts of all pairs of ``documents`` (text, held_out):
-    _PAIR rows are pairs (u, w) that occur n times, n at least 2; _CONTEXT and _TOKEN rows say how
-    many pairs of the bucket occur once with the context u, with the token w. A token that is not
-    common has a row in each bucket where it occurs at all."""
+    """kind, bucket, w, n, sent, packed from the training counts of all pairs of ``documents`` (text,
+    held_out). A _PAIR row has a bucket's pairs that occur twice or more, packed: contexts, tokens,
+    training counts, of each context how many of its pairs occur once, tables (one each), and the
+    tables of kept samples (none yet); n is how many occur exactly twice, sent how many once. A _TOKEN
+    row says of a token that is not common and occurs in the bucket at all how many of its pairs
+    occur once (n) and twice or more (sent). _COMMON rows are sums over common codes."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.frugal(batches):
             data, offsets = W.text_bytes(batch.column(0))
@@ -244,6 +304,7 @@ def restaurants(documents: DataFrame, codes, buckets: int) -> DataFrame:
                                                   pa.array([p for _, p in sent], pa.binary())], names=["bucket", "packed"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((4, len(codes.value)), np.int64)
         for bucket, rows in _by_key(W.frugal(batches)):
             parts = [_unpacked(p, *_TEXT_TYPES)[:3] for p in rows.column(1).to_pylist()]
             u, w, inverse = _distinct(np.concatenate([np.cumsum(p[0]) for p in parts]),
@@ -251,21 +312,23 @@ def restaurants(documents: DataFrame, codes, buckets: int) -> DataFrame:
             n = np.bincount(inverse, np.concatenate([p[2] for p in parts]), len(u)).astype(np.int64)
             many, once = n >= 2, n == 1
             contexts, at = np.unique(u, return_inverse=True)
-            singles, needed = np.bincount(at, once, len(contexts)), np.bincount(at, many, len(contexts)) > 0
-            needed = (singles > 0) & (needed | (contexts >= 0))
+            singles, opened = (np.bincount(at, x, len(contexts)).astype(np.int64) for x in (once, many))
             tokens, at = np.unique(w, return_inverse=True)
-            alone = np.bincount(at, once, len(tokens))
-            shown = (alone > 0) | (tokens < 0)
-            for kind, rows_u, rows_w, rows_n in (
-                    (_PAIR, u[many], w[many], n[many]),
-                    (_CONTEXT, contexts[needed], np.zeros(int(needed.sum()), np.int64), singles[needed]),
-                    (_TOKEN, np.zeros(int(shown.sum()), np.int64), tokens[shown], alone[shown])):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows_u), kind)), pa.array(np.full(len(rows_u), bucket)), pa.array(rows_u),
-                     pa.array(rows_w), pa.array(rows_n.astype(np.int64))], names=["kind", "bucket", "u", "w", "n"])
+            alone, sent = (np.bincount(at, x, len(tokens)).astype(np.int64) for x in (once, many))
+            for keys, which in ((contexts, ((_SINGLES, singles), (_OPENED, opened))),
+                                (tokens, ((_ALONE, alone), (_SENT, sent)))):
+                common = keys >= 0
+                for k, values in which:
+                    totals[k, keys[common]] += values[common]
+            shared_by = singles[np.searchsorted(contexts, u[many][_starts(u[many])])]
+            yield _counts(_PAIR, bucket, np.zeros(1, np.int64), int((n == 2).sum()), int(once.sum()), [_packed(
+                _deltas(u[many]), w[many], n[many], shared_by, np.ones(int(many.sum()), np.int64), np.zeros(0, np.int64))])
+            rare = tokens < 0
+            yield _counts(_TOKEN, bucket, tokens[rare], alone[rare], sent[rare])
+        yield from _common_rows(totals)
 
     return documents.mapInArrow(send, "bucket long, packed binary").repartition("bucket").sortWithinPartitions(
-        "bucket").mapInArrow(count, "kind long, bucket long, u long, w long, n long")
+        "bucket").mapInArrow(count, _COUNTS)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -351,42 +414,57 @@ def _with_probability(parent: DataFrame, codes, before, now, sweep: int) -> Data
     return parent.mapInArrow(task, "code long, token binary, customers long, n long, alone long, ps array<float>, p double")
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, code: str) -> DataFrame:
-    """``rows`` joined with ``table`` on a code: the rows of the COMMON tokens are broadcast, and only
-    rows with any other token, none of which is frequent, are shuffled."""
-    common = F.col(code) >= 0
-    return rows.where(common).join(F.broadcast(table.where(common)), code).unionByName(
-        rows.where(~common).join(table.where(~common), code))
-
-
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    """The rows of a matrix as lists."""
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
-
-
-def _reseated(pairs: DataFrame, contexts: DataFrame, probabilities: DataFrame, codes, discount: float,
-              sweep: int) -> DataFrame:
-    """``pairs`` (bucket, u, w, n, tables, kept) with the tables of this sweep, given those ``opened``
-    in each context and each token's probability."""
-    rows = _looked_up(_looked_up(pairs.drop("tables"), contexts, "u"), probabilities, "w")
+def _reseated(rows: DataFrame, probabilities: DataFrame, codes, common, discount: float, sweep: int) -> DataFrame:
+    """``rows`` (as ``restaurants``) with the tables of this sweep, given each token's probability
+    (``probabilities``: w, p) and what is ``common``: (tables opened in each common context,
+    probability of each common token). A _TOKEN row's ``sent`` are the tables of its pairs."""
+    places = rows.where((F.col("kind") == _TOKEN) & (F.col("sent") > 0)).select("bucket", "w")
+    rare = places.join(probabilities.where("w < 0"), "w").select("bucket", F.lit(0).cast("long").alias("u"), "w",
+                                                                 F.array("p").alias("v"))
     keep = sweep > BURN
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, w, n, opened, p = (np.asarray(batch.column(c)) for c in ("u", "w", "n", "opened", "p"))
-            tables = np.zeros(0, np.int64)
-            if len(n):
-                keys = _pair_hashes(codes.value.keys(u), codes.value.keys(w))
-                tables = P.seat_any(n, (P.STRENGTH + discount * opened) * p, discount, keys, sweep).astype(np.int64)
-            kept = batch.column("kept")
-            if keep:
-                kept = _lists(np.column_stack([np.asarray(kept.flatten()).reshape(len(n), -1), tables]) if len(n)
-                              else np.zeros((0, 1), np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "u", "w", "n")), pa.array(tables), kept],
-                                             names=["bucket", "u", "w", "n", "tables", "kept"])
-
-    return rows.mapInArrow(task, "bucket long, u long, w long, n long, tables long, kept array<long>")
+        opened_common, p_common = common.value
+        totals = np.zeros((4, len(codes.value)), np.int64)
+        for bucket, found in _by_key(W.frugal(batches)):
+            kind = np.asarray(found.column("kind"))
+            packed, values = (found.filter(pa.array(kind == k)).column("packed") for k in (_TABLES, _VALUES))
+            deltas, w, n, singles, tables, kept = _unpacked(packed[0].as_py(), *_PAIR_TYPES)
+            u = np.cumsum(deltas)
+            starts = _starts(u)
+            if not len(starts):
+                yield _counts(_PAIR, bucket, np.zeros(1, np.int64), 0, 0, packed.to_pylist())
+                continue
+            contexts, sizes = u[starts], np.diff(np.append(starts, len(u)))
+            at_common, is_common = contexts >= 0, w >= 0
+            opened = np.add.reduceat(tables, starts) + singles
+            opened[at_common] = opened_common[contexts[at_common]]
+            _, tokens, delivered = _rows_of(values, np.float64, 1)
+            order = np.argsort(tokens)
+            p = np.empty(len(w))
+            p[is_common] = p_common[w[is_common]]
+            if not is_common.all():
+                p[~is_common] = delivered[order, 0][_place(tokens[order], w[~is_common])]
+            keys = _pair_hashes(codes.value.keys(u), codes.value.keys(w))
+            weight = (P.STRENGTH + discount * np.repeat(opened, sizes)) * p
+            tables = P.seat_any(n, weight, discount, keys, sweep).astype(np.int64)
+            opened = np.add.reduceat(tables, starts)
+            totals[_OPENED, contexts[at_common]] += opened[at_common]
+            totals[_SENT] += np.bincount(w[is_common], tables[is_common], totals.shape[1]).astype(np.int64)
+            yield _counts(_PAIR, bucket, np.zeros(1, np.int64), 0, 0, [_packed(
+                deltas, w, n, singles, tables, np.append(kept, tables) if keep else kept)])
+            tokens, at = np.unique(w[~is_common], return_inverse=True)
+            yield _counts(_TOKEN, bucket, tokens, 0, np.bincount(at, tables[~is_common], len(tokens)).astype(np.int64))
+        yield from _common_rows(totals)
+
+    return _pair_rows(rows).unionAll(_packed_rows(rare, _VALUES, np.float64)).repartition("bucket").sortWithinPartitions(
+        "bucket").mapInArrow(task, _COUNTS)
+
+
+def _pair_rows(rows: DataFrame) -> DataFrame:
+    """The packed pairs of such ``rows``, as rows for their buckets."""
+    return rows.where(F.col("kind") == _PAIR).select("bucket", F.lit(_TABLES).cast("long").alias("kind"),
+                                                     F.lit(None).cast("long").alias("slice"), "packed")
 
 
 def _released(spark) -> None:
@@ -400,9 +478,9 @@ def _released(spark) -> None:
 
 
 class Model:
-    """What training leaves: ``pairs`` (with the tables of each kept sample), ``tokens`` (code, n and the
-    probabilities of each kept sample) and ``counts`` (as ``restaurants``) as written tables; the
-    codes; the values of common contexts and tokens."""
+    """What training leaves: ``counts`` (as ``restaurants``), ``rows`` (the same after the last sweep, with
+    the tables of each kept sample) and ``tokens`` (code, n and the probabilities of each kept sample)
+    as written tables; the codes; the values of common contexts and tokens."""
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
@@ -417,16 +495,14 @@ class Model:
         _released(spark)
         self._sample(self._coded(tokens))
         forget(tokens)
-        opened, p = np.zeros((len(codes), SAMPLES)), np.zeros((len(codes), SAMPLES))
-        for values, rows in ((opened, self.contexts().where("u >= 0")),
-                             (p, self.tokens.where("code >= 0").select("code", "ps"))):
-            found = rows.toArrow()
-            if len(found):
-                lists = [np.asarray(c.flatten()) for c in found.column(1).chunks]
-                values[found.column(0).to_numpy()] = np.concatenate(lists).reshape(-1, SAMPLES)
+        p = np.zeros((len(codes), SAMPLES))
+        found = self.tokens.where("code >= 0").select("code", "ps").toArrow()
+        if len(found):
+            lists = [np.asarray(c.flatten()) for c in found.column(1).chunks]
+            p[found.column(0).to_numpy()] = np.concatenate(lists).reshape(-1, SAMPLES)
         seen = self.tokens.where("n > 0").agg(*[F.sum(F.col("ps")[i]) for i in range(SAMPLES)]).first()
         self.unseen = np.maximum(1 - np.array([x or 0.0 for x in seen]), 1e-12)
-        self.common = spark.sparkContext.broadcast((opened, p))
+        self.common = spark.sparkContext.broadcast((np.column_stack(self.opened).astype(float), p))
 
     def _coded(self, tokens: DataFrame) -> DataFrame:
         shared = self.codes
@@ -440,24 +516,28 @@ class Model:
 
     def _sample(self, tokens: DataFrame) -> None:
         """Gibbs sweeps over pairs, tokens and spellings."""
-        spark = tokens.sparkSession
-        counts = self.counts
-        once = counts.where(F.col("kind") == _TOKEN).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        twice = counts.where((F.col("kind") == _PAIR) & (F.col("n") == 2)).count()
-        self.discount = float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.9))
-        self.pairs = counts.where(F.col("kind") == _PAIR).select(
-            "bucket", "u", "w", "n", F.lit(1).cast("long").alias("tables"), F.expr("cast(array() AS array<long>)").alias("kept"))
-        alone = counts.where(F.col("kind") == _TOKEN).groupBy(F.col("w").alias("code")).agg(F.sum("n").alias("alone"))
-        state = tokens.join(alone, "code", "left").select(
+        spark, size = tokens.sparkSession, len(self.codes.value)
+        self.rows = counts = self.counts
+        exact, once = counts.where(F.col("kind") == _PAIR).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "sent")]).first()
+        self.discount = float(np.clip(once / max(1, once + 2 * exact), 0.1, 0.9))
+        sums = _common_sums(counts, size)
+        singles, self.opened = sums[_SINGLES], []
+        state = tokens.join(self._by_token("n", sums[_ALONE], "alone"), "code", "left").select(
             "code", "token", "n", F.coalesce("alone", F.lit(0)).alias("alone"), F.expr("cast(array() AS array<float>)").alias("ps"))
         spelling = before = now = probabilities = parent_discount = current = None
         for sweep in range(BURN + SAMPLES + 1):
             if sweep:
-                last, self.pairs = self.pairs, written(_reseated(
-                    self.pairs, self._opened(), probabilities, self.codes, self.discount, sweep), "word-tables")
+                found, p = current.where("code >= 0").select("code", "p").toArrow(), np.zeros(size)
+                p[found.column(0).to_numpy()] = found.column(1).to_numpy()
+                common = spark.sparkContext.broadcast((singles + sums[_OPENED], p))
+                last, self.rows = self.rows, written(_reseated(
+                    self.rows, probabilities, self.codes, common, self.discount, sweep), "word-tables")
                 if sweep > 1:
                     forget(last)
-            sent = self.pairs.groupBy(F.col("w").alias("code")).agg(F.sum("tables").alias("sent"))
+                sums = _common_sums(self.rows, size)
+            if sweep > BURN:
+                self.opened.append(singles + sums[_OPENED])
+            sent = self._by_token("sent", sums[_SENT], "sent")
             parent = written(state.join(sent, "code", "left").select(
                 "code", "token", (F.col("alone") + F.coalesce("sent", F.lit(0))).alias("customers"), "n", "alone", "ps"),
                 "customers")
@@ -481,17 +561,26 @@ class Model:
             probabilities, state = current.select(F.col("code").alias("w"), "p"), current.drop("p")
             _released(spark)
 
-    def _opened(self) -> DataFrame:
-        """u and the tables ``opened`` there now, for contexts with a pair that occurs twice."""
-        once = self.counts.where(F.col("kind") == _CONTEXT).select("u", "n")
-        return once.unionAll(self.pairs.select("u", "tables")).groupBy("u").agg(F.sum("n").alias("opened"))
+    def _by_token(self, column: str, common: np.ndarray, name: str) -> DataFrame:
+        """code and the sum of ``column`` in the _TOKEN rows, or ``common`` of a common token."""
+        spark = self.rows.sparkSession
+        rare = self.rows.where((F.col("kind") == _TOKEN) & (F.col(column) > 0)).groupBy(F.col("w").alias("code")).agg(
+            F.sum(column).alias(name))
+        if not len(common):
+            return rare
+        return rare.unionAll(spark.createDataFrame(pa.table({"code": np.arange(len(common)), name: common})))
+
+    @property
+    def pairs(self) -> DataFrame:
+        """u, w, n and the tables of each kept sample of the pairs that occur twice or more."""
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                u, w, n, kept = _kept(batch.column(0))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * SAMPLES), pa.array(kept.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(n), lists], names=["u", "w", "n", "kept"])
 
-    def contexts(self) -> DataFrame:
-        """u and the tables ``opened`` in each kept sample, for the same contexts and common ones."""
-        once = self.counts.where(F.col("kind") == _CONTEXT).select("u", *[F.col("n").alias(f"s{i}") for i in range(SAMPLES)])
-        kept = self.pairs.select("u", *[F.col("kept")[i].alias(f"s{i}") for i in range(SAMPLES)])
-        sums = once.unionAll(kept).groupBy("u").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(SAMPLES)])
-        return sums.select("u", F.array(*[f"s{i}" for i in range(SAMPLES)]).alias("opened"))
+        return self.rows.where(F.col("kind") == _PAIR).select("packed").mapInArrow(
+            task, "u long, w long, n long, kept array<long>")
 
 
 def _place(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -513,7 +602,7 @@ def _bucket_sums(rows: pa.Table, model_common, codes: Codes, unseen: np.ndarray,
     n = np.bincount(inverse, np.concatenate([h[2] for h in heads]), len(u))
     # tables of the pairs in each sample: none, one, or as delivered
     tables = np.repeat((n > 0).astype(float)[:, None], SAMPLES, 1)
-    tu, tw, delivered = _rows_of(part[_TABLES].column("packed"))
+    tu, tw, _, delivered = _kept(part[_TABLES].column("packed"))
     if len(tu):
         # pairs of the two lists that are equal fall on the same place among all distinct ones
         places = _distinct(np.concatenate([u, tu]), np.concatenate([w, tw]))[2]
@@ -524,7 +613,7 @@ def _bucket_sums(rows: pa.Table, model_common, codes: Codes, unseen: np.ndarray,
     common = contexts >= 0
     opened[common], served[common] = opened_common[contexts[common]], codes.counts[contexts[common]]
     opened, served = opened[at], served[at]
-    rare_n, rare, rare_p = _rows_of(part[_VALUES].column("packed"))
+    rare_n, rare, rare_p = _rows_of(part[_VALUES].column("packed"), np.float32, SAMPLES)
     order = np.argsort(rare)
     rare, rare_n, rare_p = rare[order], rare_n[order], rare_p[order]
     p, token_n = np.empty((len(u), SAMPLES)), np.empty(len(u), np.int64)
@@ -572,10 +661,10 @@ def score(documents: DataFrame) -> DataFrame:
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out",
                              F.monotonically_increasing_id().alias("row")).mapInArrow(send, _ROWS)
-    tables = _packed_rows(model.pairs.select("bucket", "u", "w", F.col("kept").alias("v")), _TABLES)
-    places = model.counts.where((F.col("kind") == _TOKEN) & (F.col("w") < 0)).select("bucket", "w")
+    tables = _pair_rows(model.rows)
+    places = model.counts.where(F.col("kind") == _TOKEN).select("bucket", "w")
     rare = model.tokens.where("code < 0").select(F.col("code").alias("w"), F.col("n").alias("u"), F.col("ps").alias("v"))
-    values = _packed_rows(places.join(rare, "w"), _VALUES)
+    values = _packed_rows(places.join(rare, "w"), _VALUES, np.float32)
 
     def base_of(counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
