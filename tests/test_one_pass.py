@@ -72,7 +72,21 @@ def test_distribution_computes_its_values_once(spark):
     assert (r.q1, r["median"], r.q3, r.n) == (24.75, 49.5, 74.25, 100) and calls.value == 100
 
 
-def test_the_version_fixture_drops_words_in_arrow_batches(spark, sf_small, capsys):
-    fx.versions(spark, sf_small).explain()
+def test_both_ways_of_the_version_fixture_give_the_same_rows(spark, sf_small, capsys):
+    a, b = fx.versions(spark, sf_small), fx.versions(spark, sf_small, in_batches=True)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    a.groupBy("dataset", "key", "source").count().explain()
+    assert "ENSURE_REQUIREMENTS" not in capsys.readouterr().out      # R1 shuffles no text
+    more._features(spark, sf_small, scalars=()).explain()
     plan = capsys.readouterr().out
-    assert "ArrowEvalPython" in plan and "regexp_replace" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+
+
+def test_js_distance_sums_each_vector_once(spark):
+    from textdrift.functions import vectors as vx
+    df = spark.createDataFrame([([0.0, 1.0, 0.25], [0.5, 0.0, 0.5])], "a array<double>, b array<double>")
+    (r,) = df.select(vx.js_distance("a", "b").alias("d"), vx.js_distance("a", "a").alias("same")).collect()
+    p, q = (np.array(x) + 1e-10 for x in ([0.0, 1.0, 0.25], [0.5, 0.0, 0.5]))
+    p, q = p / p.sum(), q / q.sum()
+    m = (p + q) / 2
+    assert abs(r.d - np.sqrt((p * np.log(p / m) + q * np.log(q / m)).sum() / 2)) < 1e-12 and r.same == 0.0
