@@ -35,7 +35,7 @@ def test_style_counts_equal_their_definitions(spark, monkeypatch, slice_chars, k
     parts = ["The", "the", "of", "quickly.", "walked!", "...", "3,5", "½", "İstanbul", "ΣΑΣ.", "o'clock", "_x", "中文", "a\x85b", "?",
              "\n", " ", "  ", "x@y.z", "ÀÉ", "\U0001F600", "٣"]
     texts = [" ".join(rng.choices(parts, k=k)) for k in range(30) for _ in range(3)] + ["", " \t", None]
-    for part in wd._slices([t or "" for t in texts]):
+    for part in wd.slices([t or "" for t in texts]):
         w, owner = words.of(part)
         sl = wd._sentence_counts(words, w, owner, len(part))
         share = wd._distinct_share_counts(words, w, owner, len(part))
@@ -90,3 +90,27 @@ def test_js_distance_sums_each_vector_once(spark):
     p, q = p / p.sum(), q / q.sum()
     m = (p + q) / 2
     assert abs(r.d - np.sqrt((p * np.log(p / m) + q * np.log(q / m)).sum() / 2)) < 1e-12 and r.same == 0.0
+
+
+@pytest.mark.parametrize("slice_chars", [2_000_000, 30])
+def test_gazetteer_in_batches_equals_its_spans(spark, monkeypatch, slice_chars):
+    from textdrift.operators import gazetteer as gz
+    monkeypatch.setattr(wd, "SLICE_CHARS", slice_chars)
+    rng = random.Random(5)
+    words = ["a", "b", "c", "A.b", "c,", "d", "é", "aé", "\n", "B"]
+    rows = [(i % 40, " ".join(rng.choices(words, k=rng.randrange(25)))) for i in range(40)]
+    rows += [(None, "a b c"), (None, None), (50, None), (51, ""), (52, "a b c d"), (52, "x a b c d a")]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    phrases = spark.createDataFrame([("a", "X"), ("a b", "X"), ("A B", "Y"), ("b c d", "X"), ("c", "Z"), ("d a", "Y"), (" ", "X"),
+                                     ("q", None)], "phrase string, label string")
+    got = sorted(map(tuple, gz.gazetteer_mentions(texts, phrases, ["id"]).collect()), key=str)
+    once = gz.gazetteer_mentions(texts, phrases, ["id"], each_once=True).collect()
+    assert "Window" not in gz.gazetteer_mentions(texts, phrases, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(gz, "BROADCAST_PHRASES", 0)
+    assert got == sorted(map(tuple, gz.gazetteer_mentions(texts, phrases, ["id"]).collect()), key=str)
+    first = {}
+    for i, mention, label, start in got:
+        first[i, mention, label] = min(start, first.get((i, mention, label), start))
+    assert {(i, m, x): start for i, m, x, start in once} == first and len(once) == len(first)
+    other = gz.gazetteer_mentions(texts, phrases, ["id"], each_once=True).collect()
+    assert sorted(map(tuple, other), key=str) == sorted(map(tuple, once), key=str)

@@ -242,15 +242,22 @@ def rule_depths(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return upto[sizes], deepest[sizes]
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """A number for each word, in order of first use."""
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
         return number
 
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words between white space of the texts by number, and the text of each."""
+        split = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        return words, np.repeat(np.arange(len(texts)), sizes)
 
-class _Lists:
+
+class Lists:
     """Lists of small numbers, one for each word."""
 
     def __init__(self):
@@ -275,13 +282,13 @@ class _StyleWords:
 
     def __init__(self, lexicon: dict[str, str], suffix_rules):
         self.lexicon, self.suffixes = lexicon, [(t, re.compile(p)) for t, p in suffix_rules]
-        self.tag_names = _Numbers()                         # a handful: the tags of the rules
+        self.tag_names = Numbers()                         # a handful: the tags of the rules
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.letters, self.tag_of, self.chars = _Numbers(), _Numbers(), {}, 0
+        self.numbers, self.letters, self.tag_of, self.chars = Numbers(), Numbers(), {}, 0
         self.spoken, self.ends, self.marks = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
-        self.runs, self.tags = _Lists(), _Lists()           # runs of letters, by number; tags of the tokens
+        self.runs, self.tags = Lists(), Lists()           # runs of letters, by number; tags of the tokens
 
     def _tag(self, token: str) -> int:
         at = self.tag_of.get(token)
@@ -318,18 +325,16 @@ class _StyleWords:
         if len(self.numbers) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
             self._forget()
         before = len(self.numbers)
-        split = [t.split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        words, owner = self.numbers.of(texts)
         if len(self.numbers) > before:
             self._add(list(islice(self.numbers, before, None)))
-        return words, np.repeat(np.arange(len(texts)), sizes)
+        return words, owner
 
 
 _style_words: dict[tuple, _StyleWords] = {}                 # by rules: a worker keeps its words from task to task
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
+def slices(texts: list[str]) -> Iterator[list[str]]:
     part, chars = [], 0
     for t in texts:
         if part and chars + len(t) > SLICE_CHARS:
@@ -389,7 +394,7 @@ def style_counts(text, tags, lexicon: dict[str, str], suffix_rules, sentences: b
         if rules not in _style_words:
             _style_words[rules] = _StyleWords(lexicon, suffix_rules)
         known = _style_words[rules]
-        parts = [counts(part, known) for part in _slices([t or "" for t in text.to_pylist()])]
+        parts = [counts(part, known) for part in slices([t or "" for t in text.to_pylist()])]
         blank, *sl, ttr, mark_share, size, c, far, deepest = [np.concatenate(x) for x in zip(*parts)]
         whole = lambda x: pa.array(x.astype(np.int64))
         rows = pa.array(np.arange(len(text) + 1, dtype=np.int32) * len(place))

@@ -79,8 +79,8 @@ def _gazetteer_sql() -> str:
 
 
 def _gazetteer_mentions(spark, sf):
-    v = fx.versions(spark, sf)
-    return v, gz.gazetteer_mentions(v, fx.gazetteer(spark, sf), VK)
+    v = fx.versions(spark, sf, in_batches=True)
+    return v, gz.gazetteer_mentions(v, fx.gazetteer(spark, sf), VK, each_once=True)
 
 
 @register("e1_gazetteer", _gazetteer_sql() + f"""
