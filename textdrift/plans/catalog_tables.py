@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from textdrift.constants import LATER_STAGES
 from textdrift.operators import clusters as cl
 from textdrift.operators import counts as co
+from textdrift.operators import derive as de
 from textdrift.operators import entities as en
 from textdrift.operators import gazetteer as gz
 from textdrift.operators import reshape as rs
 from textdrift.plans import sql as S
-from textdrift.plans.catalog import CHS, ORACLE, VK, VKS, chains, long_versions, register, rnd
+from textdrift.plans.catalog import CHS, ORACLE, VK, VKS, chains, register, rnd
 from textdrift.plans import catalog_more as more
 from textdrift.session import ensure_checkpoint_dir
 from textdrift.sources import fixtures as fx
@@ -22,10 +23,15 @@ from textdrift.sources import io
 BUCKETS = 64
 
 
-def stored_table(spark, df, name: str, sort=()):
+def stored_table(spark, df, name: str, sort=(), dealt: bool = False):
     """``df`` bucketed by document under the checkpoint folder, as a table of its own."""
     table = f"{name}_{uuid.uuid4().hex}"
-    return io.store_by_document(df, table, f"{ensure_checkpoint_dir(spark)}/{table}", BUCKETS, sort)
+    return io.store_by_document(df, table, f"{ensure_checkpoint_dir(spark)}/{table}", BUCKETS, sort, dealt)
+
+
+def _stored_versions(spark, sf):
+    """The version table: its documents are dealt to the buckets before they become versions, which are not shuffled."""
+    return stored_table(spark, de.with_version_columns(fx.versions(spark, sf, parts=BUCKETS)), "versions", dealt=True)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -35,7 +41,7 @@ def stored_table(spark, df, name: str, sort=()):
 @register("r1_stored_versions", ORACLE["r1_build_chains"])
 def r1_stored_versions(spark, sf):
     """Chains of a stored version table: no exchange after the landing."""
-    return rs.build_chains(stored_table(spark, long_versions(spark, sf), "versions"))
+    return rs.build_chains(_stored_versions(spark, sf))
 
 
 @register("s3_stored_chains", S.F1_CHAINS + f"""
@@ -49,7 +55,7 @@ def s3_stored_chains(spark, sf):
 @register("e5_stored_versions", more._e5_sql())
 def e5_stored_versions(spark, sf):
     """Entity retention of a stored version table: sets, chains and metrics without an exchange."""
-    ner = en.entities_for_chains(stored_table(spark, long_versions(spark, sf), "versions"))
+    ner = en.entities_for_chains(_stored_versions(spark, sf))
     w = en.retention_for_chains(ner)
     doubles = [f"{m}_{s}" for m in more.DBL for s in LATER_STAGES]
     return more._rnd_all(w.select(*CHS.split(", "), "family", *[c for c in w.columns if c[-2:] in LATER_STAGES]), doubles)

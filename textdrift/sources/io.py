@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textdrift.constants import DATASETS, REQUIRED_COLUMNS, WORKING_DATASETS
+from textdrift.session import stored
 
 VERSION_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in REQUIRED_COLUMNS])
 
@@ -83,8 +84,9 @@ def read_versions(spark: SparkSession, root: str, names=None, schema: T.StructTy
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    """As the readers here expect it: a header, doubled quotes, white space kept."""
-    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+    """As the readers here expect it: a header, doubled quotes, white space kept. Compressed, since multi-line CSV does
+    not split anyway; Spark's readers tell by the file names."""
+    (df.write.mode("overwrite").option("header", True).option("compression", "gzip").option("escape", '"').option("quoteAll", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
@@ -115,16 +117,19 @@ def write_chains(chains: DataFrame, path: str) -> None:
     chains.write.mode("overwrite").partitionBy("dataset").parquet(path)
 
 
-def store_by_document(df: DataFrame, table: str, path: str, buckets: int, sort=()) -> DataFrame:
+def store_by_document(df: DataFrame, table: str, path: str, buckets: int, sort=(), dealt: bool = False) -> DataFrame:
     """A version or chain table, stored as ``table`` under ``path`` in ``buckets`` buckets of
     (dataset, key, source) and read back.
 
     Whatever groups the stored table by document, or by document and more, needs no exchange. Each
     bucket is one file; choose ``buckets`` so that one fits a task (bytes of all texts / 128 MB).
-    The shuffle here is the only one; it is paid once for all later reads.
+    The shuffle here is the only one; it is paid once for all later reads. ``dealt`` says that the rows are already
+    partitioned so, by these keys into ``buckets`` parts: nothing is shuffled then. Versions of a document lie
+    together, which zstd makes small.
     """
     keys = ["dataset", "key", "source"]
-    writer = df.repartition(buckets, *keys).write.format("parquet").mode("overwrite").option("path", path)
+    rows = df if dealt else df.repartition(buckets, *keys)
+    writer = rows.write.format("parquet").mode("overwrite").option("path", path).option("compression", "zstd")
     writer.bucketBy(buckets, *keys).sortBy(*keys, *sort).saveAsTable(table)
     return df.sparkSession.table(table)
 
@@ -163,7 +168,9 @@ def read_scored(spark: SparkSession, root: str, names=None, suffix: str = "_chai
 
 def write_scored(scored: DataFrame, root: str, names=None, suffix: str = "_chains_scored.csv") -> None:
     """One CSV folder of scored chains for each dataset of ``names``, as ``read_scored`` reads it."""
-    for name in (DATASETS if names is None else names):
+    names = list(DATASETS if names is None else names)
+    scored = stored(scored.where(F.col("dataset").isin(*names)), "scored")      # small rows, computed once for all files
+    for name in names:
         _write_csv(scored.where(F.col("dataset") == name).drop("dataset"), os.path.join(root, f"{name}{suffix}"))
 
 
