@@ -114,3 +114,14 @@ def test_gazetteer_in_batches_equals_its_spans(spark, monkeypatch, slice_chars):
     assert {(i, m, x): start for i, m, x, start in once} == first and len(once) == len(first)
     other = gz.gazetteer_mentions(texts, phrases, ["id"], each_once=True).collect()
     assert sorted(map(tuple, other), key=str) == sorted(map(tuple, once), key=str)
+
+
+def test_the_audit_reads_the_chains_once_for_content_and_wording(spark, sf_small):
+    from textdrift.plans import catalog
+    content, wording = more._content_and_wording(spark, sf_small)
+    assert sorted(map(tuple, content.collect())) == sorted(map(tuple, more.e6_retention_summary(spark, sf_small).collect()))
+    m1 = catalog.QUERIES["m1_bleu2"](spark, sf_small)
+    assert wording.columns == m1.columns
+    assert wording.exceptAll(m1).isEmpty() and m1.exceptAll(wording).isEmpty()
+    plan = content.unionByName(wording, allowMissingColumns=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "T0#" not in plan
